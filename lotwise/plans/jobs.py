@@ -1,0 +1,34 @@
+"""Jobs and what each waits for; independent ones run side by side in one session."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from graphlib import TopologicalSorter
+
+#: What each offline job waits for.
+OFFLINE = {"clean": [], "explore": ["clean"], "cards": ["explore"], "evaluate": ["clean"], "train": ["clean"], "dashboard": ["train"], "floor": ["train"], "report": ["floor"]}
+MODES = {"fast": ["clean", "explore", "cards"], "ml": ["clean", "evaluate", "train", "dashboard", "floor", "report"], "full": list(OFFLINE)}
+
+
+def run(jobs: dict[str, Callable[[], object]], waits: dict[str, list[str]] = OFFLINE, mode: str = "full", at_once: int = 3) -> list[str]:
+    """Run the jobs of a mode in an order that respects `waits`; the first failure ends the run.  Returns the order."""
+    chosen = set(MODES[mode])
+    order = TopologicalSorter({j: [w for w in waits[j] if w in chosen] for j in chosen})
+    order.prepare()
+    done: list[str] = []
+    with ThreadPoolExecutor(at_once) as pool:
+        while order.is_active():
+            ready = sorted(order.get_ready())
+            for name, future in [(n, pool.submit(jobs[n])) for n in ready]:
+                future.result()
+                order.done(name)
+                done.append(name)
+    return done
+
+
+def diagnose(key: str, value, tables: dict) -> dict:
+    """Where an object stands in each layer: its rows of each table."""
+    from pyspark.sql import functions as F
+
+    return {name: df.where(F.col(key) == value) for name, df in tables.items() if key in df.columns}
