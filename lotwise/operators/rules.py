@@ -83,7 +83,7 @@ def near_market(price: Column, market: Column, share: float) -> Column:
     return F.coalesce((market > 0) & (price >= share * market), F.lit(False))
 
 
-OPTIONAL = {"damage_keywords": "string", "customs_cleared": "string", "verdict": "string", "page_status_badge": "string", "market_price": "double", "rule_reasons": "string", "stat_reasons": "string", "info_flags": "string", "text_full": "string", "description": "string", "seller_comment": "string", "condition": "string", "labels": "string"}
+OPTIONAL = {"price_tenge": "double", "damage_keywords": "string", "customs_cleared": "string", "verdict": "string", "page_status_badge": "string", "market_price": "double", "rule_reasons": "string", "stat_reasons": "string", "info_flags": "string", "text_full": "string", "description": "string", "seller_comment": "string", "condition": "string", "labels": "string"}
 
 
 def exculpate(df: DataFrame, cfg: Config = Config(), damage=X.has_damage) -> DataFrame:

@@ -12,12 +12,12 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 def daily_sightings(stream: DataFrame, key: str, ts: str, late: str = "1 day") -> DataFrame:
     """One row for each object and day; what comes later than `late` is not looked for again."""
-    return stream.withColumn("seen_date", F.to_date(ts)).withWatermark(ts, late).dropDuplicatesWithinWatermark([key, "seen_date"])
+    return stream.withColumns({ts: F.col(ts).cast("timestamp"), "seen_date": F.to_date(ts)}).withWatermark(ts, late).dropDuplicatesWithinWatermark([key, "seen_date"])
 
 
 def activity(stream: DataFrame, ts: str, window: str, by: str, late: str = "1 day") -> DataFrame:
     """Observations by time window and kind."""
-    return stream.withWatermark(ts, late).groupBy(F.window(ts, window).alias("w"), by).agg(F.count(F.lit(1)).alias("n"))
+    return stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).groupBy(F.window(ts, window).alias("w"), by).agg(F.count(F.lit(1)).alias("n"))
 
 
 def status_changes(stream: DataFrame, key: str, seq: str, status: str) -> DataFrame:
