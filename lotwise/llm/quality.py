@@ -14,6 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lotwise.llm import words
 
@@ -180,20 +181,22 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column, id_col: str = "do
     at, flat_ids, flat_x = ids.offsets.to_numpy(), ids.values.to_numpy(), x.values.to_numpy()
     pairs = [(flat_ids[a:b], flat_x[a:b]) for a, b in zip(at[:-1], at[1:])]
     y = found.column("label").to_numpy().astype(np.float32)
-    order = sorted(range(len(y)), key=lambda i: (len(pairs[i][0]), float(pairs[i][1].sum()), pairs[i][0][: 64].tobytes()))  # tasks end in any order
+    pairs = [(i[o], v[o]) for i, v in pairs for o in (np.lexsort((v, i)),)]
+    order = sorted(range(len(y)), key=lambda k: (pairs[k][0].tobytes(), pairs[k][1].tobytes(), y[k]))  # tasks end in any order
     return fit([pairs[i] for i in order], y[order])
 
 
-def score(docs: DataFrame, model: FactorisationMachine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score) of every whole text, null and empty ones too; a row for each row."""
+def scored(docs: DataFrame, model: FactorisationMachine, text_col: str = "text", score_col: str = "score") -> DataFrame:
+    """`docs` with the score of every whole text, null and empty ones too, in a further column."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in (c for b in batches for c in words.chunks(b)):
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(shared.value.score(*features(part.column(1))))], [id_col, "score"])
+        for part in (c for b in batches for c in words.chunks(b, at)):
+            scores = pa.array(shared.value.score(*features(part.column(at))), pa.float64())
+            yield pa.RecordBatch.from_arrays([*part.columns, scores], [*part.schema.names, score_col])
 
-    rows = docs.select(id_col, text_col)
-    return rows.mapInArrow(run, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, score double")
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())]))
 
 
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 4, held_fold: int = 2, threshold: float = 0.7, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -207,4 +210,4 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     allowed = F.pmod(crc_of(F.col(id_col)), F.lit(folds)) != held_fold
     model = train(docs, labels, allowed, id_col, text_col, label_col, sample_rows)
     held = F.coalesce(F.pmod(crc_of(F.col(id_col)), F.lit(folds)) == held_fold, F.lit(False))
-    return score(docs, model, id_col, text_col).select(id_col, held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return scored(docs.select(id_col, text_col), model, text_col).select(id_col, held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
