@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lotwise.config import Config
@@ -20,8 +20,11 @@ def reposts(df: DataFrame, keys: tuple[str, ...] = ("title", "year", "price_teng
     rows only get the info flag same_title_year_price.
     """
     df = ensure_columns(df, {"color": "string", "condition": "string", "labels": "string", "info_flags": "string", "mileage_km": "double", "description": "string"})
-    same = Window.partitionBy(*keys)
-    rows = df.withColumns({"_n": F.count(F.lit(1)).over(same), "_dealer": dealer_strict(F.col("condition"), F.col("labels")), "_color": X.base_color(F.col("color"))})
+    counts = df.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    rows = df.join(counts, same, "left").drop(*[f"_k_{k}" for k in keys]).withColumns({"_n": F.coalesce("_n", F.lit(1)), "_dealer": dealer_strict(F.col("condition"), F.col("labels")), "_color": X.base_color(F.col("color"))})
     shared = F.col("_n") > 1
     few = rows.where(shared & (F.col("_n") <= cfg.repost_group) & ~F.col("_dealer")).dropna(subset=list(keys)).select(*keys, F.col(id_col).alias("_id"), "_color", F.col("mileage_km").alias("_km"), F.trim("description").alias("_text"))
     other = few.select(*keys, *[F.col(c).alias(f"{c}2") for c in ("_id", "_color", "_km", "_text")])

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 
 def keep_last(df: DataFrame, keys: list[str], seq: str) -> DataFrame:
-    """One row for each key, that of the highest seq."""
-    newest = Window.partitionBy(*keys).orderBy(F.col(seq).desc())
-    return df.withColumn("_rn", F.row_number().over(newest)).where("_rn = 1").drop("_rn")
+    """One row for each key, that of the highest seq; pre-aggregated, so a key with very many rows is no burden."""
+    rest = [c for c in df.columns if c not in keys]
+    last = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), seq).alias("_last"))
+    return last.select(*[F.col(c) if c in keys else F.col(f"_last.{c}").alias(c) for c in df.columns])
 
 
 def upsert_ignore(table: DataFrame, rows: DataFrame, keys: list[str], seq: str | None = None) -> DataFrame:

@@ -217,3 +217,17 @@ def test_decisions(spark):
     action = lambda *v: one(spark, S.next_action(*[F.lit(x) for x in v]))
     assert [action(5, 0, True, True), action(5, 3, True, True), action(5, 3, True, False), action(5, 5, False, False), action(5, 4, False, False)] == ["done", "rate_limited", "breaker", "stuck", "continue"]
     assert [one(spark, S.price_band(F.lit(x))) for x in (0.59, 0.6, 0.85, 1.15, 1.4)] == ["far below", "below", "market", "above", "far above"]
+
+
+def test_phash(spark):
+    import random
+
+    from lotwise.functions.phash import phash
+
+    rng = random.Random(1)
+    a = [rng.random() * 255 for _ in range(1024)]
+    brighter = [x * 0.9 + 10 for x in a]
+    b = [rng.random() * 255 for _ in range(1024)]
+    got = [r[0] for r in spark.createDataFrame([(a,), (brighter,), (b,), ([1.0],), (None,)], "p array<double>").select(phash(F.col("p"))).collect()]
+    assert len(got[0]) == 16 and got[0] == got[1] and got[3] is None and got[4] is None
+    assert bin(int(got[0], 16) ^ int(got[2], 16)).count("1") > 12
