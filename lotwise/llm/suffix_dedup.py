@@ -6,8 +6,10 @@ window of `span` bytes the one of the smallest hash is the window's anchor:
 equal windows have equal anchors at the same offset.  Consecutive windows of one
 anchor are a run, as many bytes long as they reach.  Anchors that occur once are
 done.  A run that occurs twice as a whole is repeated as a whole; where an
-anchor has several kinds of runs, the windows of those that occur once, and of
-one of each other kind, are hashed and counted by themselves.  Everything is counted with
+anchor has several kinds of runs, those that occur once, and one of each other
+kind, go on in blocks of BLOCK windows, placed relative to the anchor.  A block
+is known by the bytes that all its windows share, and settled in the same way;
+what is still open is counted window by window.  Everything is counted with
 pre-aggregation, so a passage in every document is no larger a group than others.
 """
 
@@ -28,6 +30,9 @@ SPAN = 400
 #: Bytes hashed at once.  Positions must fit the low bits that break ties.
 PIECE, LOW_BITS = 1 << 19, np.uint64(20)
 
+#: Windows that are settled at once before they are counted one by one.
+BLOCK = 16
+
 BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -68,11 +73,11 @@ def _least(x: np.ndarray, size: int) -> np.ndarray:
     return x
 
 
-def runs(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(gram, context, first window, further windows) of each run in an array of several texts."""
+def runs(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(gram, context, first window, further windows, place of the anchor after the first) of each run in an array of several texts."""
     gram = span // 2
     if len(raw) < span:
-        return tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64))
+        return tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64))
     h = Hasher(raw)
     grams = h.every(gram)
     low = np.uint64((1 << int(LOW_BITS)) - 1)
@@ -88,13 +93,42 @@ def runs(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, span: int) -> tu
     begin[1:] |= (anchor[1:] != anchor[:-1]) | ~valid[:-1]
     lo = np.flatnonzero(begin & valid)
     if not len(lo):
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), lo, lo
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), lo, lo, lo
     stop = np.concatenate([begin | ~valid, [True]])
     breaks = np.flatnonzero(stop)
     hi = breaks[np.searchsorted(breaks, lo, "right")] - 1
     p = anchor[lo]
     context = words.mix(h.between(lo, hi + span) + ((p - lo).astype(np.uint64) << np.uint64(32)) + (hi - lo).astype(np.uint64))
-    return grams[p], context, lo, hi - lo
+    return grams[p], context, lo, hi - lo, p - lo
+
+
+def blocks(h: Hasher, lo: np.ndarray, more: np.ndarray, off: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(common bytes, context, first window, further windows) of the blocks of runs."""
+    first, last = -off // BLOCK, (more - off) // BLOCK
+    n = last - first + 1
+    run = np.repeat(np.arange(len(lo)), n)
+    k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + first[run]
+    start = lo[run] + off[run] + BLOCK * k
+    a, b = np.maximum(start, lo[run]), np.minimum(start + BLOCK - 1, lo[run] + more[run])
+    common = words.mix(h.between(start + BLOCK - 1, start + span))
+    return common, words.mix(h.between(a, b + span) + ((a - start).astype(np.uint64) << np.uint64(32)) + (b - a).astype(np.uint64)), a, b - a
+
+
+def settle(items: DataFrame, name: str) -> DataFrame:
+    """(id, h, at, more, off, whole, asks) of the items (id, h, key, context, at, more, off) whose key occurs again.
+
+    whole: the context occurs again too.  asks: it does not, or it stands for
+    its equals where the key has other contexts besides.
+    """
+    twice = items.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
+    some = scratch.table(items.join(scratch.table(twice, f"{name}-twice"), "key"), f"{name}-some")
+    place = F.xxhash64("id", "h", "at")
+    several = some.groupBy("key").agg((F.min("context") != F.max("context")).alias("several"))
+    kinds = some.groupBy("key", "context").agg(F.count(F.lit(1)).alias("c"), F.min(place).alias("chosen"))
+    known = scratch.table(kinds.join(scratch.table(several, f"{name}-several"), "key"), f"{name}-known")
+    whole = F.col("c") > 1
+    asks = ~whole | (F.col("several") & (place == F.col("chosen")))
+    return some.join(known, ["key", "context"]).select("id", "h", "at", "more", "off", whole.alias("whole"), asks.alias("asks"))
 
 
 def _pieces(batch: pa.RecordBatch, column: int, span: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[int], list[int]]]:
@@ -126,11 +160,12 @@ def _pieces(batch: pa.RecordBatch, column: int, span: int) -> Iterator[tuple[np.
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, with_kept: bool = True) -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept_sha256, spans[, kept]) of every row.
+    """(id, n_bytes, n_removed, n_spans, kept_sha256, text_hash, spans[, kept]) of every row.
 
     Texts are UTF-8 bytes.  Each byte that lies in a `span`-byte string which
     also starts anywhere else, in the same text or another, is removed; overlaps
-    count.  spans are the removed runs, kept the bytes that remain.  A null text
+    count.  spans are the removed runs, kept the bytes that remain, text_hash is
+    xxhash64 of the text (to tell rows of one id apart).  A null text
     has no bytes; one shorter than `span` loses none; two rows with the same id
     are two texts.  Null ids are allowed; other columns are not read.  Strings
     are compared by 64-bit hashes.
@@ -138,74 +173,86 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     kind = texts.schema["id"].dataType.simpleString()
 
+    long_enough = texts.where(F.octet_length("text") >= span).select("id", "h", "text")
+    item = f"id {kind}, h long, key long, context long, at long, more int, off int"
+
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for raw, starts, ends, rows, offsets in _pieces(batch, 2, span):
-                gram, context, lo, more = runs(raw, starts, ends, span)
+                gram, context, lo, more, off = runs(raw, starts, ends, span)
                 part = np.searchsorted(starts, lo, "right") - 1
                 row = pa.array(np.asarray(rows, np.int64)[part])
                 at = lo - starts[part] + np.asarray(offsets, np.int64)[part]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(gram.view(np.int64)), pa.array(context.view(np.int64)), pa.array(at), pa.array(more, pa.int32())], ["id", "h", "gram", "context", "at", "more"])
-
-    sampled = scratch.table(texts.where(F.octet_length("text") >= span).select("id", "h", "text").mapInArrow(sample, f"id {kind}, h long, gram long, context long, at long, more int"), "runs")
-    place = F.xxhash64("id", "h", "at")
-    kinds = sampled.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("c"), F.min(place).alias("chosen"))
-    again = sampled.groupBy("gram").agg(F.count(F.lit(1)).alias("total"), (F.min("context") != F.max("context")).alias("several")).where("total > 1")
-    known = scratch.table(kinds.join(scratch.table(again.select("gram", "several"), "again"), "gram"), "known")
-    whole = F.col("c") > 1
-    asks = ~whole | (F.col("several") & (place == F.col("chosen")))  # one of equal runs stands for all of them
-    found = sampled.join(known, ["gram", "context"]).select("id", "h", F.struct("at", "more", whole.alias("whole"), asks.alias("asks")).alias("run"))
-    by_doc = scratch.table(found.groupBy("id", "h").agg(F.collect_set("run").alias("runs")), "by_doc")
-    by_doc_ = by_doc.select(F.col("id").alias("of"), F.col("h").alias("of_h"), "runs")
-    same = (F.col("h") == F.col("of_h")) & F.col("id").eqNullSafe(F.col("of"))
-    work = scratch.table(texts.where(F.octet_length("text") >= span).join(by_doc_, same).select("id", "h", "text", "runs"), "work")
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(gram.view(np.int64)), pa.array(context.view(np.int64)), pa.array(at), pa.array(more, pa.int32()), pa.array(off, pa.int32())], [x.split(" ")[0] for x in item.split(", ")])
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, int, Hasher, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each text, piece by piece: row, place of the piece, its hashes, and what is open in it."""
         for batch in batches:
             for row in range(batch.num_rows):
-                raw = np.frombuffer(batch.column(2)[row].as_buffer(), np.uint8)
-                own = [r for r in batch.column(3)[row].as_py() if r["asks"]]
-                for base in sorted({r["at"] // PIECE for r in own}):
-                    near = [r for r in own if r["at"] // PIECE == base]
-                    first = base * PIECE
-                    s = np.unique(np.concatenate([np.arange(r["at"], r["at"] + r["more"] + 1) for r in near])) - first
-                    h = Hasher(raw[first : first + int(s[-1]) + span])
-                    n = len(s)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([row] * n)), batch.column(1).take(pa.array([row] * n)), pa.array(h.between(s, s + span).view(np.int64)), pa.array(s + first)], ["id", "h", "w", "at"])
-
-    edges = work.where(F.exists("runs", lambda r: r["asks"])).mapInArrow(windows, f"id {kind}, h long, w long, at long")
-    edges = scratch.table(edges, "edges")
-    twice = scratch.table(edges.groupBy("w").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("w"), "twice")
-    hits = edges.join(twice, "w").groupBy(F.col("id").alias("of"), F.col("h").alias("of_h")).agg(F.collect_set("at").alias("hits"))
-
-    names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", *(["kept"] if with_kept else [])]
+                raw, own = np.frombuffer(batch.column(2)[row].as_buffer(), np.uint8), batch.column(3)[row].as_py()
+                at, more, off = (np.array([r[c] for r in own], np.int64) for c in ("at", "more", "off"))
+                for piece in np.unique(at // PIECE):
+                    near = at // PIECE == piece
+                    base = int(piece) * PIECE
+                    end = int((at + more)[near].max()) + span + BLOCK
+                    yield batch, row, base, Hasher(raw[base:end]), at[near] - base, more[near], off[near]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, row, base, h, at, more, off in opened(batches):
+            common, context, first, further = blocks(h, at, more, off, span)
+            same = pa.array([row] * len(first), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(same), batch.column(1).take(same), pa.array(common.view(np.int64)), pa.array(context.view(np.int64)), pa.array(first + base), pa.array(further, pa.int32()), pa.array(np.zeros(len(first)), pa.int32())], [x.split(" ")[0] for x in item.split(", ")])
+
+    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, row, base, h, at, more, _ in opened(batches):
+            s = np.unique(np.concatenate([np.arange(a, a + m + 1) for a, m in zip(at, more)]))
+            same = pa.array([row] * len(s), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(same), batch.column(1).take(same), pa.array(h.between(s, s + span).view(np.int64)), pa.array(s + base)], ["id", "h", "key", "at"])
+
+    def with_open(of: DataFrame, found: DataFrame, all_: bool) -> DataFrame:
+        """Texts with what is open in them, and where asked for those with anything found."""
+        part = F.struct("at", "more", "off")
+        lists = found.groupBy(F.col("id").alias("of"), F.col("h").alias("of_h")).agg(F.collect_list(F.when(F.col("asks"), part)).alias("open"))
+        lists = lists if all_ else lists.where(F.size("open") > 0)
+        return of.join(lists, (F.col("h") == F.col("of_h")) & F.col("id").eqNullSafe(F.col("of"))).select("id", "h", "text", "open")
+
+    sampled = scratch.table(long_enough.mapInArrow(sample, item), "runs")
+    found_runs = scratch.table(settle(sampled, "runs"), "found-runs")
+    work = scratch.table(with_open(long_enough, found_runs, True), "work")
+    cut_ = scratch.table(work.where(F.size("open") > 0).mapInArrow(cut, item), "blocks")
+    found_blocks = scratch.table(settle(cut_, "blocks"), "found-blocks")
+    windows = with_open(work.drop("open"), found_blocks, False).mapInArrow(single, f"id {kind}, h long, key long, at long")
+    windows = scratch.table(windows, "windows")
+    twice = scratch.table(windows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key"), "windows-twice")
+    hits = windows.join(twice, "key").select("id", "h", "at", F.lit(0).alias("more"))
+    gone = found_runs.where("whole").select("id", "h", "at", "more").unionByName(found_blocks.where("whole").select("id", "h", "at", "more")).unionByName(hits)
+    gone = scratch.table(gone.groupBy(F.col("id").alias("of"), F.col("h").alias("of_h")).agg(F.collect_set(F.struct("at", "more")).alias("gone")), "gone")
+    same = (F.col("h") == F.col("of_h")) & F.col("id").eqNullSafe(F.col("of"))
+
+    names = ["id", "h", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", *(["kept"] if with_kept else [])]
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in words.chunks(batch):
+            for part in words.chunks(batch, 2):
                 out = []
                 for row in range(part.num_rows):
-                    raw = np.frombuffer(part.column(1)[row].as_buffer(), np.uint8)
-                    ends = [(r["at"], r["at"] + r["more"] + span) for r in part.column(2)[row].as_py() if r["whole"]]
-                    ends += [(s, s + span) for s in part.column(3)[row].as_py() or ()]
-                    change = np.zeros(len(raw) + 1, np.int32)
-                    if ends:
-                        a = np.array(ends)
-                        np.add.at(change, a[:, 0], 1)
-                        np.add.at(change, a[:, 1], -1)
-                    gone = np.cumsum(change)[:-1] > 0
-                    edge = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
-                    kept = raw[~gone].tobytes()
-                    out.append((len(raw), int(gone.sum()), len(edge) // 2, hashlib.sha256(kept).hexdigest(), [{"start": s, "end": e} for s, e in edge.reshape(-1, 2).tolist()], kept)[: 6 if with_kept else 5])
+                    raw = np.frombuffer(part.column(2)[row].as_buffer(), np.uint8)
+                    ends = [(r["at"], r["at"] + r["more"] + span) for r in part.column(3)[row].as_py()]
+                    change, a = np.zeros(len(raw) + 1, np.int32), np.array(ends)
+                    np.add.at(change, a[:, 0], 1)
+                    np.add.at(change, a[:, 1], -1)
+                    hit = np.cumsum(change)[:-1] > 0
+                    edge = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8)))
+                    kept = raw[~hit].tobytes()
+                    out.append((len(raw), int(hit.sum()), len(edge) // 2, hashlib.sha256(kept).hexdigest(), [{"start": s, "end": e} for s, e in edge.reshape(-1, 2).tolist()], kept)[: 6 if with_kept else 5])
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary()]
-                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(x, k) for x, k in zip(zip(*out), kinds)]], names)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *[pa.array(x, k) for x, k in zip(zip(*out), kinds)]], names)
 
-    joined = work.join(hits, same, "left").select("id", "text", "runs", "hits")
-    schema = f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>" + ", kept binary" * with_kept
+    joined = work.select("id", "h", "text").join(gone, same).select("id", "h", "text", "gone")
+    schema = f"id {kind}, h long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>" + ", kept binary" * with_kept
     changed = joined.mapInArrow(remove, schema)
-    rest = texts.join(by_doc_, same, "left_anti") if with_kept else texts.select("id", "h", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("kept_sha256")).join(by_doc_, same, "left_anti")
+    rest = texts.join(gone, same, "left_anti") if with_kept else texts.select("id", "h", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("kept_sha256")).join(gone, same, "left_anti")
     if with_kept:
         rest = rest.withColumns({"n_bytes": F.octet_length("text").cast("long"), "kept_sha256": F.sha2("text", 256)})
-    none = F.lit(None).cast("array<struct<start:long,end:long>>")
-    rest = rest.select("id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), "kept_sha256", F.coalesce(none, F.array().cast("array<struct<start:long,end:long>>")).alias("spans"), *([F.col("text").cast("binary").alias("kept")] if with_kept else []))
-    return changed.unionByName(rest).withColumnRenamed("id", id_col)
+    rest = rest.select("id", "h", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), "kept_sha256", F.array().cast("array<struct<start:long,end:long>>").alias("spans"), *([F.col("text").cast("binary").alias("kept")] if with_kept else []))
+    return changed.unionByName(rest).withColumnsRenamed({"id": id_col, "h": "text_hash"})
