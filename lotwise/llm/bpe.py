@@ -140,7 +140,9 @@ def tokenizer(path: str) -> WordBpe:
 def gathered(starts: np.ndarray, counts: np.ndarray, codes: np.ndarray) -> np.ndarray:
     """Positions of the ids of each code in turn, where code c has counts[c] ids from starts[c] on."""
     n = counts[codes]
-    return np.repeat(starts[codes] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(codes) else np.zeros(0, np.int64)
+    out = np.repeat((starts[codes] - np.concatenate([[0], np.cumsum(n)])[:-1]).astype(np.int32), n)
+    out += np.arange(len(out), dtype=np.int32)
+    return out
 
 
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:

@@ -123,6 +123,7 @@ def write(docs: DataFrame, folder: str, path: str, vocabulary: int, end_id: int
     other, in the order of a hash of their texts.
     """
     bits = width(vocabulary)
+    small = np.uint16 if bits <= 16 else np.uint32
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
@@ -131,7 +132,7 @@ def write(docs: DataFrame, folder: str, path: str, vocabulary: int, end_id: int
         lengths: list[int] = []
 
         def flush() -> pa.RecordBatch:
-            ids = np.concatenate(held) if held else np.zeros(0, np.uint32)
+            ids = np.concatenate(held) if held else np.zeros(0, small)
             name = files.publish(folder, f"{part:06d}-{number:04d}.tokens", to_bytes(ids, names, lengths, bits))
             row = [name, part, number, len(ids), len(names)]
             for x in (held, names, lengths):
@@ -142,12 +143,12 @@ def write(docs: DataFrame, folder: str, path: str, vocabulary: int, end_id: int
             distinct, codes, bounds = words.split(chunk.column(1))
             encoded = encoder(path).pieces(distinct.to_pylist())
             counts = np.fromiter(map(len, encoded), np.int64, len(encoded))
-            flat = np.fromiter((i for e in encoded for i in e), np.uint32)
+            flat = np.fromiter((i for e in encoded for i in e), small)
             total = np.concatenate([[0], np.cumsum(counts[codes])])[bounds]
             ids = flat[gathered(np.concatenate([[0], np.cumsum(counts)]), counts, codes)]
             if end_id is not None:
                 ids, total = np.insert(ids, total[1:], end_id), total + np.arange(len(total))
-            held.append(ids.astype(np.uint16 if bits <= 16 else np.uint32))
+            held.append(ids)
             names += chunk.column(0).to_pylist()
             lengths += np.diff(total).tolist()
             if sum(map(len, held)) >= FILE_IDS:
