@@ -31,7 +31,7 @@ NONE = 1 << 60
 CACHED_WORDS = 150_000
 
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
-ANY_WORD = regex.compile(rf"{CONTRACTIONS}|\p{{L}}+|\p{{N}}|[^\t-\r \x85\xa0  -     　\p{{L}}\p{{N}}]+")
+ANY_WORD = regex.compile(rf"{CONTRACTIONS}|\p{{L}}+|\p{{N}}|[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\p{{L}}\p{{N}}]+")
 #: The same for texts of characters up to U+00FF.
 _L, _N = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
 LATIN_WORD = re.compile(rf"{CONTRACTIONS}|[{_L}]+|[{_N}]|[^\t-\r \x85\xa0{_L}{_N}]+")
