@@ -50,24 +50,25 @@ def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield stars()
 
 
+def _is_stars(edges: DataFrame) -> bool:
+    """Whether each node has one link up, to a node that has none."""
+    n, nodes = edges.agg(F.count(F.lit(1)), F.countDistinct("u")).first()
+    return n == nodes and edges.join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for each node of `links`, a frame of two long columns; the component is its smallest node.
 
     Each task first joins its own links with union-find, which leaves at most a
     star for each component it met.  Then large and small stars alternate: every
     node links its larger, then its smaller neighbours to the smallest of them,
-    until nothing changes.  Minima are pre-aggregated, and joins back to them
+    until only stars are left.  Minima are pre-aggregated, and joins back to them
     can be split where one node has very many links.
     """
     a, b = links.columns
     edges = links.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v")
     edges = scratch.table(edges.mapInArrow(_local, "u long, v long").distinct(), "edges")
-    before = None
-    while True:
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 31)))).first()
-        if now == before or not now[0]:
-            break
-        before = now
+    while not _is_stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = scratch.table(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
         large = scratch.table(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")

@@ -2,10 +2,13 @@
 
 Documents with equal shingle sets form a class and go on as one.  Classes that
 share a band form a bucket.  A bucket's members are first compared with its
-centre, the member that meets most others; the links found make components, and
-only pairs whose components still differ are compared one by one.  So a bucket
-of thousands of copies of one text costs thousands of comparisons, and no link
-between components is lost.
+centre, the member that meets most others; the links found make components.
+Members of buckets with several components go on: two linked sets share one of
+their rarest elements (the prefix filter), at places that leave room for the
+overlap (the positional filter).  Members that share such an element are again
+first compared with a centre, and at last all pairs whose components still
+differ.  So a bucket of thousands of copies of one text costs thousands of
+comparisons, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -28,8 +31,14 @@ MISSED = 5e-7
 #: Elements whose permutations are held at once.
 ELEMENTS = 200_000
 
-#: More rounds of centres are tried while the pairs left exceed so many for each member of a bucket.
-PAIRS_FOR_EACH, STAR_ROUNDS = 30, 4
+#: Rounds of centres among members that share a rare element, before the pairs that are left.
+STAR_ROUNDS = 2
+
+#: Bits of the filter through which texts pass whose sets are compared, at most (8 MB); a fuller filter lets more pass.
+MOST_BITS = 1 << 26
+
+#: Bits of the table of element frequencies that orders elements; any order gives all links, a better one fewer pairs.
+ORDER_BITS = 20
 
 
 def banding(percent: int) -> tuple[int, int]:
@@ -143,9 +152,12 @@ def _sketch(size: int, bands: int, rows: int):
     return run
 
 
-def _sets(size: int):
+def _sets(size: int, shared):
+    """Shingle sets of the ids in a Bloom filter, where the texts are read: all that are wanted, and a few more."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in (c for b in batches for c in words.chunks(b)):
+        wanted = (b.filter(pa.array(in_bloom(shared.value, b.column(0).to_numpy()))) for b in batches)
+        for part in (c for b in wanted for c in words.chunks(b)):
             elements, bounds = shingle_sets(part.column(1), size)
             raw = pa.py_buffer(elements.tobytes())
             yield pa.RecordBatch.from_arrays([part.column(0), pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * 8).astype(np.int64).tobytes()), raw]).cast(pa.binary())], ["id", "shingles"])
@@ -153,6 +165,62 @@ def _sets(size: int):
     return run
 
 
+def _bits(ids: np.ndarray, size: int) -> list[np.ndarray]:
+    """Two places for each id in a Bloom filter of `size` bits."""
+    x = words.mix(ids.astype(np.int64).view(np.uint64))
+    return [x % np.uint64(size), words.mix(x) % np.uint64(size)]
+
+
+def bloom(ids: DataFrame, n: int) -> np.ndarray:
+    """A Bloom filter of the only column's longs: 16 bits for each of n, but at most MOST_BITS, which bounds what comes to the driver."""
+    size = min(MOST_BITS, 1 << max(10, (16 * n).bit_length()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.concatenate(_bits(batch.column(0).to_numpy(), size))
+            yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], ["word", "bits"])
+
+    found = ids.mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(size >> 6, np.uint64)
+    out[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def in_bloom(filter_: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    a, b = _bits(ids, len(filter_) << 6)
+    there = lambda x: (filter_[(x >> np.uint64(6)).astype(np.int64)] >> (x & np.uint64(63))) & np.uint64(1)
+    return (there(a) & there(b)).astype(bool)
+
+
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(1 << ORDER_BITS, np.int64)
+    for batch in batches:
+        for x in batch.column(0):
+            counts += np.bincount((np.frombuffer(x.as_buffer(), np.uint64) >> np.uint64(64 - ORDER_BITS)).astype(np.int64), minlength=len(counts))
+    at = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["bucket", "c"])
+
+
+def _rarest(percent: int, shared):
+    """Of each set, the elements of which a linked set must share one, with their places in the order of frequency."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order = shared.value
+        for batch in batches:
+            found, places = [], []
+            for x in batch.column(2):
+                e = np.frombuffer(x.as_buffer(), np.uint64)
+                by = np.lexsort((e, order[(e >> np.uint64(64 - ORDER_BITS)).astype(np.int64)]))
+                found.append(e[by[: len(e) + percent * len(e) // -100 + 1]])
+                places.append(np.arange(len(found[-1])))
+            n = np.array([len(f) for f in found], np.int64)
+            row = pa.array(np.repeat(np.arange(len(n)), n))
+            columns = [batch.column(0).take(row), batch.column(1).take(row), pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(places), pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, ["rep", "n", "element", "place"])
+
+    return run
+
+
 def _confirm(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,8 +260,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     met = rows_.join(shared, "band").groupBy("rep", "n").agg(F.collect_list("band").alias("bands"), F.sum("c").alias("degree"))
     members = scratch.table(met.select("rep", "n", "degree", F.explode("bands").alias("band")), "members")
 
-    wanted = members.select(F.col("rep").alias("id")).distinct()
-    sets = scratch.table(texts.join(wanted, "id", "left_semi").mapInArrow(_sets(size), "id long, shingles binary").dropDuplicates(["id"]), "sets")
+    wanted = scratch.table(members.select("rep").distinct(), "wanted")
+    shared = texts.sparkSession.sparkContext.broadcast(bloom(wanted, wanted.count()))
+    near = texts.where("id is not null").mapInArrow(_sets(size, shared), "id long, shingles binary")
+    sets = scratch.table(near.groupBy("id").agg(F.first("shingles").alias("shingles")), "sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         a = sets.select(F.col("id").alias("a"), F.col("shingles").alias("set_a"))
@@ -201,28 +271,39 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b").mapInArrow(_confirm(percent), "a long, b long")
 
     close = F.expr(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-    side = lambda s: [F.col("rep").alias(s), F.col("n").alias(f"n_{s}"), F.col("part").alias(f"part_{s}"), "band"]
+    room = F.expr(f"{100 + percent} * least(n_a - place_a, n_b - place_b) >= {percent} * (n_a + n_b)")
     pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
-    links, parted = None, members.withColumn("part", F.col("rep"))
-    for round_ in range(STAR_ROUNDS):
-        rank = F.struct("degree", -F.col("rep")) if not round_ else F.struct(F.xxhash64("rep", F.lit(round_)), -F.col("rep"))
-        centres = scratch.table(parted.groupBy("band").agg(F.max(F.struct(rank, "rep", "n", "part")).alias("x"), F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("band", F.col("x.rep").alias("a"), F.col("x.n").alias("n_a"), F.col("x.part").alias("part_a")), "centres")
-        star = parted.select(*side("b")).join(centres, "band").where(F.col("part_a") != F.col("part_b")).where(close).select(*pair).distinct()
-        found = scratch.table(confirmed(star), "links")
-        links = found if links is None else links.unionByName(found)
-        parts = scratch.table(components(links), "parts")
-        parted = members.join(parts, F.col("rep") == F.col("node"), "left").select("rep", "n", "degree", "band", F.coalesce("component", "rep").alias("part"))
-        parted = scratch.table(parted, "parted")
-        left = parted.groupBy("band", "part").agg(F.count(F.lit(1)).alias("g")).groupBy("band").agg(F.sum("g").alias("s"), F.sum(F.col("g") * F.col("g")).alias("q"))
-        total = left.where("s * s > q").agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2), F.sum("s")).first()
-        if not total[0] or total[0] <= PAIRS_FOR_EACH * total[1]:
-            break
-    if total[0]:
-        mixed = scratch.table(parted.groupBy("band").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("band"), "mixed")
-        open_ = scratch.table(parted.join(mixed, "band"), "open")
-        rest = open_.select(*side("a")).join(open_.select(*side("b")), "band").where("a < b and part_a <> part_b").where(close).select("a", "b").distinct()
-        links = links.unionByName(scratch.table(confirmed(rest), "rest"))
+    side = lambda df, s, *cols: df.select(*cols, F.col("rep").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in df.columns if c not in ("rep", *cols)])
+
+    rank = F.struct("degree", -F.col("rep"))
+    centres = scratch.table(members.groupBy("band").agg(F.max(F.struct(rank.alias("rank"), "rep", "n")).alias("x")).select("band", "x.rep", "x.n"), "centres")
+    star = side(members.drop("degree"), "b", "band").join(side(centres, "a", "band"), "band").where("a <> b").where(close).select(*pair).distinct()
+    links = scratch.table(confirmed(star), "links")
+    parts = scratch.table(components(links), "parts")
+
+    def parted(df: DataFrame) -> DataFrame:
+        return df.join(parts, F.col("rep") == F.col("node"), "left").withColumn("part", F.coalesce("component", "rep")).drop("node", "component")
+
+    now = scratch.table(parted(members.select("rep", "n", "band")), "parted")
+    mixed = scratch.table(now.groupBy("band").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("band"), "mixed")
+    open_ = scratch.table(now.join(mixed, "band").select("rep", "n").distinct().join(sets, F.col("rep") == F.col("id")).select("rep", "n", "shingles"), "open")
+    order = np.zeros(1 << ORDER_BITS, np.int64)
+    counts = open_.select("shingles").mapInArrow(_frequencies, "bucket long, c long").groupBy("bucket").agg(F.sum("c").alias("c")).toArrow()
+    order[counts.column("bucket").to_numpy()] = counts.column("c").to_numpy()
+    rare = open_.mapInArrow(_rarest(percent, texts.sparkSession.sparkContext.broadcast(order)), "rep long, n long, element long, place int")
+    rare = scratch.table(rare, "rare")
+    for round_ in range(1, STAR_ROUNDS + 1):
+        here = scratch.table(parted(rare), f"rare-{round_}")
+        chosen = F.struct(F.xxhash64("rep", F.lit(round_)).alias("x"), "rep", "n", "place", "part")
+        centres = here.groupBy("element").agg(F.max(chosen).alias("x"), F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi")
+        centres = scratch.table(centres.select("element", "x.rep", "x.n", "x.place", "x.part"), "centres")
+        star = side(here, "b", "element").join(side(centres, "a", "element"), "element").where("part_a <> part_b").where(room).select(*pair).distinct()
+        links = links.unionByName(scratch.table(confirmed(star), "links"))
         parts = scratch.table(components(links), "parts")
+    here = scratch.table(parted(rare), "rare-last")
+    rest = side(here, "a", "element").join(side(here, "b", "element"), "element").where("a < b and part_a <> part_b").where(room).select("a", "b").distinct()
+    links = links.unionByName(scratch.table(confirmed(rest), "rest"))
+    parts = scratch.table(components(links), "parts")
 
     final = scratch.table(classes.join(parts, F.col("rep") == F.col("node"), "left").select(*same, F.coalesce("component", "rep").alias("component_id")), "final")
     one = sketch.where("n > 0 and id is not null").select("id", *same).join(final, same).select("id", "n", "component_id")
