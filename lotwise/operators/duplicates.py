@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,21 +43,58 @@ def reposts(df: DataFrame, keys: tuple[str, ...] = ("title", "year", "price_teng
 
 
 def same_hash_pairs(hashes: DataFrame, id_col: str = "ad_id", hash_col: str = "phash") -> DataFrame:
-    """(ad_id_a, ad_id_b, hamming_distance 0) of objects that share a picture."""
-    return near_hash_pairs(hashes.withColumn("_bits", F.lit(0).cast("long")), 0, F.col(hash_col), id_col, "_bits")
+    """(ad_id_a, ad_id_b, hamming_distance 0) of objects that share a picture.
+
+    Pairs of equal pictures of one object are made once: rows are distinct before the join.
+    """
+    rows = hashes.where(F.col(hash_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(hash_col).alias("hash")).distinct()
+    a, b = (rows.select(F.col("id").alias(f"ad_id_{s}"), "hash") for s in "ab")
+    return a.join(b, "hash").where("ad_id_a < ad_id_b").select("ad_id_a", "ad_id_b", F.lit(0).alias("hamming_distance")).distinct()
 
 
-def near_hash_pairs(hashes: DataFrame, most: int, bucket, id_col: str = "ad_id", bits_col: str = "bits") -> DataFrame:
-    """Pairs of different objects in one bucket within a Hamming distance, the smallest for each pair.
+def _bands(width: int, most: int, bands: int) -> list[tuple[int, int, int]]:
+    """(shift, bits, radius) of parts of a hash: within `most` over all, some part lies within its radius.
 
-    Pairs of equal pictures of one object are made once: rows are distinct
-    before the join, which is an equi-join on the bucket with the distance as
-    residual.  Buckets and distances are inherent to the output's size.
+    If every part were over its radius, the distance would be at least the sum
+    of (radius + 1), which is most + 1.
+    """
+    bands = min(bands, most + 1, width)
+    out, shift = [], 0
+    for i in range(bands):
+        bits = width // bands + (i < width % bands)
+        out.append((shift, bits, (most + 1) // bands + (i < (most + 1) % bands) - 1))
+        shift += bits
+    return out
+
+
+def near_hash_pairs(hashes: DataFrame, most: int, id_col: str = "ad_id", bits_col: str = "bits", width: int = 64, bands: int = 3) -> DataFrame:
+    """All pairs of different objects within a Hamming distance, the smallest for each pair.
+
+    Distinct hashes are cut into bands.  Two hashes within `most` are within a
+    band's radius in at least one band, so each hash is dealt to its own value
+    of each band and probes all values within the radius: an equi-join that
+    loses nothing.  A pair that several bands meet is kept in the first; what
+    remains is mapped back to the objects.
     """
-    rows = hashes.where(bucket.isNotNull()).select(F.col(id_col).alias("id"), bucket.alias("bucket"), F.col(bits_col).alias("bits")).distinct()
-    a, b = (rows.select(F.col("id").alias(f"ad_id_{s}"), "bucket", F.col("bits").alias(f"bits_{s}")) for s in "ab")
-    pairs = a.join(b, "bucket").where(F.col("ad_id_a") < F.col("ad_id_b")).withColumn("d", S.hamming(F.col("bits_a"), F.col("bits_b")).cast("int"))
-    return pairs.where(F.col("d") <= most).groupBy("ad_id_a", "ad_id_b").agg(F.min("d").alias("hamming_distance"))
+    rows = hashes.where(F.col(bits_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(bits_col).cast("long").alias("bits")).distinct()
+    parts = _bands(width, most, bands)
+    signed = lambda x: F.lit(x - (1 << 64) if x >> 63 else x).cast("long")
+    value = lambda shift, bits: F.shiftrightunsigned("bits", shift).bitwiseAND(signed((1 << bits) - 1))
+    flips = [[sum(1 << at for at in places) for r in range(min(radius, bits) + 1) for places in combinations(range(bits), r)] for _, bits, radius in parts]
+    distinct = rows.select("bits").distinct()
+    own = F.array(*[F.struct(F.lit(i).alias("band"), value(shift, bits).alias("key")) for i, (shift, bits, _) in enumerate(parts)])
+    probes = lambda i, shift, bits: F.transform(F.array(*map(signed, flips[i])), lambda x: F.struct(F.lit(i).alias("band"), value(shift, bits).bitwiseXOR(x).alias("key")))
+    near = F.flatten(F.array(*[probes(i, shift, bits) for i, (shift, bits, _) in enumerate(parts)]))
+    a = distinct.select(F.col("bits").alias("bits_a"), F.inline(own))
+    b = distinct.select(F.col("bits").alias("bits_b"), F.inline(near))
+    differ = F.col("bits_a").bitwiseXOR(F.col("bits_b"))
+    first = F.coalesce(*[F.when(F.bit_count(differ.bitwiseAND(signed(((1 << bits) - 1) << shift))) <= radius, i) for i, (shift, bits, radius) in enumerate(parts)])
+    d = S.hamming(F.col("bits_a"), F.col("bits_b")).cast("int")
+    met = a.join(b, ["band", "key"]).where((F.col("bits_a") <= F.col("bits_b")) & (d <= most) & (F.col("band") == first)).select("bits_a", "bits_b", d.alias("d"))
+    sides = [rows.select(F.col("id").alias(f"id_{s}"), F.col("bits").alias(f"bits_{s}")) for s in "ab"]
+    pairs = met.join(sides[0], "bits_a").join(sides[1], "bits_b")
+    pairs = pairs.where((F.col("id_a") < F.col("id_b")) | ((F.col("id_a") > F.col("id_b")) & (F.col("bits_a") < F.col("bits_b"))))
+    return pairs.groupBy(F.least("id_a", "id_b").alias("ad_id_a"), F.greatest("id_a", "id_b").alias("ad_id_b")).agg(F.min("d").alias("hamming_distance"))
 
 
 def different_objects(pairs: DataFrame, cars: DataFrame, id_col: str = "ad_id", cfg: Config = Config()) -> DataFrame:

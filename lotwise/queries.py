@@ -232,7 +232,7 @@ def photo_exact_pairs(spark, sf_dir):
 
 @query(f"WITH {BITS.format(n=32)} SELECT a.ad_id AS ad_id_a, b.ad_id AS ad_id_b, CAST(bit_count(xor(CAST(a.bits AS BIGINT), CAST(b.bits AS BIGINT))) AS INTEGER) AS hamming_distance FROM hashes a JOIN hashes b ON CAST(a.bits AS BIGINT) & 4095 = CAST(b.bits AS BIGINT) & 4095 AND a.ad_id < b.ad_id WHERE bit_count(xor(CAST(a.bits AS BIGINT), CAST(b.bits AS BIGINT))) <= 8")
 def photo_near_pairs(spark, sf_dir):
-    return duplicates.near_hash_pairs(_bits(spark, sf_dir, 32), 8, F.col("bits").bitwiseAND(F.lit(4095)))
+    return duplicates.near_hash_pairs(_bits(spark, sf_dir, 32), 8, width=32)
 
 
 @query(f"""WITH {BITS.format(n=16)}, pairs AS (SELECT a.ad_id AS x, b.ad_id AS y FROM hashes a JOIN hashes b ON a.bits = b.bits AND a.ad_id < b.ad_id), l AS ({LISTING}),

@@ -1,15 +1,20 @@
 """Golden cases of the listing operators, on handmade frames."""
 
+import random
 from datetime import date
 
+import pytest
 from pyspark.sql import functions as F
 
+from lotwise import queries
 from lotwise.config import Config
 from lotwise.functions import scalars as S
 from lotwise.functions import text as X
 from lotwise.operators import duplicates, outliers, pricing, review, rules, status, upserts
 from lotwise.sources import pages
 
+SF = "/root/testdata/sf0.001"
+
 
 def one(spark, column, **values):
     kinds = {str: "string", int: "bigint", float: "double", bool: "boolean"}
@@ -144,6 +149,35 @@ def test_photo_pairs(spark):
     assert len(duplicates.different_objects(pairs.limit(0), cars).columns) == 9
 
 
+def hash_pairs(rows, most):
+    """Brute force: all pairs of objects within `most`, the smallest distance."""
+    want = {}
+    for i, x in rows:
+        for j, y in rows:
+            if None not in (x, y) and i < j and (d := ((x ^ y) & (1 << 64) - 1).bit_count()) <= most:
+                want[i, j] = min(d, want.get((i, j), d))
+    return sorted((*k, d) for k, d in want.items())
+
+
+@pytest.mark.parametrize("width, most", [(32, 8), (64, 8), (32, 0), (64, 1), (5, 4)])
+def test_near_photo_pairs(spark, width, most):
+    """No pair within the distance is lost, whichever bits differ."""
+    rng = random.Random(width + most)
+    data = [(1, None), (2, 0), (3, 0), (3, 0), (3, 1), (4, (1 << width) - 1), (5, 0b111 << width - 3)]
+    for i in range(10, 60):
+        bits = rng.getrandbits(width)
+        data += [(i, bits), (i + 100, bits), (i + 200, bits ^ sum(1 << b for b in rng.sample(range(width), min(most, width)))), (i, rng.getrandbits(width))]
+    data = [(i, b - (1 << 64) if b is not None and b >> 63 else b) for i, b in data]
+    got = duplicates.near_hash_pairs(spark.createDataFrame(data, "ad_id int, bits long"), most, width=width)
+    assert rows(got, "ad_id_a", "ad_id_b") == hash_pairs(data, most)
+
+
+def test_near_photo_pairs_of_the_tables(spark):
+    data = [tuple(r) for r in queries._bits(spark, SF, 32).collect()]
+    got = rows(queries.photo_near_pairs(spark, SF), "ad_id_a", "ad_id_b")
+    assert got == hash_pairs(data, 8) and len(got) > 100
+
+
 def test_upserts(spark):
     old = spark.createDataFrame([(1, "a", None), (2, "b", "")], "k int, v string, w string")
     new = spark.createDataFrame([(2, "c", "w", 1), (2, "d", "x", 2), (3, "e", None, 1)], "k int, v string, w string, seq int")
