@@ -54,15 +54,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     Returns a row for each id: n_words, n_hit (words inside shared passages),
     spans (array of start and end, not merged), items (array of item ids) and
     contaminated (n_hit > 0 and at least a twentieth of the words).  An item of
-    fewer than `span` words is one window; one without words is none.  Null or
-    empty texts have no words and no hits.  Rows that repeat an id count as one
+    fewer than `span` words is one window; one without words is none.  An item
+    without an id counts like any other, and all of them give one null among
+    items.  Null or empty texts have no words and no hits.  Rows that repeat an id count as one
     document (null ids too); extra columns are not read.  Words are compared as
     64-bit hashes, all `span` of a window.
     """
     words = docs.select(F.col(id_col).alias("id"), hashed_words(F.col(text_col)).alias("words"))
     items = benchmark.select(F.col(item_col).alias("item"), hashed_words(F.col(item_text_col)).alias("words"))
     long_items = fingerprinted(items.where(F.size("words") >= span), span, gram).select("item", "words", F.posexplode_outer("fps").alias("at", "fp"))
-    tests = long_items.select("fp", F.slice("words", F.col("at") + 1, span).alias("win"), "item").distinct()
+    tests = long_items.select("fp", F.slice("words", F.col("at") + 1, span).alias("win"), "item").distinct().withColumn("met", F.lit(True))
     shorts = items.where((F.size("words") > 0) & (F.size("words") < span)).distinct()
     n_windows, n_shorts = tests.count(), shorts.count()
     small = n_windows <= broadcast_windows
@@ -82,11 +83,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         met = rows.join(F.broadcast(tests.withColumnRenamed("fp", "test_fp")), (F.col("fp") == F.col("test_fp")) & (here == F.col("win")), "left")
     else:
         met = rows.select("id", "n_words", "at", "fp", here.alias("win")).join(tests, ["fp", "win"], "left")
-    met = met.where(first | F.col("item").isNotNull())
-    hits = met.select("id", "n_words", F.when(F.col("item").isNotNull(), F.struct(F.col("at").alias("start"), (F.col("at") + span).alias("end"))).alias("hit"), "item")
+    met = met.where(first | F.col("met"))
+    hits = met.select("id", "n_words", F.when(F.col("met"), F.struct(F.col("at").alias("start"), (F.col("at") + span).alias("end"))).alias("hit"), F.when(F.col("met"), F.struct("item")).alias("of"))
     if n_shorts:
         hits = hits.unionByName(_short_hits(words, shorts, n_shorts <= broadcast_windows))
-    found = hits.groupBy("id").agg(F.max("n_words").cast("long").alias("n_words"), F.collect_set("hit").alias("spans"), F.collect_set("item").alias("items"))
+    found = hits.groupBy("id").agg(F.max("n_words").cast("long").alias("n_words"), F.collect_set("hit").alias("spans"), F.transform(F.collect_set("of"), lambda x: x["item"]).alias("items"))
     n_hit = F.aggregate(
         F.array_sort("spans"),
         F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("end")),
@@ -105,4 +106,4 @@ def _short_hits(words: DataFrame, shorts: DataFrame, small: bool) -> DataFrame:
         rows = rows.join(tests.select(F.col("fp").alias("word")).distinct(), "word", "left_semi")
     start = F.col("at") - F.col("off")
     met = rows.join(F.broadcast(tests) if small else tests, (F.col("word") == F.col("fp")) & (start >= 0) & (F.slice("words", F.greatest(start, F.lit(0)) + 1, F.size("win")) == F.col("win")))
-    return met.select("id", "n_words", F.struct(start.alias("start"), (start + F.size("win")).alias("end")).alias("hit"), "item")
+    return met.select("id", "n_words", F.struct(start.alias("start"), (start + F.size("win")).alias("end")).alias("hit"), F.struct("item").alias("of"))

@@ -214,6 +214,16 @@ def test_decontamination(spark, docs, most):
     assert decontaminate.decontaminate(every.limit(0), bench, broadcast_windows=most).count() == 0
 
 
+@pytest.mark.parametrize("most", [decontaminate.BROADCAST_WINDOWS, 0])
+def test_decontamination_by_items_without_id(spark, most):
+    """Long and short items without an id count, and are one null among items."""
+    long, short = " ".join(WORDS[:20]), " ".join(WORDS[30:35])
+    bench = spark.createDataFrame([(None, long), (None, short), (None, short), (7, short)], "item_id long, text string")
+    every = spark.createDataFrame([(1, f"x {long} y"), (2, f"x {short} y"), (3, f"{long} {short}"), (4, "x y"), (5, None), (6, f"x {long} {long}")], "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, sorted(r["items"], key=str), r.contaminated) for r in decontaminate.decontaminate(every, bench, broadcast_windows=most).collect()}
+    assert got == {1: (22, 20, [None], True), 2: (7, 5, [7, None], True), 3: (25, 25, [7, None], True), 4: (2, 0, [], False), 5: (0, 0, [], False), 6: (41, 40, [None], True)}
+
+
 # --- 6 and 7
 
 
