@@ -78,8 +78,17 @@ def report_html(title: str, tables: dict[str, DataFrame], most_rows: int = 200)
     return f"<!doctype html><meta charset='utf-8'><title>{escape(title)}</title>" + "".join(parts)
 
 
-def log_histogram(df: DataFrame, value: Column, low: float, high: float, bins: int) -> DataFrame:
-    """(bin, n): counts over bins of equal width in log10; bin 0 lies below, bins + 1 above."""
-    x = F.log10(value)
-    at = F.when(x < low, 0).when(x >= high, bins + 1).otherwise(F.floor((x - low) / (high - low) * bins) + 1).cast("int")
-    return df.where(value > 0).select(at.alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
+def log_histogram(df: DataFrame, value: Column, low: float | None, high: float | None, bins: int) -> DataFrame:
+    """(bin, n): counts over bins of equal width in log10; bin 0 lies below, bins + 1 above.
+
+    A bound that is None is the least or greatest log of the table, and the last bin then holds the greatest too.
+    """
+    rows = df.where(value > 0).select(F.log10(value).alias("_x"))
+    ends = rows.agg(F.min("_x").alias("_min"), F.max("_x").alias("_max")) if low is None or high is None else None
+    rows = rows if ends is None else rows.join(F.broadcast(ends), how="cross")  # one row
+    x, lo, hi = F.col("_x"), F.col("_min") if low is None else F.lit(low), F.col("_max") if high is None else F.lit(high)
+    inside = F.floor((x - lo) / (hi - lo) * bins) + 1
+    above = (x >= hi) if high is not None else F.lit(False)
+    last = F.lit(False) if high is not None else x == hi
+    at = F.when(x < lo, 0).when(above, bins + 1).when(last, bins).otherwise(inside).cast("int")
+    return rows.select(at.alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("n"))

@@ -47,6 +47,16 @@ def test_tables(spark, tmp_path):
     assert a == b
 
 
+def test_log_histogram_counts_every_row(spark, tmp_path):
+    prices = [1.0, 10.0, 100.0, 799.0, 900.0, 950.0, 1000.0, 2500.0, 10000.0]
+    df = spark.createDataFrame([(p,) for p in prices], "p_retailprice double")
+    df.write.parquet(f"{tmp_path}/part.parquet")
+    assert sum(r.n for r in queries.log_histogram(spark, str(tmp_path)).collect()) == len(prices)
+    spanned = {r.bin: r.n for r in sinks.log_histogram(df, F.col("p_retailprice"), None, None, 4).collect()}
+    assert spanned == {1: 1, 2: 1, 3: 4, 4: 3}
+    assert [tuple(r) for r in sinks.log_histogram(df.limit(1), F.col("p_retailprice"), None, None, 4).collect()] == [(4, 1)]
+
+
 def test_streams(spark, tmp_path):
     events = spark.read.parquet(f"{SF}/events.parquet")
     events.repartition(3).write.parquet(f"{tmp_path}/in")
