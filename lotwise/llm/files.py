@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyarrow import fs
+from pyarrow import NativeFile, fs
 
 
 def publish(folder: str, name: str, data: bytes) -> str:
@@ -18,7 +18,7 @@ def publish(folder: str, name: str, data: bytes) -> str:
     return f"{folder}/{name}"
 
 
-def read(uri: str) -> bytes:
+def opened(uri: str) -> NativeFile:
+    """A file to be read by ranges, with read_at(size, offset)."""
     store, path = fs.FileSystem.from_uri(uri)
-    with store.open_input_file(path) as f:
-        return f.read()
+    return store.open_input_file(path)

@@ -89,20 +89,23 @@ class Bundle:
 
 
 class Archive:
-    """Records of a file by id, or all of them."""
+    """Records of a file by id, or all of them; what is read is the seek table, the index, and a frame at a time."""
 
-    def __init__(self, data: bytes):
-        n, _, magic = struct.unpack_from("<IBI", data, len(data) - 9)
+    def __init__(self, source: pa.NativeFile):
+        size = source.size()
+        n, _, magic = struct.unpack("<IBI", source.read_at(9, size - 9))
         if magic != SEEK_MAGIC:
             raise ValueError("no seek table")
-        table = np.frombuffer(data, "<u4", 2 * n, len(data) - 9 - 8 * n).reshape(n, 2)
-        self.data, self.starts = memoryview(data), np.concatenate([[0], np.cumsum(table[:, 0], dtype=np.int64)])
+        table = np.frombuffer(source.read_at(8 * n, size - 9 - 8 * n), "<u4").reshape(n, 2)
+        self.source, self.starts = source, np.concatenate([[0], np.cumsum(table[:, 0], dtype=np.int64)])
         self.sizes = table[:, 1]
-        self.index = np.frombuffer(data[self.starts[n - 1] + 8 : self.starts[n]], ENTRY)
+        at = int(self.starts[n - 1]) + 8
+        self.index = np.frombuffer(source.read_at(int(self.starts[n]) - at, at), ENTRY)
         self.by_id: dict[int, int] | None = None
 
     def frame(self, k: int) -> bytes:
-        return zstandard.ZstdDecompressor().decompress(self.data[self.starts[k] : self.starts[k + 1]], max_output_size=int(self.sizes[k]))
+        start, end = int(self.starts[k]), int(self.starts[k + 1])
+        return zstandard.ZstdDecompressor().decompress(self.source.read_at(end - start, start), max_output_size=int(self.sizes[k]))
 
     def record(self, page_id: int) -> bytes:
         if self.by_id is None:
@@ -125,7 +128,9 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
     smallest id is a response and the others revisits of it; smaller payloads
     are all responses.  A null payload is empty.  Equality is of the SHA-1
     digest and length.  A row that repeats the smallest id is a response too; a
-    null id is a revisit of any other; other columns are not read.
+    null id is a revisit of any other.  A very long payload is a frame of its
+    own; a null url is left out of the record; an empty table gives no file.
+    Other columns are not read and may have any name.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha1(F.col("html").cast("binary"))).withColumn("n", F.octet_length("html"))
@@ -166,7 +171,7 @@ def read(archives: DataFrame, id_col: str = "page_id") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name in (x for b in batches for x in b.column(0).to_pylist()):
             rows, held = [], 0
-            for page_id, raw in Archive(files.read(name)):
+            for page_id, raw in Archive(source := files.opened(name)):
                 warc, http, payload = parse(raw)
                 revisit, of = warc["WARC-Type"] == "revisit", warc.get("WARC-Refers-To")
                 digest = warc["WARC-Payload-Digest"].removeprefix("sha1:")
@@ -177,6 +182,7 @@ def read(archives: DataFrame, id_col: str = "page_id") -> DataFrame:
                 if held >= 16 << 20:
                     yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names)
                     rows, held = [], 0
+            source.close()
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names)
 

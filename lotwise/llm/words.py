@@ -10,17 +10,18 @@ import pyarrow.compute as pc
 import xxhash
 
 #: Bytes of text that are split at once; a batch of long documents goes in several parts.
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 4 << 20
 
 
-def chunks(batch: pa.RecordBatch, column: int = 1) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with about CHUNK_BYTES of text each, at least one row."""
+def chunks(batch: pa.RecordBatch, column: int = 1, size: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about `size` bytes of text each, at least one row; memory freed by one is given back before the next."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
     at = 0
     while at < batch.num_rows:
-        end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + CHUNK_BYTES, "right")))
+        end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + size, "right")))
         yield batch.slice(at, end - at)
         at = end
+    pa.default_memory_pool().release_unused()
 
 
 def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:

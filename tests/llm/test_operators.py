@@ -231,7 +231,7 @@ def test_decontamination_by_items_without_id(spark, most):
 def test_packing(bits):
     ids = np.random.default_rng(bits).integers(0, 1 << bits, 1000).astype(np.uint32)
     assert (token_files.unpack(token_files.pack(ids, bits), 1000, bits) == ids).all()
-    f = token_files.TokenFile(token_files.to_bytes(np.tile(ids, 200), [1, None, 3], [7, 0, 199_993], bits))
+    f = token_files.TokenFile(pa.BufferReader(token_files.to_bytes(np.tile(ids, 200), [1, None, 3], [7, 0, 199_993], bits)))
     assert (f.ids(65_530, 131_080) == np.tile(ids, 200)[65_530:131_080]).all()
     assert (f.document(0) == ids[:7]).all() and len(f.document(1)) == 0 and f.doc_ids[1] == token_files.NULL_ID
 
@@ -270,7 +270,7 @@ def test_warc_random_access():
     raws = {i: warc.record(i, "u", bytes([65 + i % 26]) * 9000, None, False, "2024-01-01T00:00:00Z") for i in range(200)}
     for i, r in raws.items():
         b.add(i, r)
-    a = warc.Archive(b.to_bytes())
+    a = warc.Archive(pa.BufferReader(b.to_bytes()))
     assert len(b.frames) > 3 and all(a.record(i) == raws[i] for i in (0, 57, 199)) and [i for i, _ in a] == [*raws]
 
 
