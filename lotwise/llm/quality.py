@@ -51,10 +51,11 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     texts = pc.fill_null(texts, "")
     distinct, codes, bounds = words.split(pc.utf8_lower(texts))
     n_docs, n = len(bounds) - 1, np.diff(bounds)
-    doc = np.repeat(np.arange(n_docs), n)
-    bucket = (words.hashes(distinct) % np.uint64(WORD_BUCKETS)).astype(np.int64)
+    doc = np.repeat(np.arange(n_docs, dtype=np.int32), n)
+    bucket = (words.hashes(distinct) % np.uint64(WORD_BUCKETS)).astype(np.int32)
     keys, counts = np.unique(doc * np.int64(len(distinct) + 1) + codes, return_counts=True)
-    word_doc, word = keys // (len(distinct) + 1), keys % (len(distinct) + 1)
+    word_doc, word = (keys // (len(distinct) + 1)).astype(np.int32), (keys % (len(distinct) + 1)).astype(np.int32)
+    del keys
     value = np.sqrt(counts)
     value /= np.sqrt(np.maximum(np.bincount(word_doc, counts, n_docs), 1e-9))[word_doc]
 
@@ -76,7 +77,7 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     line_codes = pc.list_flatten(lines).dictionary_encode()
     line_keys = np.unique(line_doc * np.int64(len(line_codes.dictionary) + 1) + line_codes.indices.to_numpy())
     n_lines = np.bincount(line_doc, minlength=n_docs)
-    chars = pc.binary_length(distinct).to_numpy(zero_copy_only=False)
+    chars = pc.binary_length(distinct).to_numpy(zero_copy_only=False).astype(np.int32)
     stats = {
         "distinct": np.bincount(word_doc, minlength=n_docs) / full,
         "top": top / full,
@@ -97,8 +98,8 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     k = len(STATISTICS)
     per_doc = np.bincount(word_doc, minlength=n_docs) + k
     out_bounds = np.concatenate([[0], np.cumsum(per_doc)])
-    ids, values = np.zeros(out_bounds[-1], np.int64), np.zeros(out_bounds[-1], np.float32)
-    at = np.arange(len(keys)) + k * word_doc
+    ids, values = np.zeros(out_bounds[-1], np.int32), np.zeros(out_bounds[-1], np.float32)
+    at = np.arange(len(word)) + k * word_doc
     ids[at], values[at] = bucket[word], value
     tail = (out_bounds[1:, None] - k + np.arange(k)).reshape(-1)
     ids[tail], values[tail] = stat_ids.reshape(-1), 0.3
@@ -115,6 +116,7 @@ class FactorisationMachine:
     factors: np.ndarray
 
     def raw(self, bounds: np.ndarray, ids: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """Of documents one after another; each has a feature at least."""
         x = values[:, None]
         vx = self.factors[ids] * x
         total = np.add.reduceat(vx, bounds[:-1], axis=0)
@@ -159,16 +161,29 @@ def crc_of(id_: Column) -> Column:
     return F.crc32(id_.cast("string").cast("binary"))
 
 
-def sampled(labels: DataFrame, allowed: Column, id_col: str, label_col: str, rows: int) -> DataFrame:
-    """At most `rows` labelled ids that may be learned from, and one label for each (the largest, if they differ)."""
-    usable = labels.where(allowed & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("labelled")).agg(F.max(label_col).alias("label"))
+def held_out(id_: Column, folds: int, held_fold: int) -> Column:
+    """Whether a row is never learned from; one without an id is not held out."""
+    return F.coalesce(F.pmod(crc_of(id_), F.lit(folds)) == held_fold, F.lit(False))
+
+
+def sampled(labels: DataFrame, id_col: str, label_col: str, folds: int, held_fold: int, rows: int) -> DataFrame:
+    """(labelled, label): at most `rows` ids that may be learned from, and one label for each (the largest, if they differ)."""
+    known = labels.select(F.col(id_col).alias("labelled"), F.col(label_col).alias("label")).where("labelled is not null and label is not null")
+    usable = known.where(~held_out(F.col("labelled"), folds, held_fold)).groupBy("labelled").agg(F.max("label").alias("label"))
     return usable.orderBy(F.xxhash64("labelled"), "labelled").limit(rows)
 
 
-def train(docs: DataFrame, labels: DataFrame, allowed: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS) -> FactorisationMachine:
-    """Fit on at most `sample_rows` labelled documents; only their hashed features come to the driver."""
-    chosen = F.broadcast(sampled(labels, allowed, id_col, label_col, sample_rows))
-    rows = docs.join(chosen, F.col(id_col) == F.col("labelled")).select("label", text_col)
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 4, held_fold: int = 2, sample_rows: int = SAMPLE_ROWS) -> FactorisationMachine:
+    """Fit on at most `sample_rows` labelled documents, the whole text of each; only hashed features come to the driver.
+
+    These take 8 bytes for each distinct word of a document, and as there are
+    WORD_BUCKETS of them no document gives more than 0.5 MB (documents of 300
+    distinct words: 30 MB for 12,000 rows).  Give fewer `sample_rows` where
+    documents are whole books.
+    """
+    chosen = F.broadcast(sampled(labels, id_col, label_col, folds, held_fold, sample_rows))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = texts.join(chosen, F.col("id") == F.col("labelled")).select("label", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in (c for b in batches for c in words.chunks(b)):
@@ -186,28 +201,38 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column, id_col: str = "do
     return fit([pairs[i] for i in order], y[order])
 
 
-def scored(docs: DataFrame, model: FactorisationMachine, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """`docs` with the score of every whole text, null and empty ones too, in a further column."""
+def scored(docs: DataFrame, model: FactorisationMachine, text_col: str = "text", score_col: str = "score", least: float | None = None) -> DataFrame:
+    """`docs` with the score of every whole text, null and empty ones too, in a further column.
+
+    With `least`, only the rows that score as much come back from the Python
+    workers, and without the further column.  All columns pass, whatever their names.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in (c for b in batches for c in words.chunks(b, at)):
-            scores = pa.array(shared.value.score(*features(part.column(at))), pa.float64())
-            yield pa.RecordBatch.from_arrays([*part.columns, scores], [*part.schema.names, score_col])
+            scores = shared.value.score(*features(part.column(at)))
+            if least is None:
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores, pa.float64())], names)
+            else:
+                yield part.filter(pa.array(scores >= least))
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())]))
+    names = [*docs.columns, *([score_col] if least is None else [])]
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *([T.StructField(score_col, T.DoubleType())] if least is None else [])]))
 
 
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 4, held_fold: int = 2, threshold: float = 0.7, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """(id, held_out, score, predicted) of every document.
 
     Labels of ids with crc32(id) mod `folds` = `held_fold` are not learned from.
-    Without labels, every score is that of an untrained model.  Rows are scored
-    one by one, repeated ones alike; a null id is not held out.  The model reads
-    texts only.
+    Without labels, every score is that of an untrained model.  A null text is
+    empty; an empty one, or one without words, has the score of statistics that
+    are all 0.  Very long texts are scored whole, alone in their chunk.  Rows are
+    scored one by one, repeated ones alike; a null id is not held out; an empty
+    table gives no rows.  Only the id and the text of `docs`, and the id and the
+    label of `labels`, are read; other columns may have any name.
     """
-    allowed = F.pmod(crc_of(F.col(id_col)), F.lit(folds)) != held_fold
-    model = train(docs, labels, allowed, id_col, text_col, label_col, sample_rows)
-    held = F.coalesce(F.pmod(crc_of(F.col(id_col)), F.lit(folds)) == held_fold, F.lit(False))
-    return scored(docs.select(id_col, text_col), model, text_col).select(id_col, held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    model = train(docs, labels, id_col, text_col, label_col, folds, held_fold, sample_rows)
+    rows = scored(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), model)
+    return rows.select(F.col("id").alias(id_col), held_out(F.col("id"), folds, held_fold).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lotwise.llm import words
-from lotwise.llm.quality import crc_of, sampled
+from lotwise.llm.quality import held_out, sampled
 
 BUCKETS = 1 << 18
 
@@ -48,22 +48,32 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments (start, end, score), by Ruzzo and Tompa; only positive scores are visited."""
+    """All maximal scoring segments (start, end, score), by Ruzzo and Tompa, in linear time; only positive scores are visited.
+
+    Each candidate keeps the place of the last one before it whose sum up to its
+    start is lower, and the search goes from one such to the next.  Where none
+    is lower, all candidates are maximal and done.
+    """
     before = np.concatenate([[0.0], np.cumsum(scores)])
     at = np.flatnonzero(scores > 0)
-    found: list[tuple[int, int, float, float]] = []  # start, end, sum before the start, sum to the end
+    done: list[tuple[int, int, float]] = []
+    found: list[tuple[int, int, float, float, int]] = []  # start, end, sum before the start, sum to the end, last lower one
     for i, left, right in zip(at.tolist(), before[at].tolist(), before[at + 1].tolist()):
-        start = i
+        start, j = i, len(found) - 1
         while True:
-            j = len(found) - 1
             while j >= 0 and found[j][2] >= left:
-                j -= 1
-            if j < 0 or found[j][3] >= right:
+                j = found[j][4]
+            if j < 0:
+                done += [(s, e, r - l) for s, e, l, r, _ in found]
+                found.clear()
+                break
+            if found[j][3] >= right:
                 break
-            start, left = found[j][0], found[j][2]
+            start, left, lower = found[j][0], found[j][2], found[j][4]
             del found[j:]
-        found.append((start, i + 1, left, right))
-    return [(s, e, r - l) for s, e, l, r in found]
+            j = lower
+        found.append((start, i + 1, left, right, j))
+    return done + [(s, e, r - l) for s, e, l, r, _ in found]
 
 
 @dataclass
@@ -116,8 +126,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
 
     What comes to the driver is a row for each bucket, and one for each sampled document.
     """
-    allowed = F.pmod(crc_of(F.col(id_col)), F.lit(folds)) != held_fold
-    chosen = F.broadcast(sampled(labels, allowed, id_col, label_col, sample_rows))
+    chosen = F.broadcast(sampled(labels, id_col, label_col, folds, held_fold, sample_rows))
     half = F.pmod(F.xxhash64("labelled", F.lit(1)), F.lit(2))
     marked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen.withColumn("half", half), F.col("id") == F.col("labelled"), "left")
 
@@ -178,9 +187,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """(id, held_out, score, predicted, passages) of every document; passages are spans of words and their surprise.
 
     Labels of ids with crc32(id) mod `folds` = `held_fold` are not learned from.
-    Null and empty texts have no segment and the lowest score.  Rows are scored
-    one by one, repeated ones alike; a null id is not held out.  The model reads
-    texts only; without labels every score is below the threshold.
+    Null and empty texts have no segment and the lowest score.  Very long texts
+    are scanned whole, in linear time.  Rows are scored one by one, repeated ones
+    alike; a null id is not held out; an empty table gives no rows.  Without
+    labels every score is below the threshold.  Only the id and the text of
+    `docs`, and the id and the label of `labels`, are read; other columns may
+    have any name.
     """
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, id_col, text_col, label_col, folds, held_fold, sample_rows))
 
@@ -196,5 +208,4 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     rows = docs.select(id_col, text_col)
     scored = rows.mapInArrow(run, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, score double, passages array<struct<start:int,end:int,surprise:double>>")
-    held = F.coalesce(F.pmod(crc_of(F.col(id_col)), F.lit(folds)) == held_fold, F.lit(False))
-    return scored.select(id_col, held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "passages")
+    return scored.select(id_col, held_out(F.col(id_col), folds, held_fold).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "passages")
