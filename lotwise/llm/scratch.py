@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import functools
+import re
 import shutil
 import tempfile
 import uuid
@@ -19,8 +20,11 @@ def _local() -> str:
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A new path under spark.checkpoint.dir; a temporary folder of this machine only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or _local()
+    """A new path under spark.checkpoint.dir; where that is unset, under a temporary folder if all of Spark runs in this process."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
+        raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
+    root = root or _local()
     return f"{root.rstrip('/')}/lotwise-{uuid.uuid4().hex}/{name}"
 
 
