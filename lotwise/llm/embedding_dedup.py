@@ -3,8 +3,8 @@
 Unit vectors are cut in halves with a codebook each; a cell is a pair of codes.
 From a vector, cells are visited in the order of their distance by the
 multi-sequence walk, as far as the target recall asks.  Vectors that meet in a
-cell are compared by cosine.  Equal vectors are one class, and large cells are
-compared in blocks, so that no group grows with the input.
+cell are compared by cosine.  Vectors of one direction are one class, and large
+cells are compared in blocks, so that no group grows with the input.
 """
 
 from __future__ import annotations
@@ -13,21 +13,26 @@ import heapq
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lotwise.llm import scratch
-from lotwise.llm.components import UnionFind, components
+from lotwise.llm.components import components
 
-#: Vectors that the codebooks are fitted on, at most; all vectors are indexed.
+#: Vectors that the codebooks are fitted on, in the mean; all vectors are indexed.
 SAMPLE_ROWS = 20_000
 
-#: Vectors of a cell that are compared at once, as visitors and as residents.
-BLOCK = 2048
+#: Vectors of a label that a cell should hold, and sampled vectors that a code needs: these give the size of the codebooks.
+CELL, PER_CODE = 2000, 40
 
-RECALL, ROUNDS, SEED = 0.998, 12, 11
+#: Vectors of a cell that are compared by one task at once, as visitors and as residents, and visitors at a time.
+BLOCK, STEP = 4096, 512
+
+#: Share of the pairs just at the threshold that one of the two must find; either may.
+RECALL = 0.97
+
+ROUNDS, SEED = 12, 11
 
 
 def unit(raw: np.ndarray) -> np.ndarray:
@@ -70,6 +75,12 @@ class MultiIndex:
         a, b = self.halves(x)
         return a.argmin(1), b.argmin(1)
 
+    def cells(self, x: np.ndarray) -> Iterator[tuple[tuple[int, int], Iterator[tuple[int, int]]]]:
+        """Home, and the cells to visit (home among them), of each vector."""
+        a, b = self.halves(x)
+        for k, home in enumerate(zip(a.argmin(1).tolist(), b.argmin(1).tolist())):
+            yield home, self.walk(a[k], b[k])
+
     def walk(self, a: np.ndarray, b: np.ndarray) -> Iterator[tuple[int, int]]:
         """Cells in the order of a[i] + b[j] while within reach of the nearest: the multi-sequence algorithm."""
         order = np.argsort(a, kind="stable").tolist(), np.argsort(b, kind="stable").tolist()
@@ -92,98 +103,149 @@ class MultiIndex:
         return a[:, i] + b[:, j] <= (a.min(1) + b.min(1) + self.reach)[:, None]
 
 
+class OneCell:
+    """In place of an index where the vectors of a label are no more than a cell holds."""
+
+    def cells(self, x: np.ndarray) -> Iterator[tuple[tuple[int, int], list[tuple[int, int]]]]:
+        return (((0, 0), [(0, 0)]) for _ in x)
+
+    def home(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
+
+    def visits(self, x: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return np.ones((len(x), len(i)), bool)
+
+
+def directions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, label, dim, u) of rows (id, label, v): unit vectors; scaled by the largest component first, so that no square over- or underflows."""
+    for batch in (b for b in batches if b.num_rows):
+        n = batch.column(2).value_lengths().to_numpy()
+        starts, x = np.cumsum(n) - n, batch.column(2).flatten().to_numpy()
+        x = x / np.repeat(np.maximum.reduceat(np.abs(x), starts), n)
+        x = x / np.repeat(np.sqrt(np.add.reduceat(x * x, starts)), n) + 0.0
+        u = pa.ListArray.from_arrays(pa.array(np.concatenate([starts, [len(x)]]), pa.int32()), pa.array(x))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int32()), u], ["id", "label", "dim", "u"])
+
+
+def linked_groups(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Group numbers of the rows and of the columns of a matrix of links; those without links have -1."""
+    columns = np.arange(linked.shape[1])
+    some = np.flatnonzero(linked.any(1))
+    for r in some:
+        own = columns[linked[r]]
+        if (own != (least := own.min())).any():
+            columns[np.isin(columns, own)] = least
+    rows = np.full(len(linked), -1)
+    rows[some] = columns[linked[some].argmax(1)]
+    columns[~linked.any(0)] = -1
+    return rows, columns
+
+
+def fitted(classes: DataFrame, cosine: float, sample_rows: int, recall: float) -> dict[int, MultiIndex | OneCell]:
+    """An index for each number of dimensions; of all vectors together about `sample_rows` come to the driver."""
+    sizes = classes.groupBy("dim", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("dim").agg(F.sum("c").alias("n"), (F.sum(F.col("c") * F.col("c")) / F.sum("c")).alias("typical"))
+    typical = {r["dim"]: (r["n"], r["typical"]) for r in sizes.toLocalIterator()}
+    share = min(1.0, sample_rows / max(1, sum(n for n, _ in typical.values())))
+    sample = classes.where(F.pmod(F.xxhash64("hash"), F.lit(1 << 30)) < int(share * (1 << 30))).select("dim", "hash", "u").toArrow()
+    dims, hashes = sample.column("dim").to_numpy(), sample.column("hash").to_numpy()
+    out: dict[int, MultiIndex | OneCell] = {}
+    for dim, (_, in_label) in typical.items():
+        at = np.flatnonzero(dims == dim)
+        codes = min(round((in_label / CELL) ** 0.5), len(at) // PER_CODE)
+        if codes < 2 or dim < 2:
+            out[dim] = OneCell()
+            continue
+        own = sample.column("u").take(pa.array(at[np.argsort(hashes[at], kind="stable")])).combine_chunks()
+        own = pa.concat_arrays(own.chunks) if isinstance(own, pa.ChunkedArray) else own
+        out[dim] = MultiIndex(own.flatten().to_numpy().reshape(-1, dim), codes, cosine, recall)
+    return out
+
+
 def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", cosine: float = 0.93, sample_rows: int = SAMPLE_ROWS, recall: float = RECALL) -> DataFrame:
-    """(id, n_links, component_id, kept): vectors of one label with a cosine of at least `cosine`.
+    """(id, n_links, component_id, kept) of every row: vectors of one label with a cosine of at least `cosine`.
 
     Cosines are in double precision; no link below the threshold is made.  A
     vector that is null, empty, zero, or holds a null or non-finite component,
     or whose label is null, links with nothing; so do vectors of different
-    dimensions.  n_links counts the other rows linked directly, equal ones too;
-    component_id is the smallest id reachable, and kept marks it.  Ids must be
-    distinct longs; a row without an id links with nothing.  Other columns are
-    not read.  Codebooks and the reach of a visit are fitted on at most
-    `sample_rows` vectors, for pairs just at the threshold.
+    dimensions.  Very large and very small components and vectors of one
+    dimension are compared like any others.  n_links counts the other rows linked
+    directly, equal ones too; component_id is the smallest id reachable, and kept
+    marks it.  Ids are longs; rows that repeat an id are vectors of their own, and
+    a row without an id links with nothing.  Only the three columns named are
+    read; others may have any name.  Codebooks and the reach of a visit are fitted
+    on about `sample_rows` vectors, for pairs just at the threshold.  An empty
+    table gives no rows.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vec_col).cast("array<double>").alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    good = F.coalesce(F.col("id").isNotNull() & F.col("label").isNotNull() & (F.size("v") > 1) & finite & F.exists("v", lambda x: x != 0), F.lit(False))
-    rows = rows.withColumn("ok", good).withColumn("dim", F.size("v"))
-    fine = rows.where("ok").withColumn("hash", F.xxhash64("v"))
-    classes = scratch.table(fine.groupBy("label", "dim", "hash", "v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size")), "classes")
-    counted = classes.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("label").alias("labels"))
-    indexes: dict[int, MultiIndex] = {}
-    for dim, n, labels in counted.toLocalIterator():  # a row for each number of dimensions
-        sample = classes.where(F.col("dim") == dim).orderBy(F.xxhash64("rep"), "rep").limit(sample_rows).select("v").toArrow().column(0).combine_chunks()
-        flat = pa.concat_arrays(sample.chunks) if isinstance(sample, pa.ChunkedArray) else sample
-        x = unit(flat.flatten().to_numpy().reshape(-1, dim))
-        codes = int(np.clip(round((n / labels / 20) ** 0.5), 2, 256))
-        indexes[dim] = MultiIndex(x, codes, cosine, recall)
-    shared = spark.sparkContext.broadcast(indexes)
+    good = F.coalesce(F.col("id").isNotNull() & F.col("label").isNotNull() & finite & F.exists("v", lambda x: x != 0), F.lit(False))
+    rows = rows.withColumn("ok", good)
     kind = rows.schema["label"].dataType.simpleString()
+    fine = rows.where("ok").select("id", "label", "v").mapInArrow(directions, f"id long, label {kind}, dim int, u array<double>")
+    fine = scratch.table(fine.withColumn("hash", F.xxhash64("u")), "directions")
+    same = ["label", "dim", "hash", "u"]
+    classes = scratch.table(fine.groupBy(*same).agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("size")).withColumn("node", F.monotonically_increasing_id()), "classes")
+    shared = spark.sparkContext.broadcast(fitted(classes, cosine, sample_rows, recall))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             dims = batch.column(1).to_numpy()
             for dim in np.unique(dims):
-                part, index = batch.filter(pa.array(dims == dim)), shared.value[int(dim)]
-                a, b = index.halves(unit(part.column(4).flatten().to_numpy().reshape(-1, dim)))
-                home = list(zip(a.argmin(1).tolist(), b.argmin(1).tolist()))
-                row, i, j, resident = [], [], [], []
-                for r in range(len(a)):
-                    for x, y in [home[r], *index.walk(a[r], b[r])]:
-                        row.append(r)
-                        i.append(x)
-                        j.append(y)
-                    resident += [True, *[False] * (len(row) - len(resident) - 1)]
+                part = batch.filter(pa.array(dims == dim))
+                x = part.column(4).flatten().to_numpy().reshape(-1, dim)
+                placed = [(r, *cell, first) for r, (home, cells) in enumerate(shared.value[int(dim)].cells(x)) for first, some in ((True, [home]), (False, cells)) for cell in some]
+                row, i, j, resident = zip(*placed)
                 took = [part.column(c).take(pa.array(row, pa.int64())) for c in range(5)]
-                yield pa.RecordBatch.from_arrays([*took, pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(resident)], ["label", "dim", "id", "size", "v", "i", "j", "resident"])
+                yield pa.RecordBatch.from_arrays([*took, pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(resident)], ["label", "dim", "node", "size", "u", "i", "j", "resident"])
 
-    placed = classes.select("label", "dim", F.col("rep").alias("id"), "size", "v").mapInArrow(place, f"label {kind}, dim int, id long, size long, v array<double>, i int, j int, resident boolean")
+    placed = classes.select("label", "dim", "node", "size", "u").mapInArrow(place, f"label {kind}, dim int, node long, size long, u array<double>, i int, j int, resident boolean")
     placed = scratch.table(placed, "placed")
     cell = ["label", "dim", "i", "j"]
     blocks = placed.groupBy(*cell).agg(F.ceil(F.count_if("resident") / BLOCK).cast("int").alias("r"), F.ceil(F.count_if(~F.col("resident")) / BLOCK).cast("int").alias("q"))
-    blocks = scratch.table(blocks.where("r > 0"), "blocks")
+    blocks = scratch.table(blocks.where("r > 0 and q > 0"), "blocks")
     mine, n_mine, n_other = F.col("resident"), F.when(F.col("resident"), F.col("r")).otherwise(F.col("q")), F.when(F.col("resident"), F.col("q")).otherwise(F.col("r"))
-    dealt = placed.join(blocks, cell).withColumn("own", F.pmod(F.xxhash64("id"), n_mine).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), n_other - 1)))
-    dealt = dealt.select(*cell, "resident", F.when(mine, F.col("own")).otherwise(F.col("other")).alias("r"), F.when(mine, F.col("other")).otherwise(F.col("own")).alias("q"), "id", "size", "v")
-
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        index = shared.value[int(group["dim"].iloc[0])]
-        here, come = group[group["resident"]], group[~group["resident"]]
-        if here.empty or come.empty:
-            return pd.DataFrame({"id": [], "links": [], "root": []}).astype("int64")
-        x, y = unit(np.stack(come["v"].to_numpy())), unit(np.stack(here["v"].to_numpy()))
-        a, b = come["id"].to_numpy(), here["id"].to_numpy()
-        at, to = np.nonzero((x @ y.T >= cosine) & (a[:, None] != b[None, :]))
-        links = np.bincount(at, here["size"].to_numpy()[to], len(a)).astype(np.int64)
-        # A resident that visits the visitor's cell counts the link there, else here.
+    dealt = placed.join(blocks, cell).withColumn("own", F.pmod(F.xxhash64("node"), n_mine).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), n_other - 1)))
+    dealt = dealt.select(*cell, F.when(mine, F.col("own")).otherwise(F.col("other")).alias("r"), F.when(mine, F.col("other")).otherwise(F.col("own")).alias("q"), "resident", "node", "size", "u")
+
+    def compare(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        dim = group.column("dim")[0].as_py()
+        index, here = shared.value[dim], group.column("resident").to_numpy()
+        nodes, sizes = group.column("node").to_numpy(), group.column("size").to_numpy()
+        x = pa.concat_arrays(group.column("u").chunks).flatten().to_numpy().reshape(-1, dim)
+        y, b, size_b = x[here], nodes[here], sizes[here]
+        x, a, size_a = x[~here], nodes[~here], sizes[~here]
         hi, hj = index.home(x)
-        back = np.zeros(len(at), bool)
-        used = np.unique(at)
-        if len(used):
-            meets = index.visits(y, hi[used], hj[used])
-            back = meets[to, np.searchsorted(used, at)]
-        more = np.bincount(to[~back], come["size"].to_numpy()[at[~back]], len(b)).astype(np.int64)
-        sets = UnionFind()
-        first = np.unique(at, return_index=True)[1]
-        for u, w in zip(at.tolist(), to.tolist()) if len(at) <= 4 * (len(a) + len(b)) else ((at[f], to[f]) for f in first):
-            sets.union(int(a[u]), int(b[w]))
-        if len(at) > 4 * (len(a) + len(b)):
-            for u, w in zip(a[at].tolist(), b[to].tolist()):
-                if sets.parent.get(u) != sets.parent.get(w):
-                    sets.union(u, w)
-        some_a, some_b = np.flatnonzero(links), np.unique(to)
-        ids, counts = np.concatenate([a[some_a], b[some_b]]), np.concatenate([links[some_a], more[some_b]])
-        return pd.DataFrame({"id": ids, "links": counts, "root": [sets.find(int(v)) for v in ids]})
+        found = []
+        for k in range(0, len(a), STEP) if len(b) else ():
+            some = slice(k, k + STEP)
+            linked = (x[some] @ y.T >= cosine) & (a[some, None] != b[None, :])
+            if not linked.any():
+                continue
+            links = linked @ size_b
+            # A resident that visits the visitor's cell counts the link there, else here.
+            here_only = np.zeros_like(linked)
+            row, to = np.flatnonzero(linked.any(1)), np.flatnonzero(linked.any(0))
+            here_only[np.ix_(row, to)] = linked[np.ix_(row, to)] & ~index.visits(y[to], hi[some][row], hj[some][row]).T
+            more = size_a[some] @ here_only
+            rows_in, columns_in = linked_groups(linked)
+            ids, groups = np.concatenate([a[some], b]), np.concatenate([rows_in, columns_in])
+            counts, ids, groups = np.concatenate([links, more])[groups >= 0], ids[groups >= 0], groups[groups >= 0]
+            root = np.full(len(b), np.iinfo(np.int64).max)
+            np.minimum.at(root, groups, ids)
+            found.append((ids, counts, root[groups]))
+        columns = [np.concatenate(c).astype(np.int64) for c in zip(*found)] if found else [np.zeros(0, np.int64)] * 3
+        return pa.table(columns, ["node", "links", "root"])
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = dealt.repartition(n, *cell, "r", "q").groupBy(*cell, "r", "q").applyInPandas(compare, "id long, links long, root long")
+    found = dealt.repartition(n, *cell, "r", "q").groupBy(*cell, "r", "q").applyInArrow(compare, "node long, links long, root long")
     found = scratch.table(found, "found")
-    counts = found.groupBy("id").agg(F.sum("links").alias("links"))
-    parts = components(found.select("id", "root"))
-    classed = classes.select("label", "dim", "hash", "v", "rep", "size").join(counts, F.col("rep") == F.col("id"), "left").drop("id").join(parts, F.col("rep") == F.col("node"), "left")
-    classed = scratch.table(classed.select("label", "dim", "hash", "v", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "classed")
-    linked = fine.select("id", "label", "dim", "hash", "v").join(classed, ["label", "dim", "hash", "v"]).select("id", "n_links", "component_id")
+    counts = found.groupBy("node").agg(F.sum("links").alias("links"))
+    parts = components(found.select("node", "root")).withColumnRenamed("node", "member")
+    classed = classes.select(*same, "node", "least", "size").join(counts, "node", "left").join(parts, F.col("node") == F.col("member"), "left")
+    classed = scratch.table(classed.select(*same, "least", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("component", "node").alias("part")), "classed")
+    least = classed.groupBy("part").agg(F.min("least").alias("component_id"))
+    linked = fine.join(classed.join(least, "part").drop("part", "least"), same).select("id", "n_links", "component_id")
     alone = rows.where(~F.col("ok")).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return linked.unionByName(alone).select(F.col("id").alias(id_col), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -395,6 +395,40 @@ def test_walk_is_in_order_of_distance():
         assert np.allclose(cells, want)
 
 
+def test_extreme_vectors_and_repeated_ids(spark):
+    """One dimension, components whose squares over- or underflow, and rows that repeat an id."""
+    rows = [(1, [3.0], 0), (2, [4.0], 0), (3, [-1.0], 0), (4, [1e200, 1.0], 0), (5, [1e200, 2.0], 0), (6, [1e-200, 0.0], 0), (7, [-2e-320, 0.0], 0), (8, [1.0, 0.0], 0), (9, [1e308, 1e308, -0.0], 0), (10, [1e-308, 1e-308, 0.0], 0)]
+    rows += [(20, [0.0, 1.0, 0.0, 0.0], 1), (20, [1.0, 0.0, 0.0, 0.0], 1), (21, [0.99, 0.05, 0.0, 0.0], 1), (22, [0.0, 0.0, 0.0, 1.0], 1), (22, [0.0, 0.0, 0.0, 1.0], 1)]
+    got = collections.Counter(map(tuple, embedding_dedup.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()))
+    want = [(1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True), (4, 3, 4, True), (5, 3, 4, False), (6, 3, 4, False), (8, 3, 4, False), (7, 0, 7, True), (9, 1, 9, True), (10, 1, 9, False)]
+    want += [(20, 0, 20, True), (20, 1, 20, True), (21, 1, 20, False), (22, 1, 22, True), (22, 1, 22, True)]
+    assert got == collections.Counter(want)
+
+
+def test_recall_on_a_fine_grid(spark, monkeypatch):
+    """20,000 vectors of two labels on a grid of 22 x 22 cells; near copies in random and in few directions, many just at the threshold."""
+    monkeypatch.setattr(embedding_dedup, "CELL", 20)
+    rng = np.random.default_rng(17)
+    n, dim = 16_000, 32
+    base = embedding_dedup.unit(rng.normal(size=(n, dim)))
+    away = rng.normal(size=(4000, dim))
+    away[2000:, 3:] = 0
+    away -= (away * base[:4000]).sum(1, keepdims=True) * base[:4000]
+    c = rng.uniform(0.93, 0.96, (4000, 1))
+    x = np.concatenate([base, c * base[:4000] + (1 - c**2) ** 0.5 * embedding_dedup.unit(away)])
+    label = np.concatenate([np.arange(n) % 2, np.arange(4000) % 2])
+    df = spark.createDataFrame([(i, v.tolist(), int(k)) for i, (v, k) in enumerate(zip(x, label))], "vec_id long, embedding array<double>, label int")
+    want = np.zeros(len(x), int)
+    for k in (0, 1):
+        at = np.flatnonzero(label == k)
+        for some in np.array_split(at, 10):
+            want[some] = (x[some] @ x[at].T >= 0.93).sum(1) - 1
+    got = np.array([r.n_links for r in sorted(embedding_dedup.near_duplicate_vectors(df).collect())])
+    assert embedding_dedup.fitted(df.selectExpr("label", "size(embedding) dim", "xxhash64(embedding) hash", "embedding u"), 0.93, 20_000, 0.97)[dim].books[0].shape[0] >= 16
+    print("recall", got.sum() / want.sum())
+    assert (got <= want).all() and want.sum() > 7000 and got.sum() >= 0.95 * want.sum()
+
+
 def test_large_cells_are_cut_into_blocks(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "BLOCK", 16)
     rng = np.random.default_rng(13)
