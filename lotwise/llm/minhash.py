@@ -77,7 +77,9 @@ def shingle_sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(sets) if sets else np.zeros(0, np.uint64), np.concatenate([[0], np.cumsum(sizes)])
 
 
-LEVEL_BITS = np.uint64(25)
+def level_bits(slots: int) -> int:
+    """Bits of a signature's 32 that hold the fraction; those above hold levels 0 to slots - 1."""
+    return 32 - max(1, (slots - 1).bit_length())
 
 
 def superminhash(elements: np.ndarray, bounds: np.ndarray, slots: int) -> np.ndarray:
@@ -87,19 +89,19 @@ def superminhash(elements: np.ndarray, bounds: np.ndarray, slots: int) -> np.nda
     at level j it offers j + r to its j-th slot.  A set is finished as soon as
     no slot is above the level, so that most stop after a few levels.
     """
-    n_sets, m = len(bounds) - 1, slots
+    n_sets, m, low = len(bounds) - 1, slots, level_bits(slots)
     sig = np.full(n_sets * m, 0xFFFFFFFF, np.uint32)
     owner = np.repeat(np.arange(n_sets), np.diff(bounds))
 
     def draw(x: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
         r = words.mix(x + np.uint64((level + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
-        value = (np.uint64(level) << LEVEL_BITS) | (r >> (np.uint64(64) - LEVEL_BITS))
+        value = np.uint64(level << low) | (r >> np.uint64(64 - low))
         return value.astype(np.uint32), (level + (((r & np.uint64(0x7FFFFFFF)) * np.uint64(m - level)) >> np.uint64(31))).astype(np.int64)
 
     value, slot = draw(elements, 0)
     np.minimum.at(sig, owner * m + slot, value)
     sig = sig.reshape(n_sets, m)
-    rest = np.flatnonzero((sig.max(1) >= (1 << int(LEVEL_BITS))) & (np.diff(bounds) > 0))
+    rest = np.flatnonzero((sig.max(1) >= (1 << low)) & (np.diff(bounds) > 0))
     sizes = np.diff(bounds)[rest]
     parts = np.searchsorted(np.cumsum(sizes), np.arange(ELEMENTS, sizes.sum() + ELEMENTS, ELEMENTS), "left") + 1 if len(rest) else []
     for start, end in zip([0, *parts], parts):
@@ -113,7 +115,7 @@ def superminhash(elements: np.ndarray, bounds: np.ndarray, slots: int) -> np.nda
         order[np.arange(len(x)), first] = 0
         order[:, 0] = first
         for level in range(1, m):
-            open_ = (sig[sets].max(1) >= (level << int(LEVEL_BITS)))
+            open_ = (sig[sets].max(1) >= (level << low))
             if not open_.any():
                 break
             if not open_.all():
@@ -147,20 +149,20 @@ def _sketch(size: int, bands: int, rows: int):
                 key = words.mix(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, r])
             key = key[some].view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(some * bands)]), pa.int32()), pa.array(key.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), *sums, lists], ["id", "n", "k1", "k2", "bands"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(n), *sums, lists], ["id", "own", "n", "k1", "k2", "bands"])
 
     return run
 
 
 def _sets(size: int, shared):
-    """Shingle sets of the ids in a Bloom filter, where the texts are read: all that are wanted, and a few more."""
+    """Shingle sets of the texts in a Bloom filter, where the texts are read: all that are wanted, and a few more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = (b.filter(pa.array(in_bloom(shared.value, b.column(0).to_numpy()))) for b in batches)
+        wanted = (b.filter(pa.array(in_bloom(shared.value, b.column(2).to_numpy()))) for b in batches)
         for part in (c for b in wanted for c in words.chunks(b)):
             elements, bounds = shingle_sets(part.column(1), size)
             raw = pa.py_buffer(elements.tobytes())
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * 8).astype(np.int64).tobytes()), raw]).cast(pa.binary())], ["id", "shingles"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * 8).astype(np.int64).tobytes()), raw]).cast(pa.binary())], ["id", "own", "shingles"])
 
     return run
 
@@ -244,30 +246,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked if 100 * |both sets| >= percent * |either set|, on the full sets;
     component_id is the smallest id reachable by links, and kept marks it.
     A text of fewer words has its whole sequence as one shingle; a null text or
-    one without words has none, and is linked with nothing.  Ids must be longs;
-    rows that repeat an id with the same text stay rows of one component, and
-    rows with a null id are components of their own with a null component_id
-    and kept.  Other columns are not read.
+    one without words has none, and is linked with nothing.  Very long texts are
+    sets like any others.  Ids must be longs; rows that repeat an id are
+    documents of their own, whatever their texts, and of one that is kept all
+    rows with its id in that component are marked.  Rows with a null id are
+    components of their own with a null component_id and kept.  Only the id and
+    the text are read; other columns may have any name.  An empty table gives no
+    rows.
     """
     bands, rows = banding(percent)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sketch = scratch.table(texts.mapInArrow(_sketch(size, bands, rows), "id long, n long, k1 long, k2 long, bands array<long>"), "sketch")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)).alias("own"))
+    sketch = scratch.table(texts.mapInArrow(_sketch(size, bands, rows), "id long, own long, n long, k1 long, k2 long, bands array<long>"), "sketch")
     same = ["k1", "k2", "n"]
-    classes = scratch.table(sketch.where("n > 0 and id is not null").groupBy(*same).agg(F.min("id").alias("rep"), F.first("bands").alias("bands")), "classes")
+    whose = F.struct("id", "own")  # the row of a class whose text is read again
+    classes = sketch.where("n > 0 and id is not null").groupBy(*same).agg(F.min(whose).alias("of"), F.first("bands").alias("bands"))
+    classes = scratch.table(classes.select("*", F.monotonically_increasing_id().alias("rep")), "classes")
 
     rows_ = classes.select("rep", "n", F.explode_outer("bands").alias("band"))
     shared = scratch.table(rows_.groupBy("band").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "shared")
     met = rows_.join(shared, "band").groupBy("rep", "n").agg(F.collect_list("band").alias("bands"), F.sum("c").alias("degree"))
     members = scratch.table(met.select("rep", "n", "degree", F.explode("bands").alias("band")), "members")
 
-    wanted = scratch.table(members.select("rep").distinct(), "wanted")
-    shared = texts.sparkSession.sparkContext.broadcast(bloom(wanted, wanted.count()))
-    near = texts.where("id is not null").mapInArrow(_sets(size, shared), "id long, shingles binary")
-    sets = scratch.table(near.groupBy("id").agg(F.first("shingles").alias("shingles")), "sets")
+    wanted = scratch.table(classes.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", "of.id", "of.own"), "wanted")
+    shared = texts.sparkSession.sparkContext.broadcast(bloom(wanted.select("own"), wanted.count()))
+    near = texts.where("id is not null").mapInArrow(_sets(size, shared), "id long, own long, shingles binary")
+    sets = scratch.table(near.join(wanted, ["id", "own"]).groupBy("rep").agg(F.first("shingles").alias("shingles")), "sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        a = sets.select(F.col("id").alias("a"), F.col("shingles").alias("set_a"))
-        b = sets.select(F.col("id").alias("b"), F.col("shingles").alias("set_b"))
+        a = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("set_a"))
+        b = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("set_b"))
         return pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b").mapInArrow(_confirm(percent), "a long, b long")
 
     close = F.expr(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
@@ -286,7 +293,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     now = scratch.table(parted(members.select("rep", "n", "band")), "parted")
     mixed = scratch.table(now.groupBy("band").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("band"), "mixed")
-    open_ = scratch.table(now.join(mixed, "band").select("rep", "n").distinct().join(sets, F.col("rep") == F.col("id")).select("rep", "n", "shingles"), "open")
+    open_ = scratch.table(now.join(mixed, "band").select("rep", "n").distinct().join(sets, "rep").select("rep", "n", "shingles"), "open")
     order = np.zeros(1 << ORDER_BITS, np.int64)
     counts = open_.select("shingles").mapInArrow(_frequencies, "bucket long, c long").groupBy("bucket").agg(F.sum("c").alias("c")).toArrow()
     order[counts.column("bucket").to_numpy()] = counts.column("c").to_numpy()
@@ -301,11 +308,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         links = links.unionByName(scratch.table(confirmed(star), "links"))
         parts = scratch.table(components(links), "parts")
     here = scratch.table(parted(rare), "rare-last")
-    rest = side(here, "a", "element").join(side(here, "b", "element"), "element").where("a < b and part_a <> part_b").where(room).select("a", "b").distinct()
+    # Of two sets, the smaller one needs a common element among fewer of its rarest: so pages that share just
+    # a template, below the threshold, do not meet at its elements.
+    few = here.where(f"{100 + percent} * (n - place) >= {2 * percent} * n")
+    smaller = F.struct("n_a", "a") < F.struct("n_b", "b")
+    rest = side(few, "a", "element").join(side(here, "b", "element"), "element").where("part_a <> part_b").where(smaller).where(room).select("a", "b").distinct()
     links = links.unionByName(scratch.table(confirmed(rest), "rest"))
     parts = scratch.table(components(links), "parts")
 
-    final = scratch.table(classes.join(parts, F.col("rep") == F.col("node"), "left").select(*same, F.coalesce("component", "rep").alias("component_id")), "final")
+    placed = classes.select(*same, "rep", F.col("of.id").alias("least")).join(parts, F.col("rep") == F.col("node"), "left").withColumn("part", F.coalesce("component", "rep"))
+    placed = scratch.table(placed.select(*same, "part", "least"), "placed")
+    final = scratch.table(placed.join(placed.groupBy("part").agg(F.min("least").alias("component_id")), "part").drop("part", "least"), "final")
     one = sketch.where("n > 0 and id is not null").select("id", *same).join(final, same).select("id", "n", "component_id")
     alone = sketch.where("n = 0 or id is null").select("id", "n", F.col("id").alias("component_id"))
     return one.unionByName(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
