@@ -51,8 +51,12 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = suffix_dedup.repeated_passages(read(spark, sf_dir, "documents"), with_kept=False)
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    """With a column more: whether the document shares 50 words in a row with another, be they 400 bytes or not."""
+    docs = read(spark, sf_dir, "documents")
+    shared = suffix_dedup.shared_passages(docs).select(F.col("doc_id").alias("of"), F.col("text_hash").alias("of_hash"), F.lit(True).alias("shares_passage"))
+    found = suffix_dedup.repeated_passages(docs, with_kept=False)
+    found = found.join(shared, (F.col("text_hash") == F.col("of_hash")) & F.col("doc_id").eqNullSafe(F.col("of")), "left")
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.coalesce("shares_passage", F.lit(False)).alias("shares_passage"))
 
 
 def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:

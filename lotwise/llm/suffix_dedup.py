@@ -11,22 +11,30 @@ kind, go on in blocks of BLOCK windows, placed relative to the anchor.  A block
 is known by the bytes that all its windows share, and settled in the same way;
 what is still open is counted window by window.  Everything is counted with
 pre-aggregation, so a passage in every document is no larger a group than others.
+
+`shared_passages` finds documents that share a passage counted in words in the
+same way, with word hashes in place of bytes.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lotwise.llm import scratch, words
+from lotwise.llm.minhash import bloom, in_bloom
 
 SPAN = 400
 
+#: Words of a shared passage, and of the grams among which its anchors are chosen.
+WORD_SPAN, WORD_GRAM = 50, 13
+
 #: Bytes hashed at once.  Positions must fit the low bits that break ties.
 PIECE, LOW_BITS = 1 << 19, np.uint64(20)
 
@@ -73,9 +81,12 @@ def _least(x: np.ndarray, size: int) -> np.ndarray:
     return x
 
 
-def runs(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(gram, context, first window, further windows, place of the anchor after the first) of each run in an array of several texts."""
-    gram = span // 2
+def runs(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, span: int, gram: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(gram, context, first window, further windows, place of the anchor after the first) of each run in an array of several texts.
+
+    Elements are bytes or word hashes; grams have half a span of them where no number is given.
+    """
+    gram = gram or span // 2
     if len(raw) < span:
         return tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64))
     h = Hasher(raw)
@@ -131,8 +142,8 @@ def settle(items: DataFrame, name: str) -> DataFrame:
     return some.join(known, ["key", "context"]).select("id", "h", "at", "more", "off", whole.alias("whole"), asks.alias("asks"))
 
 
-def _pieces(batch: pa.RecordBatch, column: int, span: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[int], list[int]]]:
-    """The texts of a batch as arrays of about PIECE bytes: bytes, starts, ends, row and offset of each part."""
+def _pieces(texts: Iterable[np.ndarray], span: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[int], list[int]]]:
+    """Texts, as arrays of bytes or words, in arrays of about PIECE elements: elements, starts, ends, row and offset of each part."""
     parts: list[np.ndarray] = []
     rows: list[int] = []
     offsets: list[int] = []
@@ -142,8 +153,7 @@ def _pieces(batch: pa.RecordBatch, column: int, span: int) -> Iterator[tuple[np.
         ends = np.cumsum([len(p) for p in parts], dtype=np.int64)
         return np.concatenate(parts), ends - [len(p) for p in parts], ends, rows, offsets
 
-    for row, text in enumerate(batch.column(column)):
-        raw = np.frombuffer(text.as_buffer(), np.uint8) if text.is_valid else np.zeros(0, np.uint8)
+    for row, raw in enumerate(texts):
         for at in range(0, max(1, len(raw) - span + 1), PIECE):
             part = raw[at : at + PIECE + span - 1]
             if len(part) < span:
@@ -159,6 +169,76 @@ def _pieces(batch: pa.RecordBatch, column: int, span: int) -> Iterator[tuple[np.
         yield take()
 
 
+def _bytes(column: pa.Array) -> Iterator[np.ndarray]:
+    return (np.frombuffer(t.as_buffer(), np.uint8) if t.is_valid else np.zeros(0, np.uint8) for t in column)
+
+
+def _words(column: pa.Array) -> Iterator[np.ndarray]:
+    distinct, codes, bounds = words.split(pc.ascii_lower(column))
+    found = words.hashes(distinct)[codes]
+    return (found[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()))
+
+
+def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = WORD_SPAN, gram: int = WORD_GRAM) -> DataFrame:
+    """(id, text_hash), once each, of the documents with `span` words in a row that another document has too.
+
+    Words lie between ASCII white space, A-Z in lower case, and are compared as
+    64-bit hashes.  Rows with the same id and text are one document, rows that
+    repeat an id with other texts are several; null ids are allowed; a null text
+    has no words.  Only the id and the text are read.  text_hash is xxhash64 of
+    the text, a null one being empty.
+    """
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text")).withColumn("doc", F.xxhash64("id", "h"))
+
+    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (c for b in batches for c in words.chunks(b)):
+            for raw, starts, ends, rows, _ in _pieces(_words(part.column(1)), span):
+                key, context, lo, _, _ = runs(raw, starts, ends, span, gram)
+                row = np.asarray(rows, np.int64)[np.searchsorted(starts, lo, "right") - 1]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(key.view(np.int64)), pa.array(context.view(np.int64))], ["doc", "key", "context"])
+
+    sampled = scratch.table(texts.select("doc", "text").mapInArrow(sample, "doc long, key long, context long"), "word-runs")
+    several = [F.min("doc").alias("lo"), F.max("doc").alias("hi")]
+    keys = scratch.table(sampled.groupBy("key").agg(*several).where("lo < hi").select("key"), "word-keys")
+    kinds = scratch.table(passing(sampled, "key", keys).join(keys, "key").groupBy("key", "context", "doc").agg(F.count(F.lit(1)).alias("c")), "word-kinds")
+    whole = scratch.table(kinds.groupBy("key", "context").agg(*several), "word-contexts")
+    done = scratch.table(kinds.join(whole.where("lo < hi"), ["key", "context"], "left_semi").select("doc").distinct(), "word-done")
+    # Documents without a whole run in common: their windows, and those of one document for each other context of a key.
+    open_keys = kinds.join(done, "doc", "left_anti").select("key").distinct()
+    ask = whole.join(open_keys, "key", "left_semi").groupBy(F.col("lo").alias("doc")).agg(F.collect_set("key").alias("keys"))
+    ask = scratch.table(ask, "word-asked")
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (c for b in batches for c in words.chunks(b)):
+            asked = [np.sort(k.values.to_numpy()) for k in part.column(2)]
+            for raw, starts, ends, rows, _ in _pieces(_words(part.column(1)), span):
+                key, _, lo, more, _ = runs(raw, starts, ends, span, gram)
+                row = np.asarray(rows, np.int64)[np.searchsorted(starts, lo, "right") - 1]
+                wanted = np.zeros(len(lo), bool)
+                for r in np.unique(row):
+                    wanted[row == r] = np.isin(key[row == r].view(np.int64), asked[r])
+                n = more[wanted] + 1
+                at = np.repeat(lo[wanted] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(np.repeat(row[wanted], n))), pa.array(Hasher(raw).between(at, at + span).view(np.int64))], ["doc", "window"])
+
+    near = passing(texts.select("doc", "text"), "doc", ask.select("doc")).dropDuplicates(["doc"]).join(ask, "doc").select("doc", "text", "keys")
+    found = scratch.table(near.mapInArrow(windows, "doc long, window long").distinct(), "word-windows")
+    met = found.join(found.groupBy("window").agg(*several).where("lo < hi"), "window", "left_semi").select("doc").distinct()
+    shared = scratch.table(done.unionByName(met).distinct(), "word-shared")
+    return texts.select("id", F.col("h").alias("text_hash"), "doc").join(shared, "doc", "left_semi").select(F.col("id").alias(id_col), "text_hash").distinct()
+
+
+def passing(df: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """Rows whose long `column` is in a Bloom filter of `wanted`'s only column: all of these, and a few more, before anything is shuffled."""
+    shared, at = df.sparkSession.sparkContext.broadcast(bloom(wanted, wanted.count())), df.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(in_bloom(shared.value, batch.column(at).to_numpy())))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, with_kept: bool = True) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256, text_hash, spans[, kept]) of every row.
 
@@ -167,8 +247,10 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     count.  spans are the removed runs, kept the bytes that remain, text_hash is
     xxhash64 of the text (to tell rows of one id apart).  A null text
     has no bytes; one shorter than `span` loses none; two rows with the same id
-    are two texts.  Null ids are allowed; other columns are not read.  Strings
-    are compared by 64-bit hashes.
+    are two texts.  Null ids are allowed.  Very long texts are read in pieces
+    that overlap by a span.  Only the id and the text are read; other columns may
+    have any name.  An empty table gives no rows.  Strings are compared by 64-bit
+    hashes, so the result is exact but for collisions of these.
     """
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     kind = texts.schema["id"].dataType.simpleString()
@@ -178,7 +260,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for raw, starts, ends, rows, offsets in _pieces(batch, 2, span):
+            for raw, starts, ends, rows, offsets in _pieces(_bytes(batch.column(2)), span):
                 gram, context, lo, more, off = runs(raw, starts, ends, span)
                 part = np.searchsorted(starts, lo, "right") - 1
                 row = pa.array(np.asarray(rows, np.int64)[part])

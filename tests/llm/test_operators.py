@@ -306,6 +306,42 @@ def test_near_copies_without_a_centre(spark):
     assert {r.doc_id: r.component_id for r in minhash.near_duplicates(df, size=3, percent=85).collect()} == parts
 
 
+def test_repeated_ids_lose_no_link(spark):
+    a, b = text(80), text(80)
+    rows = [(1, a), (1, b), (2, a + " end"), (3, b + " end"), (9, text(50)), (9, text(50)), (None, a)]
+    got = sorted((r.doc_id, r.component_id) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id is not null").collect())
+    assert got == [(1, 1), (1, 1), (2, 1), (3, 1), (9, 9), (9, 9)]
+
+
+def test_pages_of_one_template(spark):
+    """2,000 pages that share a template, at similarities around 0.8 and just below, some pairs of them above."""
+    rng = random.Random(21)
+    template, rows = [f"t{k}" for k in range(160)], []
+    for i in range(2000):
+        own = [f"{f'p{i}' if i % 40 else f'q{i // 80}'}w{k}" for k in range(rng.choice((18, 22, 30)))]
+        rows.append((i, " ".join(template + own)))
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    inv = collections.defaultdict(list)
+    for i, x in sets.items():
+        inv[frozenset(x)].append(i)
+    links, reps = [(v[0], i) for v in inv.values() for i in v[1:]], {v[0]: k for k, v in inv.items()}
+    common = len(template) - 4
+    for a, x in reps.items():
+        for b, y in reps.items():
+            if a < b and 100 * min(len(x), len(y)) >= 80 * max(len(x), len(y)) and (a % 40 == b % 40 == 0 or 100 * common >= 80 * (len(x) + len(y) - common)) and 100 * len(x & y) >= 80 * len(x | y):
+                links.append((a, b))
+    want = groups(sets, links)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == want and 1 < len(set(want.values())) < 2000
+
+
+def test_many_slots():
+    x = np.random.default_rng(3).integers(0, 1 << 63, 30).astype(np.uint64)
+    for slots in (100, 128, 420, 840):
+        sig = minhash.superminhash(np.concatenate([x[:4], x]), np.array([0, 4, 34]), slots)
+        assert (sig < 0xFFFFFFFF).all() and (sig >> minhash.level_bits(slots)).max() < slots
+
+
 def test_superminhash_estimates():
     rng = np.random.default_rng(4)
     for n in (3, 40, 300, 3000):
@@ -352,7 +388,7 @@ def test_long_texts_go_in_pieces():
     long_ = rng.integers(97, 123, 1_300_000).astype(np.uint8).tobytes().decode()
     batch = pa.RecordBatch.from_arrays([pa.array(["short" * 100, long_, None, "x"])], ["t"])
     seen = collections.Counter()
-    for raw, starts, ends, rows, offsets in suffix_dedup._pieces(batch, 0, 400):
+    for raw, starts, ends, rows, offsets in suffix_dedup._pieces(suffix_dedup._bytes(batch.column(0)), 400):
         assert len(raw) < 1 << 20
         _, _, lo, more, _ = suffix_dedup.runs(raw, starts, ends, 400)
         part = np.searchsorted(starts, lo, "right") - 1
@@ -361,6 +397,33 @@ def test_long_texts_go_in_pieces():
     assert seen == {0: 101, 1: 1_300_000 - 399}
 
 
+def brute_shared(rows, span):
+    """Documents (id, text) with `span` words in a row that another of them has."""
+    holders = collections.defaultdict(set)
+    for d in set(rows):
+        w = re.sub("[A-Z]", lambda m: m[0].lower(), d[1] or "").split()
+        for k in range(len(w) - span + 1):
+            holders[tuple(w[k : k + span])].add((d[0], d[1] or ""))
+    return {d for x in holders.values() if len(x) > 1 for d in x}
+
+
+@pytest.mark.parametrize("span, gram", [(50, 13), (12, 4)])
+def test_shared_passages(spark, docs, span, gram):
+    """Passages of just as many words and of one less, alone, in copies, repeated in one text, and chained."""
+    rng = random.Random(31)
+    passages = [text(n, rng) for n in (span - 1, span, span + 1, span + 9, 3 * span)]
+    rows = corpus() + [(100 + i, f"{text(rng.randint(0, 90), rng)} {p} {text(rng.randint(0, 90), rng)}") for i, p in enumerate(passages * 2)]
+    rows += [(200, f"{text(9, rng)} {(own := text(span + 20, rng))} {text(9, rng)} {own}"), (201, text(2 * span, rng)), (201, text(2 * span, rng)), (202, (x := text(80, rng))), (202, x), (None, text(70, rng)), (203, "w " * 400)]
+    a, b = text(60, rng), text(60, rng)
+    rows += [(300, f"{a} {b}"), (301, f"{a} {text(50, rng)}"), (302, f"{text(50, rng)} {b}"), (303, f"{text(30, rng)}\n{passages[1].upper()}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    hashes = {(r.doc_id, r.text): r.h for r in df.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()}
+    got = [tuple(r) for r in suffix_dedup.shared_passages(df, span=span, gram=gram).collect()]
+    want = brute_shared(rows, span)
+    assert sorted(got, key=str) == sorted(((i, hashes[i, t]) for i, t in want), key=str) and len(want) > 20
+    assert suffix_dedup.shared_passages(docs.limit(0)).count() == 0
+
+
 # --- 10
 
 
