@@ -200,7 +200,8 @@ def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sampled = scratch.table(texts.select("doc", "text").mapInArrow(sample, "doc long, key long, context long"), "word-runs")
     several = [F.min("doc").alias("lo"), F.max("doc").alias("hi")]
     keys = scratch.table(sampled.groupBy("key").agg(*several).where("lo < hi").select("key"), "word-keys")
-    kinds = scratch.table(passing(sampled, "key", keys).join(keys, "key").groupBy("key", "context", "doc").agg(F.count(F.lit(1)).alias("c")), "word-kinds")
+    some = scratch.table(passing(sampled, "key", keys).join(keys, "key"), "word-some")  # a stage of its own, so that a hot key can be split
+    kinds = scratch.table(some.groupBy("key", "context", "doc").agg(F.count(F.lit(1)).alias("c")), "word-kinds")
     whole = scratch.table(kinds.groupBy("key", "context").agg(*several), "word-contexts")
     done = scratch.table(kinds.join(whole.where("lo < hi"), ["key", "context"], "left_semi").select("doc").distinct(), "word-done")
     # Documents without a whole run in common: their windows, and those of one document for each other context of a key.
