@@ -57,8 +57,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     fewer than `span` words is one window; one without words is none.  An item
     without an id counts like any other, and all of them give one null among
     items.  Null or empty texts have no words and no hits.  Rows that repeat an id count as one
-    document (null ids too); extra columns are not read.  Words are compared as
-    64-bit hashes, all `span` of a window.
+    document (null ids too).  Very long texts are read whole; an empty table gives
+    no rows, an empty benchmark no hits.  Only ids and texts are read; other
+    columns may have any name.  Words are compared as 64-bit hashes, all `span`
+    of a window.
     """
     words = docs.select(F.col(id_col).alias("id"), hashed_words(F.col(text_col)).alias("words"))
     items = benchmark.select(F.col(item_col).alias("item"), hashed_words(F.col(item_text_col)).alias("words"))
@@ -86,7 +88,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     met = met.where(first | F.col("met"))
     hits = met.select("id", "n_words", F.when(F.col("met"), F.struct(F.col("at").alias("start"), (F.col("at") + span).alias("end"))).alias("hit"), F.when(F.col("met"), F.struct("item")).alias("of"))
     if n_shorts:
-        hits = hits.unionByName(_short_hits(words, shorts, n_shorts <= broadcast_windows))
+        hits = hits.unionByName(_short_hits(words, shorts, span, n_shorts <= broadcast_windows))
     found = hits.groupBy("id").agg(F.max("n_words").cast("long").alias("n_words"), F.collect_set("hit").alias("spans"), F.transform(F.collect_set("of"), lambda x: x["item"]).alias("items"))
     n_hit = F.aggregate(
         F.array_sort("spans"),
@@ -98,12 +100,22 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return out.select(F.col("id").alias(id_col), "n_words", "n_hit", "spans", "items", ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
 
 
-def _short_hits(words: DataFrame, shorts: DataFrame, small: bool) -> DataFrame:
-    """Places of items shorter than a window: met at their word of the smallest hash, then compared whole."""
+def _short_hits(words: DataFrame, shorts: DataFrame, span: int, small: bool) -> DataFrame:
+    """Places of items shorter than a window: met at their word of the smallest hash, then compared whole.
+
+    Beyond what is broadcast, a place travels with no more words than the
+    longest item that has this word could need, not with its document.
+    """
     tests = shorts.select("item", F.col("words").alias("win"), F.array_min("words").alias("fp")).withColumn("off", F.array_position("win", F.col("fp")).cast("int") - 1)
     rows = words.select("id", "words", F.size("words").alias("n_words"), F.posexplode_outer("words").alias("at", "word"))
-    if not small:
-        rows = rows.join(tests.select(F.col("fp").alias("word")).distinct(), "word", "left_semi")
-    start = F.col("at") - F.col("off")
-    met = rows.join(F.broadcast(tests) if small else tests, (F.col("word") == F.col("fp")) & (start >= 0) & (F.slice("words", F.greatest(start, F.lit(0)) + 1, F.size("win")) == F.col("win")))
+    if small:
+        start = F.col("at") - F.col("off")
+        here = F.slice("words", F.greatest(start, F.lit(0)) + 1, F.size("win"))
+        met = rows.join(F.broadcast(tests), (F.col("word") == F.col("fp")) & (start >= 0) & (here == F.col("win")))
+    else:
+        from_ = F.greatest(F.col("at") - span + 2, F.lit(0))
+        rows = rows.select("id", "n_words", "at", "word", from_.alias("from"), F.slice("words", from_ + 1, 2 * span - 3).alias("near"))
+        start = F.col("at") - F.col("off")
+        here = F.slice("near", F.greatest(start - F.col("from"), F.lit(0)) + 1, F.size("win"))
+        met = rows.join(tests, (F.col("word") == F.col("fp")) & (start >= 0) & (here == F.col("win")))
     return met.select("id", "n_words", F.struct(start.alias("start"), (start + F.size("win")).alias("end")).alias("hit"), F.struct("item").alias("of"))
