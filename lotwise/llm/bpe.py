@@ -150,8 +150,10 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
 
     ids_sha256 is of the decimal ids joined by a space, decoded_sha256 of the
     decoded text.  A null text is empty: no ids, and the digests of nothing.
-    Rows are independent, so repeated rows give repeated results.  `path` must
-    name the vocabulary file on every executor.  A batch's distinct words are
+    Rows are independent, so repeated rows give repeated results, null ids too;
+    an empty table gives no rows.  A very long text is encoded whole, alone in
+    its chunk.  Only the id and the text are read; other columns may have any
+    name.  `path` must name the vocabulary file on every executor.  A batch's distinct words are
     encoded once; white space always ends a word in this kind of vocabulary.
     """
 

@@ -195,7 +195,9 @@ def write(docs: DataFrame, folder: str, path: str, vocabulary: int, end_id: int
     Documents are ranged by id over the tasks, so files follow each other in the
     order of (part, number).  `end_id` is appended to every document.  A null
     text is empty; null ids come first; rows that repeat an id follow each
-    other, in the order of a hash of their texts.
+    other, in the order of a hash of their texts.  A very long text is encoded
+    whole; an empty table gives no file.  Only the id and the text are read;
+    other columns may have any name.
     """
     bits = width(vocabulary)
     small = np.uint16 if bits <= 16 else np.uint32

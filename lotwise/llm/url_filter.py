@@ -52,8 +52,9 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
     together) wins; of equally long ones the one with the longer host, then a
     block.  Without a fitting rule, rule is null and verdict is `default`.  A
     null url, or one without "://", has an empty host and path and fits no rule
-    (nor does an empty rule host).  Repeated rows are judged one by one; columns
-    other than the two named are not read.  The rules of one host travel as one
+    (nor does an empty rule host).  Repeated rows and null ids are judged one by
+    one, very long urls like any other; an empty table gives no rows.  Columns
+    other than the two named are not read and may have any name.  The rules of one host travel as one
     array, so a single host's rules must fit a row.
     """
     hosts = (
