@@ -6,10 +6,12 @@ kept.  All but the last return the columns of documents.
 
 from __future__ import annotations
 
+import functools
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lotwise.llm import bpe, decontaminate, minhash, quality, scratch, suffix_dedup
@@ -18,17 +20,23 @@ TOKENIZER = "word_bpe_49k.json"
 LEAST_QUALITY = 0.7
 
 
+def joined(docs: DataFrame, found: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """A join on equal keys, nulls alike, after which columns of `docs` keep their names whatever they are."""
+    own = {k: f"{k}_{uuid.uuid4().hex}" for k in keys}
+    same = functools.reduce(Column.__and__, [docs[k].eqNullSafe(F.col(own[k])) for k in keys])
+    return docs.join(found.withColumnsRenamed(own), same, how).drop(*own.values())
+
+
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject; it learns from labels of three of four folds of ids."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    model = quality.train(docs, labels, F.pmod(quality.crc_of(F.col("doc_id")), F.lit(4)) != 2)
-    return quality.scored(docs, model, "text", "quality_score").where(F.col("quality_score") >= LEAST_QUALITY).drop("quality_score")
+    model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.scored(docs, model, least=LEAST_QUALITY)
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates, the document with the smallest id (rows that repeat an id are one document)."""
-    kept = minhash.near_duplicates(docs, size=5, percent=80).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("kept_id")), "left_semi")
+    kept = minhash.near_duplicates(docs, size=5, percent=80).where("kept").select("doc_id").distinct()
+    return joined(docs, kept, ["doc_id"], "left_semi")
 
 
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,17 +45,18 @@ def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str)
     A character cut by the end of a passage becomes U+FFFD.
     """
     found = suffix_dedup.repeated_passages(docs).where("n_removed > 0")
-    changed = found.select(F.col("doc_id").alias("changed_id"), "text_hash", F.make_valid_utf8(F.col("kept").cast("string")).alias("kept")).dropDuplicates(["changed_id", "text_hash"])
-    same = docs["doc_id"].eqNullSafe(F.col("changed_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("text_hash"))
-    joined = docs.join(changed, same, "left").where("kept is null or kept <> ''")
-    text = {"text": F.coalesce("kept", "text"), "n_chars": F.when(F.col("kept").isNotNull(), F.length("kept").cast("long")).otherwise(F.col("n_chars"))}
-    return joined.withColumns(text).select(*docs.columns)
+    changed = found.select("doc_id", "text_hash", F.make_valid_utf8(F.col("kept").cast("string")).alias("kept")).dropDuplicates(["doc_id", "text_hash"])
+    kept = f"kept_{uuid.uuid4().hex}"
+    hashed = docs.select("*", F.xxhash64(F.coalesce("text", F.lit(""))).alias(f"text_hash_{kept}"))
+    rows = joined(hashed, changed.withColumnsRenamed({"text_hash": f"text_hash_{kept}", "kept": kept}), ["doc_id", f"text_hash_{kept}"], "left")
+    text = {"text": F.coalesce(kept, "text"), "n_chars": F.when(F.col(kept).isNotNull(), F.length(kept).cast("long")).otherwise(F.col("n_chars"))}
+    return rows.where(F.col(kept).isNull() | (F.col(kept) != "")).withColumns(text).select(*docs.columns)
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than a twentieth is shared with test items."""
-    found = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated").select(F.col("doc_id").alias("bad_id"))
-    return docs.join(found, docs["doc_id"].eqNullSafe(F.col("bad_id")), "left_anti")
+    found = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated").select("doc_id")
+    return joined(docs, found, ["doc_id"], "left_anti")
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
