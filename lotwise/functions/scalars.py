@@ -95,3 +95,8 @@ def mean_pause(low: Column, high: Column, long_low: Column, long_high: Column, e
 
 def eta_minutes(gap: Column, pause: Column) -> Column:
     return F.ceil(gap * pause / 60)
+
+
+def timestamp_of(c: Column) -> Column:
+    """A timestamp from text; null where it is none."""
+    return F.try_to_timestamp(c.cast("string"))

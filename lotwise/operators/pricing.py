@@ -29,16 +29,16 @@ def tier_stats(train: DataFrame, value: str, keys: list[str], stat) -> DataFrame
     return train.groupBy(*keys).agg(stat(value).alias("stat"), F.count(F.lit(1)).alias("n"))
 
 
-def hierarchical(df: DataFrame, value: str, tiers: list[list[str]], folds: list[int], stat=F.median) -> DataFrame:
+def hierarchical(df: DataFrame, value: str, tiers: list[list[str]], folds: list[int], stat=F.median, learn: Column | None = None) -> DataFrame:
     """Out-of-fold statistic of the finest tier that has training rows; `df` has a fold.
 
     Statistics without a fold are computed for all folds at once: each training
-    row counts for every other fold.  Keys match null with null.  The last tier
-    is the whole training set.
+    row counts for every other fold, if `learn` holds.  Keys match null with null.
+    The last tier is the whole training set.
     """
     out = df
     others = F.array(*[F.lit(f) for f in folds])
-    train = df.where(F.col(value).isNotNull()).withColumn("_for", F.explode(F.array_remove(others, F.col("fold"))))
+    train = df.where(F.col(value).isNotNull() & (F.lit(True) if learn is None else learn)).withColumn("_for", F.explode(F.array_remove(others, F.col("fold"))))
     for i, keys in enumerate([*tiers, []]):
         stats = train.groupBy(F.col("_for").alias(f"_f{i}"), *[F.col(k).alias(f"_k{i}_{k}") for k in keys]).agg(stat(value).alias(f"_s{i}"))
         same = F.col("fold") == F.col(f"_f{i}")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lotwise.config import Config
 from lotwise.functions import scalars as S
 from lotwise.functions import text as X
-from lotwise.operators import duplicates, forest, outliers, pricing, review, rules, status, upserts
+from lotwise.operators import duplicates, evaluation, forest, outliers, pricing, queues, review, rules, status, upserts
 from lotwise.plans.clean import TIERS, clean
 from lotwise.sources import sinks
 
@@ -230,7 +230,7 @@ def photo_exact_pairs(spark, sf_dir):
     return duplicates.same_hash_pairs(_bits(spark, sf_dir, 16), hash_col="bits")
 
 
-@query(f"WITH {BITS.format(n=32)} SELECT a.ad_id AS ad_id_a, b.ad_id AS ad_id_b, CAST(bit_count(xor(CAST(a.bits AS BIGINT), CAST(b.bits AS BIGINT))) AS INTEGER) AS hamming_distance FROM hashes a JOIN hashes b ON CAST(a.bits AS BIGINT) & 4095 = CAST(b.bits AS BIGINT) & 4095 AND a.ad_id < b.ad_id WHERE bit_count(xor(CAST(a.bits AS BIGINT), CAST(b.bits AS BIGINT))) <= 8")
+@query(f"WITH {BITS.format(n=32)} SELECT a.ad_id AS ad_id_a, b.ad_id AS ad_id_b, CAST(bit_count(xor(CAST(a.bits AS BIGINT), CAST(b.bits AS BIGINT))) AS INTEGER) AS hamming_distance FROM hashes a JOIN hashes b ON a.ad_id < b.ad_id WHERE bit_count(xor(CAST(a.bits AS BIGINT), CAST(b.bits AS BIGINT))) <= 8")
 def photo_near_pairs(spark, sf_dir):
     return duplicates.near_hash_pairs(_bits(spark, sf_dir, 32), 8, width=32)
 
@@ -597,3 +597,82 @@ def json_field(spark, sf_dir):
 def int_coerce(spark, sf_dir):
     raw = F.when(F.col("page_id") % 3 == 0, "").when(F.col("page_id") % 3 == 1, F.concat(F.col("page_id").cast("string"), F.lit(".0"))).otherwise(F.col("page_id").cast("string"))
     return read(spark, sf_dir, "pages").select("page_id", X.clean_int(F.col("url")).alias("digits"), X.int_of(raw).alias("n"))
+
+
+# --- evaluation and queues --------------------------------------------------------------------------------------
+
+
+@query(f"WITH {LABELLED} SELECT count(*) AS n, count(*) FILTER (WHERE reasons <> '') AS n_suspicious, round(avg(CASE WHEN reasons <> '' THEN 1.0 ELSE 0.0 END), 6) AS share FROM j")
+def suspicion_share(spark, sf_dir):
+    return evaluation.suspicion_share(_labelled(spark, sf_dir), F.col("reasons")).withColumn("share", F.round("share", 6))
+
+
+@query(f"WITH l AS ({LISTING}) SELECT ad_id, CASE WHEN mileage_km NOT IN (333333, 444444, 555555, 666666, 777777, 888888, 999999) THEN mileage_km END AS mileage_km, round(ln(price_tenge), 6) AS log_price FROM l WHERE price_tenge > 0 AND ad_id % 9 <> 0")
+def training_rows(spark, sf_dir):
+    return evaluation.training_rows(listings(spark, sf_dir), F.col("ad_id") % 9 == 0).select("ad_id", "mileage_km", F.round("log_price", 6).alias("log_price"))
+
+
+@query(f"{MEDIANS} SELECT age_bucket, count(*) AS n, round(avg(abs(price - exp(predicted)) / price), 6) AS mape FROM pred GROUP BY age_bucket")
+def error_by_age(spark, sf_dir):
+    return evaluation.error_by(_folded(spark, sf_dir), "age_bucket", F.col("price"), F.exp("predicted")).withColumn("mape", F.round("mape", 6))
+
+
+@query(f"{FLOOR} SELECT count(*) AS n, round(avg(CASE WHEN log_price < floor_log - 1e-9 THEN 1.0 ELSE 0.0 END), 6) AS share FROM fl")
+def share_below_floor(spark, sf_dir):
+    return evaluation.share_below(_floored(spark, sf_dir), F.col("log_price"), F.col("floor_log") - 1e-9).withColumn("share", F.round("share", 6))
+
+
+ALL_FLOORS = (
+    TENTHS.replace("f AS (SELECT *, CAST(", "f AS (SELECT *, ad_id % 9 = 0 AS sus, CASE WHEN ad_id % 9 = 0 THEN -1 ELSE CAST(")
+    .replace(" AS fold FROM priced", " END AS fold FROM priced")
+    .replace("range(0, 5)", "range(-1, 5)")
+    .replace("FROM f, n WHERE fold <> g", "FROM f, n WHERE NOT sus AND fold <> g")
+)
+
+
+@query(f"{ALL_FLOORS}, off AS (SELECT quantile_disc(log_price - predicted, 0.1) AS o FROM pred WHERE NOT sus) SELECT ad_id, round(predicted + o, 6) AS floor_log FROM pred CROSS JOIN off")
+def floor_for_all(spark, sf_dir):
+    rows = pricing.with_fold(priced(spark, sf_dir), F.concat("model_key", F.lit("#"), F.col("age").cast("string")), 5)
+    return evaluation.floor_for_all(rows, "log_price", PRICE_TIERS, F.col("ad_id") % 9 == 0, 5, _tenth).select("ad_id", F.round("floor_log", 6).alias("floor_log"))
+
+
+@query(f"WITH {STATUSES} SELECT user_id, CAST(date_diff('day', seen, DATE '{AS_OF}') AS INTEGER) AS seen_days FROM s WHERE st <> 'archived' AND date_diff('day', seen, DATE '{AS_OF}') >= 2 AND NOT coalesce(date_diff('day', checked, DATE '{AS_OF}') < 7, false) ORDER BY seen_days DESC, user_id DESC LIMIT 40")
+def stalest_first(spark, sf_dir):
+    days = lambda c: F.datediff(F.lit(AS_OF).cast("date"), c)
+    return queues.stalest_first(_statuses(spark, sf_dir), F.col("st"), days("seen"), days("checked"), "user_id", 40).select("user_id", days("seen").alias("seen_days"))
+
+
+PHOTOS = "photos AS (SELECT l_orderkey AS ad_id, l_linenumber AS position, l_returnflag = 'R' AS flagged, CASE WHEN l_suppkey % 4 = 0 THEN 'http://img.own.example/' WHEN l_suppkey % 4 = 1 THEN 'none:' ELSE 'http://cdn.example/' END || l_partkey AS url FROM lineitem)"
+
+
+def _photos(spark, sf_dir):
+    host = F.when(F.col("l_suppkey") % 4 == 0, "http://img.own.example/").when(F.col("l_suppkey") % 4 == 1, "none:").otherwise("http://cdn.example/")
+    return read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("ad_id"), F.col("l_linenumber").alias("position"), (F.col("l_returnflag") == "R").alias("flagged"), F.concat(host, F.col("l_partkey").cast("string")).alias("url"))
+
+
+@query(f"WITH {PHOTOS} SELECT ad_id, position, url FROM photos ORDER BY flagged DESC, contains(url, 'own.example/'), position, ad_id, url LIMIT 100")
+def download_order(spark, sf_dir):
+    return queues.download_order(_photos(spark, sf_dir), F.col("flagged"), r"own[.]example", 100).select("ad_id", "position", "url")
+
+
+@query(f"{FENCED} SELECT ad_id, CASE WHEN price_z < -3.5 AND log_price < lo THEN 1 ELSE 0 END AS both_detectors_low FROM fenced")
+def both_detectors_low(spark, sf_dir):
+    rows = _fenced(spark, sf_dir)
+    return queues.review_order(queues.with_both_low(rows, outliers.stat_reasons(F.col("price_z")))).select("ad_id", "both_detectors_low")
+
+
+@query(f"""WITH {PHOTOS}, g AS (SELECT ad_id, string_agg(url, ' ' ORDER BY position, url) AS photos FROM photos WHERE starts_with(url, 'http') GROUP BY ad_id),
+    v AS (SELECT doc_id AS ad_id, CASE WHEN toxic = 1 THEN 'fraud' WHEN quality = 1 THEN 'legit' ELSE 'unknown' END AS verdict FROM labels)
+    SELECT p_partkey AS ad_id, p_size AS price_z, c_mktsegment AS options_text, coalesce(photos, '') AS photos, nullif(verdict, 'unknown') AS existing_verdict
+    FROM part LEFT JOIN customer ON c_custkey = p_partkey LEFT JOIN g ON g.ad_id = p_partkey LEFT JOIN v ON v.ad_id = p_partkey""")
+def card_rows(spark, sf_dir):
+    rows = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("ad_id"), F.col("p_size").alias("price_z"))
+    extras = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("ad_id"), F.col("c_mktsegment").alias("options_text"))
+    journal = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("ad_id"), F.when(F.col("toxic") == 1, "fraud").when(F.col("quality") == 1, "legit").otherwise("unknown").alias("verdict"), F.col("doc_id").alias("seq"))
+    return queues.card_rows(rows, extras, _photos(spark, sf_dir), journal).withColumn("photos", F.array_join("photos", " "))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 4 > 1 THEN strftime(ts, '%Y-%m-%d %H:%M') END AS at FROM events")
+def timestamp_coerce(spark, sf_dir):
+    raw = F.when(F.col("event_id") % 4 == 0, "не указано").when(F.col("event_id") % 4 == 1, "").otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+    return read(spark, sf_dir, "events").select("event_id", F.date_format(S.timestamp_of(raw), "yyyy-MM-dd HH:mm").alias("at"))

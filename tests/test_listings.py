@@ -10,7 +10,7 @@ from lotwise import queries
 from lotwise.config import Config
 from lotwise.functions import scalars as S
 from lotwise.functions import text as X
-from lotwise.operators import duplicates, outliers, pricing, review, rules, status, upserts
+from lotwise.operators import duplicates, evaluation, outliers, pricing, queues, review, rules, status, upserts
 from lotwise.sources import pages
 
 SF = "/root/testdata/sf0.001"
@@ -32,6 +32,8 @@ def test_spec_line(spark):
     assert s.description == "белый, литые диски"
     s = one(spark, X.spec_line(F.col("t")), t="2024 г., новый кроссовер, 1,5 л, газ-бензин, КПП механика, без пробега, полная комплектация")
     assert (s.mileage_km, s.engine_volume, s.engine_type, s.transmission, s.condition, s.description) == (0, 1.5, "газ-бензин", "механика", "новый", "без пробега, полная комплектация")
+    s = one(spark, X.spec_line(F.col("t")), t="2010 г., б/у, не пикап, а микроавтобус, дизель, КПП механика, продам   \u00a0 ")
+    assert (s.body_type, s.description) == ("микроавтобус", "продам")
     s = one(spark, X.spec_line(F.col("t")), t=None)
     assert s.year is None and s.mileage_km is None and s.description == ""
 
@@ -265,3 +267,35 @@ def test_phash(spark):
     got = [r[0] for r in spark.createDataFrame([(a,), (brighter,), (b,), ([1.0],), (None,)], "p array<double>").select(phash(F.col("p"))).collect()]
     assert len(got[0]) == 16 and got[0] == got[1] and got[3] is None and got[4] is None
     assert bin(int(got[0], 16) ^ int(got[2], 16)).count("1") > 12
+
+
+def test_floor_of_suspicious_rows_is_learned_from_all_clean_ones(spark):
+    rows = [(i, "a", 10.0 + i, i % 2, i >= 6) for i in range(8)] + [(8, "b", None, 0, None)]
+    df = spark.createDataFrame(rows, "ad_id long, brand string, v double, fold int, bad boolean")
+    got = {r.ad_id: (r.fold, r.predicted, r.floor_log) for r in evaluation.floor_for_all(df, "v", [["brand"]], F.col("bad"), 2, F.min).collect()}
+    assert got[7][:2] == (-1, 10.0) and got[0][:2] == (0, 11.0) and got[1][:2] == (1, 10.0) and got[8][:2] == (0, 11.0)
+    assert len({f - p for _, p, f in got.values()}) == 1 and got[0][2] == 10.0
+
+
+def test_queue_orders(spark):
+    df = spark.createDataFrame([(1, "active", 9, None), (2, "active", 9, 30), (3, "active", 9, 1), (4, "archived", 99, None), (5, None, 3, None), (6, "active", 1, None)], "ad_id long, st string, seen int, checked int")
+    c = F.col
+    assert [r.ad_id for r in queues.stalest_first(df, c("st"), c("seen"), c("checked"), "ad_id", 5).collect()] == [2, 1, 5]
+    rows = spark.createDataFrame([(1, -5.0, "price_anomaly_low", "low"), (2, -9.0, "price_anomaly_low", ""), (3, None, None, "low"), (4, -6.0, "x|price_anomaly_low", "low")], "ad_id long, price_z double, reasons string, iqr_flag string")
+    assert [r.ad_id for r in queues.review_order(queues.with_both_low(rows, c("reasons"))).collect()] == [4, 1, 2, 3]
+    photos = spark.createDataFrame([(1, 1, "http://a.own.kz/x"), (1, 2, "http://cdn/x"), (2, 1, "http://cdn/y"), (3, 1, None)], "ad_id long, position int, url string")
+    flagged = F.col("ad_id") == 3
+    assert [(r.ad_id, r.position) for r in queues.download_order(photos, flagged, "own[.]kz", 9).collect()] == [(3, 1), (2, 1), (1, 2), (1, 1)]
+    journal = spark.createDataFrame([(1, "legit", 1), (1, "fraud", 2), (1, "", 3), (2, "unknown", 4)], "ad_id long, verdict string, seq long")
+    cards = queues.card_rows(rows, rows.select("ad_id", F.lit("o").alias("options_text")).limit(2), photos, journal).collect()
+    assert [r.ad_id for r in cards] == [3, 2, 4, 1] and cards[-1].existing_verdict == "fraud" and cards[0].photos == [] and cards[-1].photos == ["http://a.own.kz/x", "http://cdn/x"]
+
+
+def test_shares_and_errors(spark):
+    df = spark.createDataFrame([("a|b", 10.0, 5.0, "x"), ("", 10.0, 20.0, "x"), (None, 4.0, None, None)], "reasons string, price double, floor double, k string")
+    assert tuple(evaluation.suspicion_share(df, F.col("reasons")).first()) == (3, 1, pytest.approx(1 / 3))
+    assert tuple(evaluation.share_below(df, F.col("price"), F.col("floor")).first()) == (2, 0.5)
+    assert {r.k: (r.n, r.mape) for r in evaluation.error_by(df, "k", F.col("price"), F.col("floor")).collect()} == {"x": (2, 0.75), None: (1, None)}
+    none = evaluation.suspicion_share(df.limit(0), F.col("reasons")).first()
+    assert (none.n, none.share) == (0, None)
+    assert one(spark, S.timestamp_of(F.col("t")), t="nonsense") is None and one(spark, S.timestamp_of(F.col("t")), t="2026-07-01 10:00:00").hour == 10
