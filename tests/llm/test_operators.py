@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -176,6 +177,21 @@ def test_segments_are_maximal():
         assert [(a, b) for a, b, _ in toxicity.segments(s)] == slow(s.tolist())
 
 
+def test_segments_are_linear():
+    """Ten times the tokens take less than twenty times the time, on sums that fall, rise and swing."""
+    rng = np.random.default_rng(8)
+    for drift in (-0.5, 0.0, 0.02):
+        took = []
+        for n in (40_000, 400_000):
+            s = rng.normal(drift, 1, n)
+            start = time.perf_counter()
+            found = toxicity.segments(s)
+            took.append(time.perf_counter() - start)
+            assert all(a[1] <= b[0] for a, b in zip(found, found[1:]))
+        assert took[1] < 20 * took[0] and took[1] < 10
+
+
+
 # --- 5
 
 
