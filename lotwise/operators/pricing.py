@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lotwise.config import Config
 from lotwise.functions import scalars as S
@@ -25,6 +26,34 @@ def with_fold(df: DataFrame, group: Column, folds: int) -> DataFrame:
     return df.withColumn("fold", F.pmod(F.conv(F.substring(F.md5(group.cast("string")), 1, 8), 16, 10).cast("long"), F.lit(folds)).cast("int"))
 
 
+def balanced_folds(df: DataFrame, group: str, folds: int = 5) -> DataFrame:
+    """A fold for each row, at most `folds` and no more than there are groups; rows of one group share it (nulls are a group).
+
+    Large groups go, from the largest, to the fold with the fewest rows so far;
+    these are at most 100 for each fold, and all groups if there are no more.
+    The others are dealt by hash, in proportion to the room that is left in each fold.
+    """
+    sizes = df.groupBy(F.col(group).alias("_group")).agg(F.count(F.lit(1)).alias("c"))
+    total, n = sizes.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
+    if n < 2:
+        raise ValueError("folds need two groups at least")
+    folds, most = min(folds, n), 100 * folds
+    large = sizes if n <= most else sizes.where(F.col("c") * most >= total)
+    loads, rows = [0] * folds, []
+    for r in large.orderBy(F.desc("c"), "_group").collect():  # at most `most` rows
+        lightest = loads.index(min(loads))
+        loads[lightest] += r["c"]
+        rows.append((r["_group"], lightest))
+    placed = df.sparkSession.createDataFrame(rows, T.StructType([T.StructField("_group", df.schema[group].dataType), T.StructField("_placed", T.IntegerType())]))
+    room = [max(0.0, total / folds - x) for x in loads]
+    point = F.conv(F.substring(F.md5(F.coalesce(F.col(group).cast("string"), F.lit(""))), 1, 8), 16, 10).cast("double") / 2**32 * sum(room)
+    dealt = F.lit(folds - 1)
+    for f in reversed(range(folds - 1)):
+        dealt = F.when(point < sum(room[: f + 1]), f).otherwise(dealt)
+    out = df.join(F.broadcast(placed), F.col(group).eqNullSafe(F.col("_group")), "left")
+    return out.withColumn("fold", F.coalesce(F.col("_placed"), dealt)).drop("_group", "_placed")
+
+
 def tier_stats(train: DataFrame, value: str, keys: list[str], stat) -> DataFrame:
     return train.groupBy(*keys).agg(stat(value).alias("stat"), F.count(F.lit(1)).alias("n"))
 

@@ -676,3 +676,8 @@ def card_rows(spark, sf_dir):
 def timestamp_coerce(spark, sf_dir):
     raw = F.when(F.col("event_id") % 4 == 0, "не указано").when(F.col("event_id") % 4 == 1, "").otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
     return read(spark, sf_dir, "events").select("event_id", F.date_format(S.timestamp_of(raw), "yyyy-MM-dd HH:mm").alias("at"))
+
+
+@query()
+def group_folds_balanced(spark, sf_dir):
+    return pricing.balanced_folds(read(spark, sf_dir, "documents"), "source").select("doc_id", "source", "fold")

@@ -299,3 +299,17 @@ def test_shares_and_errors(spark):
     none = evaluation.suspicion_share(df.limit(0), F.col("reasons")).first()
     assert (none.n, none.share) == (0, None)
     assert one(spark, S.timestamp_of(F.col("t")), t="nonsense") is None and one(spark, S.timestamp_of(F.col("t")), t="2026-07-01 10:00:00").hour == 10
+
+
+def test_balanced_folds(spark):
+    sizes = {"a": 40, "b": 30, "c": 30, "d": 10, "e": 5, None: 5}
+    df = spark.createDataFrame([(g,) for g, n in sizes.items() for _ in range(n)], "g string")
+    got = pricing.balanced_folds(df, "g", 3).groupBy("g").agg(F.min("fold").alias("lo"), F.max("fold").alias("hi"), F.count(F.lit(1)).alias("n")).collect()
+    assert all(r.lo == r.hi for r in got) and {r.g: r.n for r in got} == sizes
+    loads = [sum(r.n for r in got if r.lo == f) for f in range(3)]
+    assert sorted(loads) == [40, 40, 40]
+    assert pricing.balanced_folds(df.where("g in ('a', 'b')"), "g", 5).agg(F.countDistinct("fold")).first()[0] == 2
+    many = pricing.balanced_folds(spark.range(4000).select(F.when(F.col("id") < 1000, -1).otherwise(F.col("id")).alias("g")), "g", 2)
+    assert all(1800 < r["count"] < 2200 for r in many.groupBy("fold").count().collect()) and many.where("g = -1").select("fold").distinct().count() == 1
+    with pytest.raises(ValueError):
+        pricing.balanced_folds(df.where("g = 'a'"), "g")
