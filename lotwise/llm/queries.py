@@ -99,4 +99,37 @@ ORACLE_SQL = {
         SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
             sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
         FROM words LEFT JOIN counted USING (doc_id) LEFT JOIN named USING (doc_id)""",
+    "op7_warc": r"""
+        WITH bodies AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+        bits AS (
+            SELECT page_id, body, strlen(body) AS n, min(page_id) OVER (PARTITION BY body) AS first_id,
+                array_to_string(list_transform(range(1, 41), lambda i: right('000' || bin(CAST('0x' || substr(sha1(body), i, 1) AS BIGINT)), 4)), '') AS b
+            FROM bodies)
+        SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+            array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(list_sum(list_transform(range(1, 6), lambda k: CAST(substr(b, 5 * i + k, 1) AS INTEGER) * (1 << (5 - k)))) AS INTEGER), 1)), '') AS payload_digest,
+            CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+        FROM bits""",
+    "op8_near_duplicates": r"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        shingles AS MATERIALIZED (
+            SELECT DISTINCT doc_id, md5_number(array_to_string(list_slice(w, i, i + 2), ' ')) AS s
+            FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM words WHERE len(w) > 0)),
+        sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+        meets AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+        links AS MATERIALIZED (SELECT x, y FROM meets JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * c >= 85 * (p.n + q.n - c)),
+        reach(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.x, links.y FROM reach JOIN links ON links.x = reach.y)
+        SELECT doc_id, coalesce(max(n), 0) AS n_shingles, min(y) AS component_id, doc_id = min(y) AS kept
+        FROM reach JOIN documents ON doc_id = x LEFT JOIN sizes USING (doc_id) GROUP BY doc_id""",
+    "op10_embeddings": r"""
+        WITH RECURSIVE vectors AS (
+            SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+            WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        links AS MATERIALIZED (
+            SELECT a.vec_id AS x, b.vec_id AS y FROM vectors a JOIN vectors b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+            WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
+        degree AS (SELECT x AS vec_id, count(*) AS n FROM links GROUP BY x),
+        reach(x, y) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT reach.x, links.y FROM reach JOIN links ON links.x = reach.y)
+        SELECT vec_id, coalesce(max(n), 0) AS n_links, min(y) AS component_id, vec_id = min(y) AS kept
+        FROM reach JOIN embeddings ON vec_id = x LEFT JOIN degree USING (vec_id) GROUP BY vec_id""",
 }
