@@ -15,7 +15,7 @@ from lotwise.functions import scalars as S
 from lotwise.functions import text as X
 from lotwise.operators import duplicates, evaluation, forest, outliers, pricing, queues, review, rules, status, upserts
 from lotwise.plans.clean import TIERS, clean
-from lotwise.sources import sinks
+from lotwise.sources import pages, sinks
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -681,3 +681,92 @@ def timestamp_coerce(spark, sf_dir):
 @query()
 def group_folds_balanced(spark, sf_dir):
     return pricing.balanced_folds(read(spark, sf_dir, "documents"), "source").select("doc_id", "source", "fold")
+
+
+# --- saved pages, photos, journals ------------------------------------------------------------------------------
+
+
+def _list_pages(spark, sf_dir):
+    """A saved list of two cards for each part."""
+    k, lit = F.col("p_partkey"), F.lit
+    card = lambda i: F.concat(lit('<div class="a-card js__a-card" data-id="'), i.cast("string"), lit('"><a href="/a/'), i.cast("string"), lit('?q=1"><h5 class="card__title"><b>'), F.col("p_brand"), lit("</b> "), F.col("p_type"), lit('</h5></a><div class="card__price"><div>от <div>'), i.cast("string"), lit('</div></div> 000&nbsp;₸</div><p class="card__description">2020 г., б/у седан, 2 л, бензин, КПП автомат, '), F.col("p_type"), lit(' &amp;lt;</p><span class="card__region">Town '), F.col("p_size").cast("string"), lit('</span><img src="http://p/'), i.cast("string"), lit('-1x2.jpg"><img data-src="http://p/'), i.cast("string"), lit('-3x4.jpg"><img src="http://p/static/b.png"></div>'))
+    return read(spark, sf_dir, "part").select(F.concat(lit("<html><body>"), card(k * 2), card(k * 2 + 1), lit("</body></html>")).alias("html"))
+
+
+@query("""SELECT CAST(i AS VARCHAR) AS ad_id, p_brand || ' ' || p_type AS title, p_brand AS brand, p_type AS model, CAST(i * 1000 AS BIGINT) AS price_tenge, 2020 AS year, 'седан' AS body_type, p_type || ' &lt;' AS description, 'Town ' || p_size AS city, 'http://p/' || i || '-full.jpg' AS urls, '/a/' || i AS url
+    FROM (SELECT *, unnest([p_partkey * 2, p_partkey * 2 + 1]) AS i FROM part)""")
+def list_page_cards(spark, sf_dir):
+    out = pages.cards(_list_pages(spark, sf_dir))
+    return out.select("ad_id", "title", "brand", "model", "price_tenge", "spec.year", "spec.body_type", "spec.description", "city", F.array_join("urls", " ").alias("urls"), "url")
+
+
+@query("""SELECT p_partkey AS ad_id, 'полный ' || p_brand AS drive, 'Да' AS customs_cleared, CAST(p_partkey * 1000 AS INTEGER) AS page_mileage_km, CASE WHEN p_partkey % 2 = 0 THEN p_partkey * 100 ELSE -1 END AS market_price, CASE WHEN p_partkey % 3 = 0 THEN 'Аварийная Заложена ' || p_size ELSE '-' END AS page_status_badge,
+    'да ' || p_name || ' есть ржавчина' AS seller_comment, 'ржавчин' AS damage_keywords, CAST(p_partkey % 5 = 0 AS INTEGER) AS is_archived, 0 AS is_blocked FROM part""")
+def listing_page_facts(spark, sf_dir):
+    k, lit = F.col("p_partkey"), F.lit
+    html = F.concat(
+        lit("<dl><dt>Привод</dt><dd>неизвестно</dd><dt>Привод</dt><dd><b>полный</b> "), F.col("p_brand"), lit("</dd><dt>Растаможен в Казахстане</dt><dd>Да</dd><dt>Пробег</dt><dd>"), k.cast("string"), lit("&#160;000 км</dd></dl>"),
+        F.when(k % 3 == 0, F.concat(lit('<div class="x offer__parameters-mortgaged"><div>Аварийная</div> Заложена <div>'), F.col("p_size").cast("string"), lit("</div></div><div>after</div>"))).otherwise(""),
+        F.when(k % 5 == 0, "<i>в&nbsp;архиве</i>").otherwise(""), lit('<script>{"descriptionText": "\\u0434а<br/>'), F.col("p_name"), lit('\\nесть ржавчина"'),
+        F.when(k % 2 == 0, F.concat(lit(', "avgPrice": '), (k * 100).cast("string"))).otherwise(""), lit("}</script>"),
+    )
+    out = pages.listing_pages(read(spark, sf_dir, "part").select(k.alias("ad_id"), html.alias("html")))
+    return out.select("ad_id", "drive", "customs_cleared", "page_mileage_km", "market_price", "page_status_badge", "seller_comment", "damage_keywords", "is_archived", "is_blocked")
+
+
+@query("""SELECT l_orderkey AS ad_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY first_line, url) AS INTEGER) AS position, url
+    FROM (SELECT l_orderkey, 'http://p/' || (l_partkey % 7) AS url, min(l_linenumber) AS first_line FROM lineitem GROUP BY 1, 2)""")
+def numbered_photos(spark, sf_dir):
+    rows = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("ad_id"), F.col("l_linenumber").alias("position"), F.concat(F.lit("http://p/"), (F.col("l_partkey") % 7).cast("string")).alias("url"))
+    return duplicates.numbered_photos(duplicates.gallery(rows))
+
+
+@query("""WITH v AS (SELECT doc_id AS k, CASE WHEN toxic = 1 THEN 'fraud' WHEN quality = 1 THEN 'legit' ELSE 'nonsense' END AS verdict FROM labels), good AS (SELECT * FROM v WHERE verdict <> 'nonsense'),
+    j AS (SELECT conv_id AS k, turn AS seq, role AS verdict, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations)
+    SELECT k, seq, coalesce(good.verdict, j.verdict) AS verdict FROM j FULL JOIN good USING (k) WHERE good.verdict IS NULL OR coalesce(n, 1) = 1""")
+def set_verdicts(spark, sf_dir):
+    journal = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("k"), F.col("turn").alias("seq"), F.col("role").alias("verdict"))
+    fresh = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("k"), F.lit(1).alias("seq"), F.when(F.col("toxic") == 1, "fraud").when(F.col("quality") == 1, "legit").otherwise("nonsense").alias("verdict"))
+    return upserts.set_verdicts(journal, fresh, "k", "seq")
+
+
+@query("SELECT doc_id, source FROM documents WHERE CAST('0x' || substr(md5('7#' || source), 1, 8) AS BIGINT) < CAST(floor(0.6 * 4294967296) AS BIGINT)")
+def sample_groups(spark, sf_dir):
+    return pricing.sample_groups(read(spark, sf_dir, "documents"), "source", 0.6, seed=7).select("doc_id", "source")
+
+
+@query("""WITH t AS (SELECT p_partkey, p_brand, p_size, CASE WHEN p_partkey % 3 = 0 THEN 'short' WHEN p_partkey % 3 = 1 THEN '  A  Description of ' || p_type END AS d FROM part), s AS (SELECT *, lower(trim(regexp_replace(coalesce(d, ''), '\\s+', ' ', 'g'))) AS x FROM t)
+    SELECT p_partkey, sha256(concat_ws(chr(31), p_brand, CAST(p_size AS VARCHAR), CASE WHEN length(x) >= 15 THEN x ELSE 'ad:' || p_partkey END)) AS group_key FROM s""")
+def duplicate_group(spark, sf_dir):
+    k = F.col("p_partkey")
+    text = F.when(k % 3 == 0, "short").when(k % 3 == 1, F.concat(F.lit("  A  Description of "), "p_type"))
+    return read(spark, sf_dir, "part").select("p_partkey", S.duplicate_group(k, [F.col("p_brand"), F.col("p_size")], text).alias("group_key"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 AND NOT (month(o_orderdate) = 2 AND day(o_orderdate) = 29) THEN make_date(2026, CAST(month(o_orderdate) AS INTEGER), CAST(day(o_orderdate) AS INTEGER)) END AS posted, CASE WHEN o_orderkey % 4 <> 0 THEN CAST(o_orderdate AS DATE) END AS seen FROM orders""")
+def listing_dates(spark, sf_dir):
+    names = F.array(*[F.lit(x) for x in ("января", "фев.", "марта", "апр.", "мая", "июня", "июл.", "августа", "сен.", "октября", "нояб.", "декабря")])
+    at, k = F.col("o_orderdate"), F.col("o_orderkey")
+    posted = F.when(k % 5 == 0, "вчера").otherwise(F.concat_ws(" ", F.dayofmonth(at).cast("string"), F.element_at(names, F.month(at))))
+    seen = F.when(k % 4 == 0, "nonsense").otherwise(F.concat(F.date_format(at, "yyyy-MM-dd"), F.lit("T10:00:00")))
+    return read(spark, sf_dir, "orders").select("o_orderkey", S.posted_date(posted, 2026).alias("posted"), S.iso_date(seen).alias("seen"))
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN 'ржавчин' WHEN 4 THEN 'без коробки|без матора' WHEN 5 THEN 'ржавчин' WHEN 6 THEN 'битая' ELSE '' END AS hits, CASE WHEN p_partkey % 8 IN (0, 4, 5, 6) THEN 1 ELSE 0 END AS damaged FROM part""")
+def damage_with_negations(spark, sf_dir):
+    k = F.col("p_partkey") % 8
+    cases = ["Есть ржавчина на пороге ", "без единой ржавчины ", "нету никаких гнилей ", "вложения не требует ", "без матора, без коробки ", "салон не прокурен, есть ржавчина ", "битая, не крашена ", None]
+    said = F.element_at(F.array(*map(F.lit, cases)), (k + 1).cast("int"))
+    rows = read(spark, sf_dir, "part").select("p_partkey", F.concat(said, F.col("p_name")).alias("t"))
+    return rows.select("p_partkey", F.array_join(X.lexicon_hits(F.col("t"), X.DAMAGE), "|").alias("hits"), X.has_damage(F.col("t")).cast("int").alias("damaged"))
+
+
+@query("""SELECT p_partkey, trim(replace(format('{:,}', p_partkey * 12345), ',', ' ')) AS money, repeat('#', CAST(floor(p_size * 20 / 50) AS INTEGER)) || repeat('.', 20 - CAST(floor(p_size * 20 / 50) AS INTEGER)) AS bar, p_brand || '+' || p_type AS parts, '&lt;b class=&quot;x&quot;&gt;' || p_name || ' &amp; &#x27;co&#x27;' AS escaped,
+    'http://x/' || p_partkey || '-full.webp' AS whole, 2.0 + 30.0 / (1 + p_size) AS pause, CAST(ceil(p_partkey * 4.0 / 60) AS BIGINT) AS minutes FROM part""")
+def report_columns(spark, sf_dir):
+    k, lit = F.col("p_partkey"), F.lit
+    return read(spark, sf_dir, "part").select(
+        "p_partkey", X.money(k * 12345).alias("money"), X.bar(F.col("p_size"), lit(50)).alias("bar"), F.array_join(X.reasons_of(F.concat("p_brand", lit("; |"), "p_type", lit(";"))), "+").alias("parts"),
+        X.html_escape(F.concat(lit('<b class="x">'), "p_name", lit(" & 'co'"))).alias("escaped"), X.full_size(F.concat(lit("http://x/"), k.cast("string"), lit("-12x34.webp"))).alias("whole"),
+        S.mean_pause(lit(1.0), lit(3.0), lit(20.0), lit(40.0), 1 + F.col("p_size")).alias("pause"), S.eta_minutes(k, lit(4.0)).alias("minutes"),
+    )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lotwise.functions import text as X
@@ -14,30 +14,30 @@ TERMS = {
 }
 
 
-def _inner(card: Column, css_class: str) -> Column:
-    return X.html_text(F.regexp_extract(card, rf"""(?s)<(\w+)[^>]*class=["'][^"']*{css_class}[^"']*["'][^>]*>(.*?)</\1>""", 2))
-
-
 def cards(pages: DataFrame, html_col: str = "html", marker: str = "js__a-card", id_attribute: str = "data-id") -> DataFrame:
     """A row for each card of a saved list: (ad_id, title, brand, model, price_tenge, spec, city, urls, url) and the other columns of `pages`.
 
     A card begins at an element with the marker and ends where the next begins.
     Pictures are previews in whole size, each once; static artwork is left out.
     """
-    parts = F.slice(F.split(F.regexp_replace(html_col, rf"""<(\w+)(?=[^>]*\b{marker}\b)""", "\u0000<$1"), "\u0000", -1), 2, 1_000_000)
+    parts = F.split(F.regexp_replace(html_col, rf"""<(\w+)(?=[^>]*\b{marker}\b)""", "\u0000<$1"), "\u0000", -1)
+    parts = F.slice(parts, F.lit(2), F.size(parts))
     rows = pages.withColumn("_card", F.explode(parts))
     card = F.col("_card")
+    inner = {"_title": "title", "_price": "price", "_description": "description", "_city": "region|city"}
+    # in steps, so that no text is cut out anew for each column made of it
+    rows = rows.withColumns({name: X.inside(card, css_class) for name, css_class in inner.items()})
+    rows = rows.withColumns({name: X.html_text(F.col(name)) for name in inner})
     urls = F.transform(F.regexp_extract_all(card, F.lit(r"""(?:src|data-src|srcset)=["'](https?://[^"'\s]+)"""), 1), X.full_size)
     urls = F.array_distinct(F.filter(urls, lambda u: ~F.contains(u, F.lit("/static/"))))
-    title = _inner(card, "title")
     out = rows.select(
         *[c for c in pages.columns if c != html_col],
         X.blank_to_null(F.regexp_extract(card, rf"""{id_attribute}=["']([^"']+)""", 1)).alias("ad_id"),
-        title.alias("title"),
-        X.brand_model(title).alias("_bm"),
-        X.clean_int(_inner(card, "price")).alias("price_tenge"),
-        X.spec_line(_inner(card, "description")).alias("spec"),
-        X.blank_to_null(_inner(card, "region|city")).alias("city"),
+        F.col("_title").alias("title"),
+        X.brand_model(F.col("_title")).alias("_bm"),
+        X.clean_int(F.col("_price")).alias("price_tenge"),
+        X.spec_line(F.col("_description")).alias("spec"),
+        X.blank_to_null(F.col("_city")).alias("city"),
         urls.alias("urls"),
         X.blank_to_null(X.without_query(F.regexp_extract(card, r"""<a[^>]*href=["']([^"']+)""", 1))).alias("url"),
     )

@@ -90,6 +90,17 @@ def test_pages(spark):
     assert [(r.ad_id, r.brand, r.model, r.price_tenge, r.urls, r.url) for r in got] == [(str(i), "BMW", f"X{i}", i * 1000000, [f"http://p/{i}-full.jpg"], f"/a/{i}") for i in (1, 2)]
 
 
+def test_elements_within_elements(spark):
+    inside = lambda html: one(spark, X.inside(F.col("t"), r"\bx\b"), t=html)
+    assert inside('<p>a</p><div class="b x"><div>1</div> 2 <DIV>3</DIV></div><div>4</div>') == "<div>1</div> 2 <DIV>3</DIV>"
+    assert inside('<b class="x"><big>1</big>2</b>3') == "<big>1</big>2" and inside('<i class="x">1<br>2') == "1<br>2"
+    assert inside('<i class="y">1</i>') == "" and inside(None) is None
+    assert one(spark, X.badge(F.col("t")), t='<div class="offer__parameters-mortgaged"><div>Аварийная</div> Заложена</div><div>x</div>') == "Аварийная Заложена"
+    text = lambda html: one(spark, X.html_text(F.col("t")), t=html)
+    assert text("a&nbsp;<b>b</b>&amp;lt; &eacute;&#1076;&#x434; &no; & &#xD800; &apos;") == "a b &lt; éдд &no; & &#xD800; '"
+    assert one(spark, F.array_join(X.reasons_of(F.col("t")), "+"), t="a; |b | c;") == "a+b+c"
+
+
 def test_hard_rules(spark):
     data = [(1, 2000.0, 5e6, 0.0, 27, "б/у"), (2, 2026.0, 5e6, 0.0, 1, "б/у"), (3, 2027.0, 5e6, 10.0, 0, "новый"), (4, 2027.0, 5e6, 0.0, 0, "новый"), (5, None, None, None, None, None), (6, 1940.0, 1e5, 2e6, 87, None), (7, 2024.0, 3e6, None, 3, None), (8, 2024.0, 3e6, None, 3, "б/у")]
     df = spark.createDataFrame(data, "id int, year double, price double, km double, age int, condition string")
