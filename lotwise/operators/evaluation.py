@@ -42,6 +42,5 @@ def floor_for_all(df: DataFrame, value: str, tiers: list[list[str]], suspicious:
     """
     marked = df.withColumn("_suspicious", F.coalesce(suspicious, F.lit(False))).withColumn("fold", F.when(F.col("_suspicious"), -1).otherwise(F.col("fold")))
     out = pricing.hierarchical(marked, value, tiers, [*range(folds), -1], stat, learn=~F.col("_suspicious"))
-    clean = out.where(~F.col("_suspicious") & F.col(value).isNotNull()).select((F.col(value) - F.col("predicted")).alias("_r"))
-    offset = clean.agg(pricing.lower_quantile("_r", cfg.floor_alpha).alias("_offset"))
-    return out.join(F.broadcast(offset), how="cross").withColumn("floor_log", F.col("predicted") + F.col("_offset")).drop("_offset", "_suspicious")  # one row
+    offset = pricing.lower_quantile(out.where(~F.col("_suspicious")), F.col(value) - F.col("predicted"), cfg.floor_alpha)
+    return out.join(F.broadcast(offset), F.lit(True), "left").withColumn("floor_log", F.col("predicted") + F.col("_offset")).drop("_offset", "_suspicious")  # one row

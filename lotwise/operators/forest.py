@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lotwise.operators import quantiles
+from lotwise.sources import working
+
 
 def _grow(x: np.ndarray, depth: int, rng: np.random.Generator) -> tuple:
     spread = np.flatnonzero(x.max(0) > x.min(0)) if len(x) > 1 else []
@@ -36,7 +40,8 @@ def _depths(tree: tuple, x: np.ndarray, depth: int = 0) -> np.ndarray:
 
 def isolation_scores(df: DataFrame, id_col: str, features: list[str], trees: int = 100, sample: int = 256, contamination: float = 0.02, seed: int = 42) -> DataFrame:
     """(id, score, is_outlier): gaps are filled with medians; at most trees * sample rows come to the driver."""
-    medians = df.agg(*[F.median(F.col(c).cast("double")).alias(c) for c in features])
+    medians = [quantiles.group_quantile(df, [], c, 0.5).withColumnRenamed("q", c) for c in features] if quantiles.is_large(df) else [df.agg(*[F.median(F.col(c).cast("double")).alias(c) for c in features])]
+    medians = reduce(lambda a, b: a.join(b, how="full", on=F.lit(True)), medians)  # one row each
     known = df.join(F.broadcast(medians.withColumnsRenamed({c: f"_m_{c}" for c in features})), how="cross")  # one row
     rows = known.select(id_col, *[F.coalesce(F.col(c).cast("double"), F.col(f"_m_{c}"), F.lit(0.0)).alias(c) for c in features])
     picked = rows.orderBy(F.xxhash64(F.col(id_col), F.lit(seed)), id_col).limit(trees * sample).select(*features).toPandas().to_numpy()
@@ -51,6 +56,6 @@ def isolation_scores(df: DataFrame, id_col: str, features: list[str], trees: int
             path = np.mean([_depths(t, x) for t in shared.value], 0) if shared.value else np.zeros(len(x))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(2 ** (-path / max(float(_mean_path(size)), 1e-9)))], [id_col, "score"])
 
-    scored = rows.mapInArrow(run, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, score double")
+    scored = working.written(rows.mapInArrow(run, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, score double"))
     limit = scored.agg(F.expr(f"percentile_approx(score, {1 - contamination}, 100000)").alias("_limit"))
     return scored.join(F.broadcast(limit), how="cross").select(id_col, "score", (F.col("score") > F.col("_limit")).alias("is_outlier"))  # one row

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lotwise.config import Config
 from lotwise.functions import scalars as S
+from lotwise.operators import quantiles
 
 
 def hierarchical_z(df: DataFrame, value: str, tiers: list[tuple[str, list[str]]], cfg: Config = Config()) -> DataFrame:
@@ -17,9 +18,9 @@ def hierarchical_z(df: DataFrame, value: str, tiers: list[tuple[str, list[str]]]
     no z there and falls to the next tier.  Rows that no tier serves have 0 and
     an empty level.  z is rounded half to even, before anyone compares it.
     """
-    z, level = F.lit(None).cast("double"), F.lit(None).cast("string")
+    z, level, large = F.lit(None).cast("double"), F.lit(None).cast("string"), quantiles.is_large(df)
     for i, (name, keys) in enumerate(tiers):
-        stats = _tier(df, value, keys).withColumnsRenamed({k: f"_k{i}_{k}" for k in keys} | {"med": f"_med{i}", "mad": f"_mad{i}", "n": f"_n{i}"})
+        stats = _tier(df, value, keys, large).withColumnsRenamed({k: f"_k{i}_{k}" for k in keys} | {"med": f"_med{i}", "mad": f"_mad{i}", "n": f"_n{i}"})
         df = df.join(stats, [F.col(k) == F.col(f"_k{i}_{k}") for k in keys], "left").drop(*[f"_k{i}_{k}" for k in keys])
         mad, n = F.col(f"_mad{i}"), F.col(f"_n{i}")
         own = F.when(F.coalesce(mad, F.lit(0.0)) == 0, 0.0).otherwise(cfg.mad_scale * (F.col(value) - F.col(f"_med{i}")) / F.nullif(mad, F.lit(0.0)))
@@ -31,9 +32,13 @@ def hierarchical_z(df: DataFrame, value: str, tiers: list[tuple[str, list[str]]]
     return df.withColumns({"price_z": known, "z_group_level": F.coalesce(level, F.lit(""))}).drop(*drop)
 
 
-def _tier(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
-    """med, mad and n of each group whose keys are all known; exact, by aggregation alone."""
+def _tier(df: DataFrame, value: str, keys: list[str], large: bool) -> DataFrame:
+    """med, mad and n of each group whose keys are all known; exact, and split within groups where the table is large."""
     rows = df.dropna(subset=keys).select(*keys, F.col(value).alias("x"))
+    if large:
+        med = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).join(quantiles.group_quantile(rows, keys, "x", 0.5, large).withColumnRenamed("q", "med"), keys, "left")
+        off = rows.join(med, keys).select(*keys, F.abs(F.col("x") - F.col("med")).alias("x"))
+        return med.join(quantiles.group_quantile(off, keys, "x", 0.5, large).withColumnRenamed("q", "mad"), keys, "left")
     med = rows.groupBy(*keys).agg(F.median("x").alias("med"), F.count(F.lit(1)).alias("n"))
     mad = rows.join(med, keys).groupBy(*keys).agg(F.median(F.abs(F.col("x") - F.col("med"))).alias("mad"))
     return med.join(mad, keys)
@@ -45,9 +50,14 @@ def stat_reasons(z: Column, cfg: Config = Config()) -> Column:
 
 def iqr_fences(df: DataFrame, value: str, group: str, cfg: Config = Config()) -> DataFrame:
     """iqr_low, iqr_high and iqr_flag (low, high or '') from the quartiles of each group; a null group has none."""
-    q = df.where(F.col(group).isNotNull()).groupBy(F.col(group).alias("_g")).agg(F.expr(f"percentile({value}, array(0.25D, 0.75D))").alias("q"))
-    step = cfg.iqr_multiplier * (F.col("q")[1] - F.col("q")[0])
-    q = q.select("_g", (F.col("q")[0] - step).alias("iqr_low"), (F.col("q")[1] + step).alias("iqr_high"))
+    known = df.where(F.col(group).isNotNull()).select(F.col(group).alias("_g"), value)
+    if quantiles.is_large(df):
+        low, high = (quantiles.group_quantile(known, ["_g"], value, share, large=True).withColumnRenamed("q", name) for share, name in ((0.25, "_q1"), (0.75, "_q3")))
+        q = low.join(high, "_g")
+    else:
+        q = known.groupBy("_g").agg(F.percentile(value, F.lit(0.25)).alias("_q1"), F.percentile(value, F.lit(0.75)).alias("_q3"))
+    step = cfg.iqr_multiplier * (F.col("_q3") - F.col("_q1"))
+    q = q.select("_g", (F.col("_q1") - step).alias("iqr_low"), (F.col("_q3") + step).alias("iqr_high"))
     df = df.join(F.broadcast(q), F.col(group) == F.col("_g"), "left").drop("_g")  # a row for each bucket of age
     flag = F.when(F.col(value) < F.col("iqr_low"), "low").when(F.col(value) > F.col("iqr_high"), "high").otherwise("")
     return df.withColumn("iqr_flag", flag)

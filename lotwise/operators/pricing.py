@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from lotwise.config import Config
 from lotwise.functions import scalars as S
+from lotwise.operators import quantiles
 
 #: What a price model must never see, for it follows from the price or from the verdict.
 BANNED = ("price_tenge", "log_price", "price_z", "market_price", "suspicion_reasons", "is_suspicious", "verdict", "residual", "floor")
@@ -58,18 +59,22 @@ def tier_stats(train: DataFrame, value: str, keys: list[str], stat) -> DataFrame
     return train.groupBy(*keys).agg(stat(value).alias("stat"), F.count(F.lit(1)).alias("n"))
 
 
-def hierarchical(df: DataFrame, value: str, tiers: list[list[str]], folds: list[int], stat=F.median, learn: Column | None = None) -> DataFrame:
+def hierarchical(df: DataFrame, value: str, tiers: list[list[str]], folds: list[int], stat=0.5, learn: Column | None = None) -> DataFrame:
     """Out-of-fold statistic of the finest tier that has training rows; `df` has a fold.
 
-    Statistics without a fold are computed for all folds at once: each training
+    `stat` is the share of a quantile, which is split within large groups, or an
+    aggregate of a column.  Statistics without a fold are computed for all folds at once: each training
     row counts for every other fold, if `learn` holds.  Keys match null with null.
     The last tier is the whole training set.
     """
-    out = df
+    out, share = df, isinstance(stat, float)
+    large = share and quantiles.is_large(df)
     others = F.array(*[F.lit(f) for f in folds])
     train = df.where(F.col(value).isNotNull() & (F.lit(True) if learn is None else learn)).withColumn("_for", F.explode(F.array_remove(others, F.col("fold"))))
     for i, keys in enumerate([*tiers, []]):
-        stats = train.groupBy(F.col("_for").alias(f"_f{i}"), *[F.col(k).alias(f"_k{i}_{k}") for k in keys]).agg(stat(value).alias(f"_s{i}"))
+        names = [f"_f{i}", *[f"_k{i}_{k}" for k in keys]]
+        known = train.select(F.col("_for").alias(f"_f{i}"), *[F.col(k).alias(f"_k{i}_{k}") for k in keys], value)
+        stats = (quantiles.group_quantile(known, names, value, stat, large) if share else known.groupBy(*names).agg(stat(value).alias("q"))).withColumnRenamed("q", f"_s{i}")
         same = F.col("fold") == F.col(f"_f{i}")
         for k in keys:
             same = same & F.col(k).eqNullSafe(F.col(f"_k{i}_{k}"))
@@ -118,18 +123,15 @@ def segment_metrics(df: DataFrame, actual: Column, predicted: Column, cuts: tupl
     return all_.join(found, "segment", "left").select("segment", F.coalesce("n", F.lit(0)).alias("n"), "mape")
 
 
-def lower_quantile(value: str, alpha: float) -> Column:
-    """The value at place floor(alpha * (n - 1)) in order; equal to percentile_disc at 0.1."""
-    if alpha == 0.1:
-        return F.expr(f"percentile_disc(0.1D) within group (order by {value})")
-    x = F.array_sort(F.collect_list(value))
-    return F.element_at(x, F.floor(F.lit(alpha) * (F.size(x) - 1)).cast("int") + 1)
+def lower_quantile(df: DataFrame, value: Column, alpha: float) -> DataFrame:
+    """_offset: the value at place floor(alpha * (n - 1)) in order; null without values."""
+    return quantiles.group_quantile(df.select(value.alias("_r")), [], "_r", alpha, lower=True).withColumnRenamed("q", "_offset")
 
 
 def calibrated_floor(df: DataFrame, actual_log: str, raw_floor: str, cfg: Config = Config()) -> DataFrame:
     """floor_log: the raw floor shifted so that a share alpha of rows lies below it."""
-    offset = df.where(F.col(actual_log).isNotNull()).select((F.col(actual_log) - F.col(raw_floor)).alias("_r")).agg(lower_quantile("_r", cfg.floor_alpha).alias("_offset"))
-    return df.join(F.broadcast(offset), how="cross").withColumn("floor_log", F.col(raw_floor) + F.col("_offset")).drop("_offset")  # one row
+    offset = lower_quantile(df, F.col(actual_log) - F.col(raw_floor), cfg.floor_alpha)
+    return df.join(F.broadcast(offset), F.lit(True), "left").withColumn("floor_log", F.col(raw_floor) + F.col("_offset")).drop("_offset")  # one row
 
 
 def with_support(df: DataFrame, train: DataFrame, keys: list[str]) -> DataFrame:

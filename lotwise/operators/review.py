@@ -6,25 +6,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lotwise.config import Config
+from lotwise.sources import working
 
 
 def with_strata(df: DataFrame, rule: Column, residual: Column) -> DataFrame:
     return df.withColumn("sampling_stratum", F.when(rule, "rule_positive").when(residual, "residual_candidate").otherwise("random_control"))
 
 
-def labelling_queue(df: DataFrame, verdicts: DataFrame, id_col: str, rule: Column, residual: Column, order: dict[str, list[Column]] | None = None, cfg: Config = Config()) -> DataFrame:
+def labelling_queue(df: DataFrame, verdicts: DataFrame, id_col: str, rule: Column, residual: Column, cfg: Config = Config()) -> DataFrame:
     """Rows to review: all flagged ones, all residual candidates, and a hash sample of the rest.
 
     Populations count every row, also those with a verdict; these are then left
     out.  stratum_sample_size counts what is queued.
     """
+    done = verdicts.select(F.col(id_col).alias("_done")).distinct()
     rows = with_strata(df, F.coalesce(rule, F.lit(False)), F.coalesce(residual, F.lit(False)))
-    counts = rows.groupBy("sampling_stratum").agg(F.count(F.lit(1)).alias("stratum_population"))
-    open_ = rows.join(verdicts.select(id_col).distinct(), id_col, "left_anti")
-    control = open_.where("sampling_stratum = 'random_control'").orderBy(F.md5(F.col(id_col).cast("string")), id_col).limit(cfg.control_sample)
-    queue = open_.where("sampling_stratum <> 'random_control'").unionByName(control)
-    sizes = queue.groupBy("sampling_stratum").agg(F.count(F.lit(1)).alias("stratum_sample_size"))
-    return queue.join(F.broadcast(counts), "sampling_stratum").join(F.broadcast(sizes), "sampling_stratum")  # three rows each
+    rows = working.written(rows.join(done, F.col(id_col) == F.col("_done"), "left").withColumn("_done", F.col("_done").isNotNull()))
+    control = F.col("sampling_stratum") == "random_control"
+    open_ = F.count_if(~F.col("_done"))
+    sizes = rows.groupBy("sampling_stratum").agg(F.count(F.lit(1)).alias("stratum_population"), F.when(F.col("sampling_stratum") == "random_control", F.least(open_, F.lit(cfg.control_sample))).otherwise(open_).alias("stratum_sample_size"))
+    waiting = rows.where(~F.col("_done")).drop("_done")
+    queue = waiting.where(~control).unionByName(waiting.where(control).orderBy(F.md5(F.col(id_col).cast("string")), id_col).limit(cfg.control_sample))
+    return queue.join(F.broadcast(sizes), "sampling_stratum")  # three rows
 
 
 def confusion(df: DataFrame, flagged: Column, fraud: Column) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lotwise.config import Config
 from lotwise.functions import scalars as S
 from lotwise.functions import text as X
-from lotwise.operators import duplicates, evaluation, forest, outliers, pricing, queues, review, rules, status, upserts
+from lotwise.operators import duplicates, evaluation, forest, outliers, pricing, quantiles, queues, review, rules, status, upserts
 from lotwise.plans.clean import TIERS, clean
 from lotwise.sources import pages, sinks
 
@@ -157,7 +157,10 @@ def detector_agreement(spark, sf_dir):
 
 @query(f"WITH {PRICED} SELECT age_bucket, count(*) AS n, round(median(price), 6) AS median_price FROM priced GROUP BY age_bucket")
 def age_bucket_medians(spark, sf_dir):
-    return priced(spark, sf_dir).groupBy("age_bucket").agg(F.count(F.lit(1)).alias("n"), F.round(F.median("price"), 6).alias("median_price"))
+    rows = priced(spark, sf_dir)
+    counts = rows.groupBy(F.col("age_bucket").alias("_k")).agg(F.count(F.lit(1)).alias("n"))
+    medians = quantiles.group_quantile(rows, ["age_bucket"], "price", 0.5)
+    return counts.join(medians, F.col("_k").eqNullSafe(F.col("age_bucket")), "left").select(F.col("_k").alias("age_bucket"), "n", F.round("q", 6).alias("median_price"))
 
 
 EXCULPATED = f"""WITH l AS ({LISTING}),
@@ -436,15 +439,11 @@ PRICE_TIERS = [["model_key", "age_bucket"], ["model_key"], ["brand"]]
 CUTS = (1000.0, 1300.0, 1600.0)
 
 
-def _folded(spark, sf_dir, stat=F.median):
+def _folded(spark, sf_dir, stat=0.5):
     rows = pricing.with_fold(priced(spark, sf_dir), F.concat("model_key", F.lit("#"), F.col("age").cast("string")), 5)
     return pricing.hierarchical(rows, "log_price", PRICE_TIERS, [0, 1, 2, 3, 4], stat)
 
 
-def _tenth(c):
-    return F.percentile(c, F.lit(0.1))
-
-
 @query(f"{MEDIANS} SELECT ad_id, fold, round(predicted, 6) AS predicted FROM pred")
 def baseline_hier_median(spark, sf_dir):
     return _folded(spark, sf_dir).select("ad_id", "fold", F.round("predicted", 6).alias("predicted"))
@@ -467,7 +466,7 @@ FLOOR = f"""{TENTHS}, off AS (SELECT quantile_disc(log_price - predicted, 0.1) A
 
 def _floored(spark, sf_dir):
     rows = priced(spark, sf_dir)
-    return pricing.below_floor(pricing.with_support(pricing.calibrated_floor(_folded(spark, sf_dir, _tenth), "log_price", "predicted"), rows, ["model_key"]))
+    return pricing.below_floor(pricing.with_support(pricing.calibrated_floor(_folded(spark, sf_dir, 0.1), "log_price", "predicted"), rows, ["model_key"]))
 
 
 @query(f"{FLOOR} SELECT ad_id, round(floor_log, 6) AS floor_log, support FROM fl")
@@ -633,7 +632,7 @@ ALL_FLOORS = (
 @query(f"{ALL_FLOORS}, off AS (SELECT quantile_disc(log_price - predicted, 0.1) AS o FROM pred WHERE NOT sus) SELECT ad_id, round(predicted + o, 6) AS floor_log FROM pred CROSS JOIN off")
 def floor_for_all(spark, sf_dir):
     rows = pricing.with_fold(priced(spark, sf_dir), F.concat("model_key", F.lit("#"), F.col("age").cast("string")), 5)
-    return evaluation.floor_for_all(rows, "log_price", PRICE_TIERS, F.col("ad_id") % 9 == 0, 5, _tenth).select("ad_id", F.round("floor_log", 6).alias("floor_log"))
+    return evaluation.floor_for_all(rows, "log_price", PRICE_TIERS, F.col("ad_id") % 9 == 0, 5, 0.1).select("ad_id", F.round("floor_log", 6).alias("floor_log"))
 
 
 @query(f"WITH {STATUSES} SELECT user_id, CAST(date_diff('day', seen, DATE '{AS_OF}') AS INTEGER) AS seen_days FROM s WHERE st <> 'archived' AND date_diff('day', seen, DATE '{AS_OF}') >= 2 AND NOT coalesce(date_diff('day', checked, DATE '{AS_OF}') < 7, false) ORDER BY seen_days DESC, user_id DESC LIMIT 40")

@@ -10,7 +10,7 @@ from lotwise import queries
 from lotwise.config import Config
 from lotwise.functions import scalars as S
 from lotwise.functions import text as X
-from lotwise.operators import duplicates, evaluation, outliers, pricing, queues, review, rules, status, upserts
+from lotwise.operators import duplicates, evaluation, outliers, pricing, quantiles, queues, review, rules, status, upserts
 from lotwise.sources import pages
 
 SF = "/root/testdata/sf0.001"
@@ -324,3 +324,24 @@ def test_balanced_folds(spark):
     assert all(1800 < r["count"] < 2200 for r in many.groupBy("fold").count().collect()) and many.where("g = -1").select("fold").distinct().count() == 1
     with pytest.raises(ValueError):
         pricing.balanced_folds(df.where("g = 'a'"), "g")
+
+
+def test_split_quantiles_are_exact(spark, monkeypatch):
+    """A hot group, ties, null keys and values: the same as the built-in percentile."""
+    x = F.when(F.col("id") % 97 == 0, None).when(F.col("id") % 5 == 0, 3.5).otherwise(F.pmod(F.xxhash64("id"), F.lit(100_003)) / 7)
+    key = F.when(F.col("id") % 3 < 2, "hot").when(F.col("id") % 301 != 0, (F.col("id") % 40).cast("string"))
+    df = spark.range(60_000).select(key.alias("k"), F.lit(1).alias("j"), x.cast("double").alias("x"))
+    for share in (0.0, 0.1, 0.5, 0.973, 1.0):
+        want = {r.k: r.q for r in df.groupBy("k").agg(F.percentile("x", F.lit(share)).alias("q")).collect()}
+        got = {r.k: r.q for r in quantiles.group_quantile(df, ["k"], "x", share, large=True, whole=5000).collect()}
+        assert got == pytest.approx(want, abs=1e-9) and None in got
+    values = sorted(r.x for r in df.where("x is not null").collect())
+    for alpha in (0.1, 0.25, 0.9):
+        assert pricing.lower_quantile(df, F.col("x"), alpha).first()[0] == values[int(alpha * (len(values) - 1))]
+    assert [tuple(r) for r in pricing.lower_quantile(df.limit(0), F.col("x"), 0.1).collect()] == [(None,)]
+    tiers = [("both", ["k", "j"]), ("all", ["j"])]
+    ends = lambda: (outliers.hierarchical_z(df, "x", tiers), outliers.iqr_fences(df, "x", "k"))
+    plain = [sorted(map(str, f.collect())) for f in ends()]
+    monkeypatch.setattr(quantiles, "MANY_ROWS", 1000)
+    monkeypatch.setattr(quantiles, "WHOLE_GROUP", 5000)
+    assert [sorted(map(str, f.collect())) for f in ends()] == plain
