@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import os
+from collections.abc import Mapping
+from dataclasses import dataclass, fields
+
+from pyspark.sql import SparkSession
 
 
 @dataclass(frozen=True)
@@ -34,3 +38,15 @@ class Config:
     floor_max_age: int = 10
     folds: int = 5
     meaningful_text: int = 15
+
+    @classmethod
+    def of(cls, spark: SparkSession) -> Config:
+        """The defaults, with what the session sets as spark.lotwise.<name>."""
+        given = {f.name: spark.conf.get(f"spark.lotwise.{f.name}", None) for f in fields(cls)}
+        return cls(**{name: type(getattr(cls, name))(value) for name, value in given.items() if value is not None})
+
+
+def database(env: Mapping[str, str] = os.environ) -> dict[str, str]:
+    """url, user and password for a JDBC source; the host and the port have defaults, anything else missing is an error."""
+    host, port = env.get("POSTGRES_HOST", "localhost"), env.get("POSTGRES_PORT", "5432")
+    return {"url": f"jdbc:postgresql://{host}:{port}/{env['POSTGRES_DB']}", "user": env["POSTGRES_USER"], "password": env["POSTGRES_PASSWORD"]}

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lotwise.config import Config
@@ -44,3 +46,49 @@ def floor_for_all(df: DataFrame, value: str, tiers: list[list[str]], suspicious:
     out = pricing.hierarchical(marked, value, tiers, [*range(folds), -1], stat, learn=~F.col("_suspicious"))
     offset = pricing.lower_quantile(out.where(~F.col("_suspicious")), F.col(value) - F.col("predicted"), cfg.floor_alpha)
     return out.join(F.broadcast(offset), F.lit(True), "left").withColumn("floor_log", F.col("predicted") + F.col("_offset")).drop("_offset", "_suspicious")  # one row
+
+
+def evaluate_temporal(df: DataFrame, ts: str, id_col: str, group: str, label: str, tiers: list[list[str]], pipeline=None, least: tuple[int, int, int] = (100, 50, 20)) -> DataFrame:
+    """(method, train_rows, test_rows, train_until, test_from, n, mape, mae, r2_log): the hierarchical median, and `pipeline` if given, on the newest fifth.
+
+    `label` is a log price.  Without enough rows that have a time, or too few to
+    learn from or to test on (the three of `least`), or with one time only, there are no rows.
+    """
+    parts = pricing.temporal_holdout(df.where(F.col(label).isNotNull()), ts, id_col, group)
+    train, test = F.col("part") == "train", F.col("part") == "test"
+    facts = parts.agg(
+        F.count(ts).alias("_timed"), F.min(ts).alias("_first"), F.max(ts).alias("_last"), F.count_if(train).alias("train_rows"), F.count_if(test).alias("test_rows"),
+        F.max(F.when(train, F.col(ts))).alias("train_until"), F.min(F.when(test, F.col(ts))).alias("test_from"),
+    )
+    enough = (F.col("_timed") >= least[0]) & (F.col("_first") < F.col("_last")) & (F.col("train_rows") >= least[1]) & (F.col("test_rows") >= least[2])
+    facts = facts.where(enough).select("train_rows", "test_rows", "train_until", "test_from")
+    folded = parts.where(train | test).withColumn("fold", test.cast("int"))
+    scored = {"baseline": pricing.hierarchical(folded, label, tiers, [0, 1], learn=F.col("fold") == 0).where("fold = 1")}
+    if pipeline is not None and folded.where("fold = 0").limit(1).count():
+        scored["model"] = pipeline.fit(folded.where("fold = 0")).transform(folded.where("fold = 1"))
+    rows = [pricing.regression_metrics(x, F.exp(label), F.exp("predicted")).select(F.lit(name).alias("method"), "*") for name, x in scored.items()]
+    return facts.join(F.broadcast(reduce(DataFrame.unionByName, rows)), how="cross").select("method", "train_rows", "test_rows", "train_until", "test_from", "n", "mape", "mae", "r2_log")  # two rows at most
+
+
+def importances(model, spark: SparkSession, numeric: list[str], categorical: list[str], n: int = 12) -> DataFrame:
+    """(feature, importance) of the n features that a fitted price pipeline uses most."""
+    weights = model.stages[-1].featureImportances.toArray()  # one number for each feature
+    rows = sorted(zip([*numeric, *categorical], map(float, weights)), key=lambda x: (-x[1], x[0]))[:n]
+    return spark.createDataFrame(rows, "feature string, importance double")
+
+
+def curve_gains(curve: DataFrame, least: float = 0.5) -> DataFrame:
+    """first_gain and last_gain in points of mape of a learning curve's steps, and whether the last one is too small to go on."""
+    points = F.array_sort(F.collect_list(F.struct("share", "mape")))  # a row for each share
+    at = lambda i: F.try_element_at("_p", F.lit(i))["mape"] * 100
+    out = curve.agg(points.alias("_p")).select((at(1) - at(2)).alias("first_gain"), (at(-2) - at(-1)).alias("last_gain"))
+    return out.withColumn("is_plateau", F.abs("last_gain") < least)
+
+
+def residual_histogram(df: DataFrame, actual_log: str, predicted_log: str, bins: int = 60) -> DataFrame:
+    """(bin from 1, low, n): residuals in bins of equal width from the least to the greatest, which the last bin holds."""
+    rows = df.select((F.col(actual_log) - F.col(predicted_log)).alias("_x")).where("_x is not null")
+    rows = rows.join(F.broadcast(rows.agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))), how="cross")  # one row
+    width = (F.col("_hi") - F.col("_lo")) / bins
+    at = F.least(F.coalesce(F.floor((F.col("_x") - F.col("_lo")) / F.nullif(width, F.lit(0.0))), F.lit(0)), F.lit(bins - 1)).cast("int")
+    return rows.groupBy((at + 1).alias("bin")).agg(F.first(F.col("_lo") + at * width).alias("low"), F.count(F.lit(1)).alias("n"))

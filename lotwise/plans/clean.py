@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lotwise.config import Config
 from lotwise.functions import scalars as S
 from lotwise.operators import duplicates, outliers, rules, upserts
+from lotwise.sources import working
 
 TIERS = [("model", ["model_key", "age_bucket"]), ("brand", ["brand", "age_bucket"]), ("age", ["age_bucket"])]
 ENRICHED = {"customs_cleared": "string", "drive": "string", "steering": "string", "color": "string", "generation": "string", "page_mileage_km": "int", "damage_keywords": "string", "seller_comment": "string", "market_price": "double", "page_status_badge": "string"}
@@ -27,3 +30,16 @@ def clean(raw: DataFrame, enriched: DataFrame, journal: DataFrame, status: DataF
     df = duplicates.reposts(rules.exculpate(df, cfg), cfg=cfg)
     df = rules.finalize(duplicates.flag_pair_ends(df, photo_pairs))
     return df.join(status.select("ad_id", "status"), "ad_id", "left").withColumn("status", F.coalesce("status", F.lit("active")))
+
+
+def two_passes(raw: DataFrame, journal: DataFrame, status: DataFrame, look: Callable[[DataFrame], tuple[DataFrame, DataFrame]], cfg: Config = Config()) -> DataFrame:
+    """The clean layer twice: a first pass without facts from pages says what `look` looks at first, and its (facts, picture pairs) go into the second.
+
+    `look` gets (ad_id, is_suspicious).
+    """
+    spark = raw.sparkSession
+    no_facts = raw.select("ad_id", *[F.lit(None).cast(t).alias(c) for c, t in ENRICHED.items()]).limit(0)
+    no_pairs = spark.createDataFrame([], "ad_id_a long, ad_id_b long")
+    first = working.written(clean(raw, no_facts, journal, status, no_pairs, cfg).select("ad_id", "is_suspicious"))
+    facts, pairs = look(first)
+    return clean(raw, facts, journal, status, pairs, cfg)

@@ -14,7 +14,7 @@ from lotwise.config import Config
 from lotwise.functions import scalars as S
 from lotwise.functions import text as X
 from lotwise.operators import duplicates, evaluation, forest, outliers, pricing, quantiles, queues, review, rules, status, upserts
-from lotwise.plans.clean import TIERS, clean
+from lotwise.plans.clean import TIERS, clean, two_passes
 from lotwise.sources import pages, sinks
 
 QUERIES = {}
@@ -760,12 +760,73 @@ def damage_with_negations(spark, sf_dir):
     return rows.select("p_partkey", F.array_join(X.lexicon_hits(F.col("t"), X.DAMAGE), "|").alias("hits"), X.has_damage(F.col("t")).cast("int").alias("damaged"))
 
 
-@query("""SELECT p_partkey, trim(replace(format('{:,}', p_partkey * 12345), ',', ' ')) AS money, repeat('#', CAST(floor(p_size * 20 / 50) AS INTEGER)) || repeat('.', 20 - CAST(floor(p_size * 20 / 50) AS INTEGER)) AS bar, p_brand || '+' || p_type AS parts, '&lt;b class=&quot;x&quot;&gt;' || p_name || ' &amp; &#x27;co&#x27;' AS escaped,
+@query("""SELECT p_partkey, trim(replace(format('{:,}', p_partkey * 12345), ',', ' ')) AS money, repeat('█', CAST(round_even(p_size / 50.0 * 24, 0) AS INTEGER)) || repeat('░', 24 - CAST(round_even(p_size / 50.0 * 24, 0) AS INTEGER)) || printf(' %5.1f%%', p_size * 2.0) AS bar, CASE WHEN p_size <= 9 THEN 'готово' ELSE '~' || CAST(ceil((p_size - 9) / 7.0) AS INTEGER) || ' дн. при 7/день' END AS eta, p_brand || '+' || p_type AS parts, '&lt;b class=&quot;x&quot;&gt;' || p_name || ' &amp; &#x27;co&#x27;' AS escaped,
     'http://x/' || p_partkey || '-full.webp' AS whole, 2.0 + 30.0 / (1 + p_size) AS pause, CAST(ceil(p_partkey * 4.0 / 60) AS BIGINT) AS minutes FROM part""")
 def report_columns(spark, sf_dir):
     k, lit = F.col("p_partkey"), F.lit
     return read(spark, sf_dir, "part").select(
-        "p_partkey", X.money(k * 12345).alias("money"), X.bar(F.col("p_size"), lit(50)).alias("bar"), F.array_join(X.reasons_of(F.concat("p_brand", lit("; |"), "p_type", lit(";"))), "+").alias("parts"),
+        "p_partkey", X.money(k * 12345).alias("money"), X.bar(F.col("p_size"), lit(50)).alias("bar"), X.eta_days(F.col("p_size") - 9, lit(7)).alias("eta"), F.array_join(X.reasons_of(F.concat("p_brand", lit("; |"), "p_type", lit(";"))), "+").alias("parts"),
         X.html_escape(F.concat(lit('<b class="x">'), "p_name", lit(" & 'co'"))).alias("escaped"), X.full_size(F.concat(lit("http://x/"), k.cast("string"), lit("-12x34.webp"))).alias("whole"),
         S.mean_pause(lit(1.0), lit(3.0), lit(20.0), lit(40.0), 1 + F.col("p_size")).alias("pause"), S.eta_minutes(k, lit(4.0)).alias("minutes"),
     )
+
+
+# --- models in time, curves and residuals -----------------------------------------------------------------------
+
+DATED = [["o_orderpriority", "o_orderstatus"], ["o_orderpriority"]]
+
+
+def _dated(spark, sf_dir):
+    rows = read(spark, sf_dir, "orders")
+    return rows.select("o_orderkey", "o_orderdate", "o_orderpriority", "o_orderstatus", F.floor(F.col("o_orderkey") / 3).alias("g"), F.ln("o_totalprice").alias("log_price"))
+
+
+@query("""WITH o AS (SELECT *, floor(o_orderkey / 3) AS g, ln(o_totalprice) AS y FROM orders WHERE o_orderdate IS NOT NULL), r AS (SELECT *, row_number() OVER (ORDER BY o_orderdate, o_orderkey) > floor(count(*) OVER () * 0.8) AS t FROM o),
+    tr AS (SELECT * FROM r WHERE NOT t AND g NOT IN (SELECT g FROM r WHERE t)), a AS (SELECT o_orderpriority, o_orderstatus, median(y) AS m FROM tr GROUP BY 1, 2), b AS (SELECT o_orderpriority, median(y) AS m FROM tr GROUP BY 1), c AS (SELECT median(y) AS m, count(*) AS k, max(o_orderdate) AS til FROM tr),
+    p AS (SELECT r.y, r.o_orderdate, coalesce(a.m, b.m, c.m) AS e, k, til FROM r LEFT JOIN a ON a.o_orderpriority = r.o_orderpriority AND a.o_orderstatus = r.o_orderstatus LEFT JOIN b ON b.o_orderpriority = r.o_orderpriority CROSS JOIN c WHERE t)
+    SELECT 'baseline' AS method, max(k) AS train_rows, count(*) AS test_rows, CAST(max(til) AS DATE) AS train_until, CAST(min(o_orderdate) AS DATE) AS test_from, count(*) AS n, round(avg(abs(exp(y) - exp(e)) / exp(y)), 6) AS mape, round(avg(abs(exp(y) - exp(e))), 3) AS mae, round(1 - sum((y - e) ** 2) / (sum(y * y) - sum(y) * sum(y) / count(*)), 5) AS r2_log FROM p""")
+def temporal_baseline(spark, sf_dir):
+    out = evaluation.evaluate_temporal(_dated(spark, sf_dir), "o_orderdate", "o_orderkey", "g", "log_price", DATED)
+    return out.withColumns({"train_until": F.to_date("train_until"), "test_from": F.to_date("test_from"), "mape": F.round("mape", 6), "mae": F.round("mae", 3), "r2_log": F.round("r2_log", 5)})
+
+
+@query()
+def temporal_model(spark, sf_dir):
+    """Boosted trees against the hierarchical median on the newest fifth."""
+    items = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum("l_quantity").cast("double").alias("quantity"))
+    pipe = pricing.price_pipeline(["quantity"], ["o_orderpriority", "o_orderstatus"], "log_price", max_depth=3, max_iter=5)
+    return evaluation.evaluate_temporal(_dated(spark, sf_dir).join(items, "o_orderkey"), "o_orderdate", "o_orderkey", "g", "log_price", DATED, pipe)
+
+
+@query()
+def price_importances(spark, sf_dir):
+    rows = priced(spark, sf_dir).withColumn("age", F.col("age").cast("double"))
+    model = pricing.price_pipeline(["age"], ["brand", "model"], "log_price", max_depth=3, max_iter=5).fit(rows)
+    return evaluation.importances(model, spark, ["age"], ["brand", "model"])
+
+
+@query("""WITH c AS (SELECT l_linenumber / 7.0 AS share, avg(l_discount) AS mape FROM lineitem GROUP BY 1), o AS (SELECT *, row_number() OVER (ORDER BY share) AS i, count(*) OVER () AS k FROM c),
+    g AS (SELECT max(mape) FILTER (WHERE i = 1) - max(mape) FILTER (WHERE i = 2) AS a, max(mape) FILTER (WHERE i = k - 1) - max(mape) FILTER (WHERE i = k) AS b FROM o) SELECT round(a * 100, 6) AS first_gain, round(b * 100, 6) AS last_gain, abs(b * 100) < 0.5 AS is_plateau FROM g""")
+def curve_gains(spark, sf_dir):
+    curve = read(spark, sf_dir, "lineitem").groupBy((F.col("l_linenumber") / 7.0).alias("share")).agg(F.avg("l_discount").alias("mape"))
+    return evaluation.curve_gains(curve).withColumns({"first_gain": F.round("first_gain", 6), "last_gain": F.round("last_gain", 6)})
+
+
+@query(f"""{MEDIANS}, x AS (SELECT log_price - predicted AS x FROM pred), e AS (SELECT min(x) AS lo, max(x) AS hi FROM x), b AS (SELECT least(CAST(floor((x - lo) / ((hi - lo) / 60)) AS INTEGER), 59) AS i, lo, hi FROM x, e)
+    SELECT i + 1 AS bin, round(lo + i * ((hi - lo) / 60), 6) AS low, count(*) AS n FROM b GROUP BY i, lo, hi""")
+def residual_histogram(spark, sf_dir):
+    return evaluation.residual_histogram(_folded(spark, sf_dir), "log_price", "predicted").withColumn("low", F.round("low", 6))
+
+
+@query()
+def two_pass_clean(spark, sf_dir):
+    """Pages are known only of listings that the first pass suspects."""
+    raw = listings(spark, sf_dir).drop("age", "color").withColumns({"city": F.lit("A"), "engine_volume": F.lit(2.0)})
+    journal = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("ad_id"), F.col("doc_id").alias("seq"), F.when(F.col("toxic") == 1, "fraud").otherwise("legit").alias("verdict"))
+    seen = status.latest_status(read(spark, sf_dir, "events"), "user_id", "event_id", "event_type").withColumnRenamed("user_id", "ad_id")
+
+    def look(first):
+        facts = first.where("is_suspicious = 1").select("ad_id", F.when(F.col("ad_id") % 3 == 0, "Нет").alias("customs_cleared"))
+        return facts, photo_exact_pairs(spark, sf_dir)
+
+    return two_passes(raw, journal, seen, look).select("ad_id", "info_flags", "suspicion_reasons", "is_suspicious", "status")

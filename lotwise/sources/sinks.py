@@ -28,10 +28,24 @@ def merge_table(spark: SparkSession, name: str, rows: DataFrame, keys: list[str]
     """Upsert into a stored table: nothing is done for known keys, or `update` columns are set. No rows change nothing."""
     table = spark.table(name)
     merged = upserts.upsert_ignore(table, rows, keys, seq) if update is None else upserts.upsert_update(table, rows, keys, update, seq)
-    staged = f"{name}_staged"
-    merged.select(*table.columns).write.mode("overwrite").saveAsTable(staged)
-    spark.table(staged).write.mode("overwrite").saveAsTable(name)
-    spark.sql(f"DROP TABLE {staged}")
+    swap_table(merged.select(*table.columns), name)
+
+
+def swap_table(df: DataFrame, name: str) -> None:
+    """Write the rows beside the table, which they may read, and put them in its place by renaming: a failure while writing changes nothing."""
+    spark, staged, old = df.sparkSession, f"{name}_staged", f"{name}_replaced"
+    df.write.mode("overwrite").saveAsTable(staged)
+    if spark.catalog.tableExists(name):
+        spark.sql(f"DROP TABLE IF EXISTS {old}")
+        spark.sql(f"ALTER TABLE {name} RENAME TO {old}")
+    spark.sql(f"ALTER TABLE {staged} RENAME TO {name}")
+    spark.sql(f"DROP TABLE IF EXISTS {old}")
+
+
+def restore_table(spark: SparkSession, name: str) -> None:
+    """After a failure between the two renames: the old rows are the table again."""
+    if not spark.catalog.tableExists(name) and spark.catalog.tableExists(f"{name}_replaced"):
+        spark.sql(f"ALTER TABLE {name}_replaced RENAME TO {name}")
 
 
 def migrate_csv(spark: SparkSession, rows: DataFrame, name: str, keys: list[str], seq: str | None = None) -> None:

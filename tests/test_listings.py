@@ -345,3 +345,62 @@ def test_split_quantiles_are_exact(spark, monkeypatch):
     monkeypatch.setattr(quantiles, "MANY_ROWS", 1000)
     monkeypatch.setattr(quantiles, "WHOLE_GROUP", 5000)
     assert [sorted(map(str, f.collect())) for f in ends()] == plain
+
+
+def test_temporal_evaluation(spark):
+    rows = [(i, float(i % 5), "a" if i % 2 else "b", f"2026-01-{1 + i // 40:02d}", 1.0 + i % 2) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, x double, brand string, ts string, y double").withColumn("ts", F.to_timestamp("ts"))
+    pipe = pricing.price_pipeline(["x"], ["brand"], "y", max_depth=2, max_iter=2)
+    args = ("ts", "id", "id", "y", [["brand"]])
+    got = {r.method: r for r in evaluation.evaluate_temporal(df, *args, pipe).collect()}
+    assert got["baseline"].mape == 0 and got["model"].mape < 0.2 and (got["model"].train_rows, got["model"].test_rows) == (320, 80)
+    assert str(got["model"].train_until)[:10] == "2026-01-08" and str(got["model"].test_from)[:10] == "2026-01-09"
+    assert evaluation.evaluate_temporal(df.limit(99), *args).count() == 0
+    assert evaluation.evaluate_temporal(df.withColumn("ts", F.lit("2026-01-01").cast("timestamp")), *args).count() == 0
+    model = pipe.fit(df)
+    best = evaluation.importances(model, spark, ["x"], ["brand"], 1).first()
+    assert best.feature == "brand" and best.importance > 0.9
+
+
+def test_gains_and_residuals(spark):
+    curve = spark.createDataFrame([(0.25, 0.30), (1.0, 0.218), (0.5, 0.25), (0.75, 0.22)], "share double, mape double")
+    r = evaluation.curve_gains(curve).first()
+    assert (r.first_gain, r.last_gain, r.is_plateau) == (pytest.approx(5), pytest.approx(0.2), True)
+    one_point = evaluation.curve_gains(curve.where("share = 1")).first()
+    assert one_point.first_gain is None and one_point.is_plateau is None
+    df = spark.createDataFrame([(0.0, 0.0), (1.0, 0.0), (0.99, 0.0), (None, 1.0), (0.5, 0.0)], "a double, p double")
+    assert sorted((r.bin, r.n) for r in evaluation.residual_histogram(df, "a", "p", 10).collect()) == [(1, 1), (6, 1), (10, 2)]
+    assert [(r.bin, r.n) for r in evaluation.residual_histogram(df.limit(1), "a", "p", 10).collect()] == [(1, 1)]
+
+
+def test_settings(spark):
+    from lotwise import config
+
+    assert Config.of(spark) == Config()
+    spark.conf.set("spark.lotwise.min_group", "3")
+    try:
+        assert Config.of(spark).min_group == 3
+    finally:
+        spark.conf.unset("spark.lotwise.min_group")
+    env = {"POSTGRES_USER": "u", "POSTGRES_PASSWORD": "p", "POSTGRES_DB": "d"}
+    assert config.database(env) == {"url": "jdbc:postgresql://localhost:5432/d", "user": "u", "password": "p"}
+    with pytest.raises(KeyError):
+        config.database({})
+
+
+def test_tables_are_swapped(spark):
+    from lotwise.sources import sinks
+
+    sinks.replace_table(spark.range(3), "swapped")
+    sinks.swap_table(spark.table("swapped").union(spark.range(3, 5)), "swapped")
+    assert spark.table("swapped").count() == 5 and not spark.catalog.tableExists("swapped_staged") and not spark.catalog.tableExists("swapped_replaced")
+    spark.sql("ALTER TABLE swapped RENAME TO swapped_replaced")
+    sinks.restore_table(spark, "swapped")
+    assert spark.table("swapped").count() == 5
+    spark.sql("DROP TABLE swapped")
+
+
+def test_progress(spark):
+    at = lambda done, total: one(spark, X.bar(F.lit(done), F.lit(total), 4))
+    assert [at(0, 0), at(1, 2), at(4, 4)] == ["────   0%", "██░░  50.0%", "████ 100.0%"]
+    assert [one(spark, X.eta_days(F.lit(n), F.lit(10))) for n in (0, 1, 21)] == ["готово", "~1 дн. при 10/день", "~3 дн. при 10/день"]
