@@ -18,9 +18,10 @@ def hierarchical_z(df: DataFrame, value: str, tiers: list[tuple[str, list[str]]]
     no z there and falls to the next tier.  Rows that no tier serves have 0 and
     an empty level.  z is rounded half to even, before anyone compares it.
     """
-    z, level, large = F.lit(None).cast("double"), F.lit(None).cast("string"), quantiles.is_large(df)
+    rows, large = df, quantiles.is_large(df)
+    z, level = F.lit(None).cast("double"), F.lit(None).cast("string")
     for i, (name, keys) in enumerate(tiers):
-        stats = _tier(df, value, keys, large).withColumnsRenamed({k: f"_k{i}_{k}" for k in keys} | {"med": f"_med{i}", "mad": f"_mad{i}", "n": f"_n{i}"})
+        stats = _tier(rows, value, keys, large).withColumnsRenamed({k: f"_k{i}_{k}" for k in keys} | {"med": f"_med{i}", "mad": f"_mad{i}", "n": f"_n{i}"})
         df = df.join(stats, [F.col(k) == F.col(f"_k{i}_{k}") for k in keys], "left").drop(*[f"_k{i}_{k}" for k in keys])
         mad, n = F.col(f"_mad{i}"), F.col(f"_n{i}")
         own = F.when(F.coalesce(mad, F.lit(0.0)) == 0, 0.0).otherwise(cfg.mad_scale * (F.col(value) - F.col(f"_med{i}")) / F.nullif(mad, F.lit(0.0)))
