@@ -6,9 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotwise.llm import bpe, decontaminate, embedding_dedup, minhash, quality, suffix_dedup, token_files, toxicity, url_filter, warc, scratch
+from lotwise.llm import alignment, bpe, decontaminate, embedding_dedup, fill_middle, minhash, quality, scratch, suffix_dedup, token_counts, token_files, toxicity, url_filter, warc
 
 TOKENIZER, VOCABULARY, END_ID = "word_bpe_49k.json", 49_408, 1
+BYTES, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,7 +64,19 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicate_vectors(read(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_bpe, op3_quality, op4_toxicity, op5_decontamination, op6_token_files, op7_warc, op8_near_duplicates, op9_repeated_passages, op10_embeddings)}
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.link_statistics(read(spark, sf_dir, "documents"), public_tokenizers.path(BYTES), public_tokenizers.path(PIECES))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.fill_in_middle(read(spark, sf_dir, "documents"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_bpe, op3_quality, op4_toxicity, op5_decontamination, op6_token_files, op7_warc, op8_near_duplicates, op9_repeated_passages, op10_embeddings, op11_alignment, op12_fill_in_middle, op13_token_counts)}
 
 ORACLE_SQL = {
     "op1_url_filters": r"""

@@ -4,9 +4,9 @@ import public_tokenizers
 import pytest
 
 import corpus_pipeline
-from lotwise.llm import bpe, decontaminate, embedding_dedup, minhash, quality, suffix_dedup, token_files, toxicity, url_filter, warc
+from lotwise.llm import alignment, bpe, decontaminate, embedding_dedup, fill_middle, minhash, quality, suffix_dedup, token_counts, token_files, toxicity, url_filter, warc
 
-TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+TOKENIZER, BYTES, PIECES = (public_tokenizers.path(n) for n in ("word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"))
 LONG = "so few words here but very many of them all. " * 6000
 
 #: Names that operators use for columns of their own.
@@ -42,6 +42,10 @@ OPERATORS = {
     "shared passages": lambda s, d, l: suffix_dedup.shared_passages(d),
     "url": lambda s, d, l: url_filter.filter_urls(d, url_filter.rules_frame(s, url_filter.DEFAULT_RULES), "doc_id", "text"),
     "warc": lambda s, d, l: warc.read(warc.write(d, corpus_pipeline.scratch.folder(s, "edges"), "doc_id", "text", "text"), "doc_id"),
+    "alignment": lambda s, d, l: alignment.link_statistics(d, BYTES, PIECES),
+    "aligned texts": lambda s, d, l: alignment.align(d, BYTES, PIECES),
+    "fill-in-middle": lambda s, d, l: fill_middle.fill_in_middle(d),
+    "token counts": lambda s, d, l: token_counts.count_tokens(d, PIECES),
 }
 
 
@@ -65,6 +69,12 @@ def test_odd_rows(spark, clashing, labels, name):
         assert by_id[3].n_removed == by_id[3].n_bytes == len(LONG) and by_id[1].n_bytes == 0
     if name == "warc":
         assert by_id[4].record_type == "revisit" and by_id[4].refers_to == 3
+    if name == "alignment":
+        assert by_id[1].n_a == 0 and by_id[1].groups_sha256 == "" and by_id[3].count_sum == by_id[4].count_sum > by_id[3].n_links
+    if name == "fill-in-middle":
+        assert by_id[1].form == "plain" and by_id[3].restored_sha256 == by_id[4].restored_sha256 and by_id[3].n == len(LONG)
+    if name == "token counts":
+        assert by_id[1].n_tokens == 0 and by_id[3].over_limit and by_id[3].n_bytes == len(LONG)
     assert OPERATORS[name](spark, clashing.limit(0), labels).count() == 0
 
 
