@@ -23,8 +23,8 @@ from lotwise.llm.components import components
 #: Vectors that the codebooks are fitted on, in the mean; all vectors are indexed.
 SAMPLE_ROWS = 20_000
 
-#: Vectors of a label that a cell should hold, and sampled vectors that a code needs: these give the size of the codebooks.
-CELL, PER_CODE = 2000, 40
+#: Vectors of a label that a cell should hold, the fewest codes of a half, and sampled vectors that a code needs: these give the size of the codebooks.
+CELL, FEWEST_CODES, PER_CODE = 2000, 4, 40
 
 #: Vectors of a cell that are compared by one task at once, as visitors and as residents, and visitors at a time.
 BLOCK, STEP = 4096, 512
@@ -104,7 +104,7 @@ class MultiIndex:
 
 
 class OneCell:
-    """In place of an index where the vectors of a label are no more than a cell holds."""
+    """In place of an index where all sampled vectors of a dimension are too few for two codes, or a vector has no halves."""
 
     def cells(self, x: np.ndarray) -> Iterator[tuple[tuple[int, int], list[tuple[int, int]]]]:
         return (((0, 0), [(0, 0)]) for _ in x)
@@ -151,7 +151,7 @@ def fitted(classes: DataFrame, cosine: float, sample_rows: int, recall: float) -
     out: dict[int, MultiIndex | OneCell] = {}
     for dim, (_, in_label) in typical.items():
         at = np.flatnonzero(dims == dim)
-        codes = min(round((in_label / CELL) ** 0.5), len(at) // PER_CODE)
+        codes = min(max(FEWEST_CODES, round((in_label / CELL) ** 0.5)), len(at) // PER_CODE)
         if codes < 2 or dim < 2:
             out[dim] = OneCell()
             continue
@@ -168,7 +168,8 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col:
     vector that is null, empty, zero, or holds a null or non-finite component,
     or whose label is null, links with nothing; so do vectors of different
     dimensions.  Very large and very small components and vectors of one
-    dimension are compared like any others.  n_links counts the other rows linked
+    dimension are compared like any others.  Fewer than 2 * PER_CODE sampled vectors
+    of a dimension share one cell.  n_links counts the other rows linked
     directly, equal ones too; component_id is the smallest id reachable, and kept
     marks it.  Ids are longs; rows that repeat an id are vectors of their own, and
     a row without an id links with nothing.  Only the three columns named are

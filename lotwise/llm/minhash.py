@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lotwise.llm import scratch, words
@@ -239,8 +239,13 @@ def _confirm(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """(id, n_shingles, component_id, kept): groups of documents with near-equal sets of `size`-word shingles.
+def row_key(doc_id: Column, text: Column) -> Column:
+    """What tells rows apart that share an id."""
+    return F.xxhash64(doc_id.cast("long"), text)
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, with_key: bool = False) -> DataFrame:
+    """(id, n_shingles, component_id, kept[, row_key]): groups of documents with near-equal sets of `size`-word shingles.
 
     Words lie between ASCII white space, A-Z in lower case.  Two documents are
     linked if 100 * |both sets| >= percent * |either set|, on the full sets;
@@ -252,10 +257,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows with its id in that component are marked.  Rows with a null id are
     components of their own with a null component_id and kept.  Only the id and
     the text are read; other columns may have any name.  An empty table gives no
-    rows.
+    rows.  row_key is that of `row_key`, which tells rows of one id apart.
     """
     bands, rows = banding(percent)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)).alias("own"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), row_key(F.col(id_col), F.col(text_col)).alias("own"))
     sketch = scratch.table(texts.mapInArrow(_sketch(size, bands, rows), "id long, own long, n long, k1 long, k2 long, bands array<long>"), "sketch")
     same = ["k1", "k2", "n"]
     whose = F.struct("id", "own")  # the row of a class whose text is read again
@@ -319,6 +324,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = classes.select(*same, "rep", F.col("of.id").alias("least")).join(parts, F.col("rep") == F.col("node"), "left").withColumn("part", F.coalesce("component", "rep"))
     placed = scratch.table(placed.select(*same, "part", "least"), "placed")
     final = scratch.table(placed.join(placed.groupBy("part").agg(F.min("least").alias("component_id")), "part").drop("part", "least"), "final")
-    one = sketch.where("n > 0 and id is not null").select("id", *same).join(final, same).select("id", "n", "component_id")
-    alone = sketch.where("n = 0 or id is null").select("id", "n", F.col("id").alias("component_id"))
-    return one.unionByName(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    one = sketch.where("n > 0 and id is not null").select("id", "own", *same).join(final, same).select("id", "n", "component_id", "own")
+    alone = sketch.where("n = 0 or id is null").select("id", "n", F.col("id").alias("component_id"), "own")
+    return one.unionByName(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"), *([F.col("own").alias("row_key")] if with_key else []))

@@ -80,3 +80,17 @@ def test_agrees_with_sql_on_planted_rows(spark, planted, name):
         assert 10 < sum(r.endswith("False)") for r in rows) < len(rows)
     if name == "op7_warc":
         assert sum("revisit" in r for r in rows) > 50
+
+
+def test_rows_that_share_an_id_do_not_answer_for_each_other(spark, tmp_path):
+    """Of two rows without an id and two of one id, only the contaminated ones go; copies go by their own group."""
+    item = " ".join(f"word{k}" for k in range(20))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, item), (None, "nothing of it here"), (6, item + " and more"), (6, "another clean text"), (5, "clean too"), (5, "clean too")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = corpus_pipeline.uncontaminated(spark, docs, str(tmp_path)).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == [(0, "nothing of it here"), (5, "clean too"), (5, "clean too"), (6, "another clean text")]
+    copy, own = " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(40))
+    docs = spark.createDataFrame([(1, copy), (2, own), (2, copy), (3, own + " c"), (None, copy)], "doc_id long, text string")
+    kept = corpus_pipeline.one_of_near_duplicates(spark, docs, str(tmp_path)).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == [(0, copy), (1, copy), (2, own)]
