@@ -28,21 +28,39 @@ def joined(docs: DataFrame, found: DataFrame, keys: list[str], how: str) -> Data
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not reject; it learns from labels of three of four folds of ids."""
+    """Documents that the classifier does not reject; it learns from labels of three of four folds of ids.
+
+    Each row is judged by its own text, whole however long; null and empty texts
+    get a score too, repeated rows the same one.  Rows without an id are judged
+    but never learned from.  Without labels the scores are those of an untrained
+    model; no rows in, no rows out; extra columns may have any name.
+    """
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.scored(docs, model, least=LEAST_QUALITY)
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates, the document with the smallest id (rows that repeat an id are one document)."""
-    kept = minhash.near_duplicates(docs, size=5, percent=80).where("kept").select("doc_id").distinct()
-    return joined(docs, kept, ["doc_id"], "left_semi")
+    """Of each group of near-duplicates, the document with the smallest id; sets of five-word shingles at 80 of 100.
+
+    Decided row by row, by id and text: another text of a kept id goes if its
+    own group has a smaller id.  Rows equal in both stay or go together.  Null,
+    empty and wordless texts and rows without an id are kept; very long texts
+    are sets like any others; no rows in, no rows out; extra columns may have any name.
+    """
+    kept = minhash.near_duplicates(docs, size=5, percent=80, with_key=True).where("kept").select("row_key").distinct()
+    key = f"row_key_{uuid.uuid4().hex}"
+    rows = docs.withColumn(key, minhash.row_key(F.col("doc_id"), F.col("text")))
+    return joined(rows, kept.withColumnRenamed("row_key", key), [key], "left_semi").drop(key)
 
 
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages that occur again; a document of which nothing is left goes.
 
-    A character cut by the end of a passage becomes U+FFFD.
+    A character cut by the end of a passage becomes U+FFFD.  Null and empty
+    texts have no passage and stay; very long texts are read whole; a passage
+    that rows of one id share, or equal rows, goes from all of them, so of equal
+    rows of 400 bytes or more none is left; no rows in, no rows out; extra
+    columns may have any name.
     """
     found = suffix_dedup.repeated_passages(docs).where("n_removed > 0")
     changed = found.select("doc_id", "text_hash", F.make_valid_utf8(F.col("kept").cast("string")).alias("kept")).dropDuplicates(["doc_id", "text_hash"])
@@ -54,13 +72,25 @@ def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which less than a twentieth is shared with test items."""
-    found = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated").select("doc_id")
-    return joined(docs, found, ["doc_id"], "left_anti")
+    """Documents of which less than a twentieth is shared with test items.
+
+    Decided by text alone, so rows that repeat an id, or have none, do not
+    answer for each other; equal texts are judged once.  Null and empty texts
+    have no words and stay; very long texts are read whole; no rows in, no rows
+    out; without test items all stay; extra columns may have any name.
+    """
+    key = f"text_hash_{uuid.uuid4().hex}"
+    rows = docs.withColumn(key, F.xxhash64(F.coalesce("text", F.lit(""))))
+    found = decontaminate.decontaminate(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=key).where("contaminated").select(key)
+    return joined(rows, found, [key], "left_anti").drop(key)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids, ids_sha256, decoded_sha256)."""
+    """(doc_id, n_tokens, ids, ids_sha256, decoded_sha256) of every row, repeated ones too.
+
+    Null and empty texts have no ids, very long ones all of theirs; no rows in,
+    no rows out; extra columns are not read.
+    """
     return bpe.encode_documents(docs, public_tokenizers.path(TOKENIZER))
 
 
