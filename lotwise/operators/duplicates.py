@@ -67,33 +67,46 @@ def _bands(width: int, most: int, bands: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def near_hash_pairs(hashes: DataFrame, most: int, id_col: str = "ad_id", bits_col: str = "bits", width: int = 64, bands: int = 3) -> DataFrame:
-    """All pairs of different objects within a Hamming distance, the smallest for each pair.
-
-    Distinct hashes are cut into bands.  Two hashes within `most` are within a
-    band's radius in at least one band, so each hash is dealt to its own value
-    of each band and probes all values within the radius: an equi-join that
-    loses nothing.  A pair that several bands meet is kept in the first; what
-    remains is mapped back to the objects.
+def near_hashes(distinct: DataFrame, most: int, width: int = 64, bands: int = 3, asked: DataFrame | None = None) -> DataFrame:
+    """(bits_a, bits_b, d): pairs of distinct hashes within a Hamming distance, equal ones too, each once with bits_a <= bits_b.
+
+    Hashes are cut into bands.  Two hashes within `most` are within a band's
+    radius in at least one band, so each hash is dealt to its own value of each
+    band and probes all values within the radius: an equi-join that loses
+    nothing.  A pair that several bands meet is kept in the first.  With
+    `asked` (bits), only pairs of these with any other are met, in both orders.
     """
-    rows = hashes.where(F.col(bits_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(bits_col).cast("long").alias("bits")).distinct()
     parts = _bands(width, most, bands)
     signed = lambda x: F.lit(x - (1 << 64) if x >> 63 else x).cast("long")
     value = lambda shift, bits: F.shiftrightunsigned("bits", shift).bitwiseAND(signed((1 << bits) - 1))
     flips = [[sum(1 << at for at in places) for r in range(min(radius, bits) + 1) for places in combinations(range(bits), r)] for _, bits, radius in parts]
-    distinct = rows.select("bits").distinct()
     own = F.array(*[F.struct(F.lit(i).alias("band"), value(shift, bits).alias("key")) for i, (shift, bits, _) in enumerate(parts)])
     probes = lambda i, shift, bits: F.transform(F.array(*map(signed, flips[i])), lambda x: F.struct(F.lit(i).alias("band"), value(shift, bits).bitwiseXOR(x).alias("key")))
     near = F.flatten(F.array(*[probes(i, shift, bits) for i, (shift, bits, _) in enumerate(parts)]))
     a = distinct.select(F.col("bits").alias("bits_a"), F.inline(own))
-    b = distinct.select(F.col("bits").alias("bits_b"), F.inline(near))
+    b = (distinct if asked is None else asked).select(F.col("bits").alias("bits_b"), F.inline(near))
     differ = F.col("bits_a").bitwiseXOR(F.col("bits_b"))
     first = F.coalesce(*[F.when(F.bit_count(differ.bitwiseAND(signed(((1 << bits) - 1) << shift))) <= radius, i) for i, (shift, bits, radius) in enumerate(parts)])
     d = S.hamming(F.col("bits_a"), F.col("bits_b")).cast("int")
-    met = a.join(b, ["band", "key"]).where((F.col("bits_a") <= F.col("bits_b")) & (d <= most) & (F.col("band") == first)).select("bits_a", "bits_b", d.alias("d"))
-    sides = [rows.select(F.col("id").alias(f"id_{s}"), F.col("bits").alias(f"bits_{s}")) for s in "ab"]
+    once = F.col("bits_a") <= F.col("bits_b") if asked is None else F.lit(True)
+    return a.join(b, ["band", "key"]).where(once & (d <= most) & (F.col("band") == first)).select("bits_a", "bits_b", d.alias("d"))
+
+
+def near_hash_pairs(hashes: DataFrame, most: int, id_col: str = "ad_id", bits_col: str = "bits", width: int = 64, bands: int = 3, asked: DataFrame | None = None) -> DataFrame:
+    """All pairs of different objects within a Hamming distance, the smallest for each pair; with `asked`, those of its rows with any other.
+
+    Distinct hashes are met first (see near_hashes); what is near is mapped back to the objects.
+    """
+    found = lambda df: df.where(F.col(bits_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(bits_col).cast("long").alias("bits")).distinct()
+    rows = found(hashes)
+    others = rows if asked is None else found(asked)
+    met = near_hashes(rows.select("bits").distinct(), most, width, bands, None if asked is None else others.select("bits").distinct())
+    sides = [df.select(F.col("id").alias(f"id_{s}"), F.col("bits").alias(f"bits_{s}")) for s, df in (("a", rows), ("b", others))]
     pairs = met.join(sides[0], "bits_a").join(sides[1], "bits_b")
-    pairs = pairs.where((F.col("id_a") < F.col("id_b")) | ((F.col("id_a") > F.col("id_b")) & (F.col("bits_a") < F.col("bits_b"))))
+    if asked is None:
+        pairs = pairs.where((F.col("id_a") < F.col("id_b")) | ((F.col("id_a") > F.col("id_b")) & (F.col("bits_a") < F.col("bits_b"))))
+    else:
+        pairs = pairs.where("id_a <> id_b")
     return pairs.groupBy(F.least("id_a", "id_b").alias("ad_id_a"), F.greatest("id_a", "id_b").alias("ad_id_b")).agg(F.min("d").alias("hamming_distance"))
 
 

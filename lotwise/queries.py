@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from lotwise.config import Config
 from lotwise.functions import scalars as S
 from lotwise.functions import text as X
-from lotwise.operators import duplicates, evaluation, forest, outliers, pricing, quantiles, queues, review, rules, status, upserts
+from lotwise.operators import boosting, duplicates, encoding, evaluation, forest, groups, outliers, pricing, quantiles, queues, review, rules, status, upserts
 from lotwise.plans.clean import TIERS, clean, two_passes
-from lotwise.sources import pages, sinks
+from lotwise.sources import pages, sinks, working
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -238,6 +238,24 @@ def photo_near_pairs(spark, sf_dir):
     return duplicates.near_hash_pairs(_bits(spark, sf_dir, 32), 8, width=32)
 
 
+@query(f"""WITH RECURSIVE {BITS.format(n=60)},
+    links AS MATERIALIZED (SELECT a.ad_id AS x, b.ad_id AS y FROM hashes a JOIN hashes b ON a.ad_id <> b.ad_id WHERE bit_count(xor(CAST(a.bits AS BIGINT), CAST(b.bits AS BIGINT))) <= 12),
+    reach(x, y) AS (SELECT ad_id, ad_id FROM hashes UNION SELECT reach.x, links.y FROM reach JOIN links ON links.x = reach.y),
+    degree AS (SELECT x AS ad_id, count(*) AS n FROM links GROUP BY x), same AS (SELECT bits, min(ad_id) AS representative FROM hashes GROUP BY bits)
+    SELECT h.ad_id, representative, min(y) AS group_id, coalesce(max(n), 0) AS n_links FROM hashes h JOIN same USING (bits) JOIN reach ON x = h.ad_id LEFT JOIN degree d ON d.ad_id = h.ad_id GROUP BY h.ad_id, representative""")
+def photo_groups(spark, sf_dir):
+    """Groups of pictures within 12 of 60 bits, a row for each picture."""
+    return groups.hash_groups(_bits(spark, sf_dir, 60), 12, width=60, bands=5).drop("bits")
+
+
+@query(f"""WITH {BITS.format(n=32)} SELECT least(a.ad_id, b.ad_id) AS ad_id_a, greatest(a.ad_id, b.ad_id) AS ad_id_b, CAST(min(bit_count(xor(CAST(a.bits AS BIGINT), CAST(b.bits AS BIGINT)))) AS INTEGER) AS hamming_distance
+    FROM hashes a JOIN hashes b ON a.ad_id <> b.ad_id WHERE a.ad_id % 50 = 0 AND bit_count(xor(CAST(a.bits AS BIGINT), CAST(b.bits AS BIGINT))) <= 8 GROUP BY 1, 2 ORDER BY hamming_distance, ad_id_a, ad_id_b LIMIT 40""")
+def photo_nearest_pairs(spark, sf_dir):
+    """The nearest pairs of every fiftieth picture with any other, by distance."""
+    bits = _bits(spark, sf_dir, 32)
+    return groups.nearest_pairs(bits, 8, bits.where("ad_id % 50 = 0"), 40, width=32)
+
+
 @query(f"""WITH {BITS.format(n=16)}, pairs AS (SELECT a.ad_id AS x, b.ad_id AS y FROM hashes a JOIN hashes b ON a.bits = b.bits AND a.ad_id < b.ad_id), l AS ({LISTING}),
     c AS (SELECT ad_id, trim(brand || ' ' || model) AS k, price_tenge AS p, year AS y, coalesce(condition = 'новый', false) OR coalesce(contains(lower(labels), 'дилер') OR contains(lower(labels), 'новая'), false) AS dealer FROM l)
     SELECT x AS ad_id_a, pairs.y AS ad_id_b, 0 AS hamming_distance, a.k AS model_key_a, a.p AS price_a, a.y AS year_a, b.k AS model_key_b, b.p AS price_b, b.y AS year_b
@@ -524,6 +542,63 @@ def learning_curve(spark, sf_dir):
     return pricing.learning_curve(rows, pipe, "model_key", "log_price", ["ad_id", "log_price"], (0.5, 1.0))
 
 
+ORDERED = """h AS (SELECT o_orderkey, o_orderpriority, o_orderstatus, ln(o_totalprice) AS y, md5('0#' || CAST(o_orderkey AS VARCHAR)) AS h FROM orders)"""
+
+
+@query(f"""WITH {ORDERED}, p AS (SELECT avg(y) AS prior FROM h) SELECT o_orderkey, round((coalesce(sum(y) OVER a, 0) + prior) / (count(y) OVER a + 1), 6) AS o_orderpriority_stat, round((coalesce(sum(y) OVER b, 0) + prior) / (count(y) OVER b + 1), 6) AS o_orderstatus_stat FROM h, p
+    WINDOW a AS (PARTITION BY o_orderpriority ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), b AS (PARTITION BY o_orderstatus ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
+def ordered_target_stats(spark, sf_dir):
+    """Two categories of few values, each of which holds a third of the rows or so."""
+    rows = read(spark, sf_dir, "orders").withColumn("y", F.ln("o_totalprice"))
+    for c in ("o_orderpriority", "o_orderstatus"):
+        rows = encoding.ordered_statistics(rows, c, "y", "o_orderkey", f"{c}_stat")
+    return rows.select("o_orderkey", *[F.round(f"{c}_stat", 6).alias(f"{c}_stat") for c in ("o_orderpriority", "o_orderstatus")])
+
+
+ORDER_FEATURES = ["n_lines", "quantity", "discount", "month", "o_orderpriority_stat", "o_orderstatus_stat"]
+
+
+@query()
+def quantile_floor(spark, sf_dir):
+    """The calibrated floor of each order by boosted trees for the lower tenth, out of fold over customers."""
+    lines = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("n_lines"), F.sum("l_quantity").alias("quantity"), F.avg("l_discount").alias("discount"))
+    rows = read(spark, sf_dir, "orders").join(lines, "o_orderkey", "left").withColumns({"y": F.ln("o_totalprice"), "month": F.month("o_orderdate")})
+    rows = pricing.with_fold(rows, F.col("o_custkey"), CFG.folds)
+    known = encoding.for_each_fold(rows, ["o_orderpriority", "o_orderstatus"], "y", "o_orderkey", CFG.folds)
+    scored = boosting.out_of_fold(known, "o_orderkey", ORDER_FEATURES, "y", CFG.folds, quantile=CFG.floor_alpha, trees=20)
+    scored = working.written(rows.select("o_orderkey", "y").join(scored, "o_orderkey"))
+    return pricing.calibrated_floor(scored, "y", "predicted").select("o_orderkey", "fold", F.round("floor_log", 6).alias("floor_log"), (F.col("y") < F.col("floor_log")).alias("is_below"))
+
+
+def _features(spark, sf_dir):
+    """The thirteen features of a price model, a log price, and a fold over groups of listings of one object."""
+    key = F.col("ad_id")
+    rows = listings(spark, sf_dir).where("price_tenge is not null").withColumns({
+        "log_price": F.ln("price_tenge"), "engine_volume": (1 + key % 20 / 5).cast("double"), "photos_count": key % 30, "is_mileage_missing": F.col("mileage_km").isNull().cast("int"),
+        "is_vip": F.coalesce(F.contains("labels", F.lit("VIP")), F.lit(False)).cast("int"), "has_monthly_price": (key % 5 == 0).cast("int"),
+        "engine_type": F.when(key % 3 == 0, "дизель").otherwise("бензин"), "transmission": F.when(key % 2 == 0, "автомат").otherwise("механика"), "body_type": F.concat(F.lit("body"), (key % 5).cast("string")),
+    })
+    rows = rows.withColumn("object", S.duplicate_group(key, [F.col("brand"), F.col("model"), F.col("age")], F.col("description")))
+    return pricing.with_fold(rows, F.col("object"), CFG.folds)
+
+
+def _boosted_prices(spark, sf_dir):
+    rows = _features(spark, sf_dir)
+    known = encoding.for_each_fold(rows, list(pricing.CATEGORICAL), "log_price", "ad_id", CFG.folds)
+    pricing.check_features([*pricing.NUMERIC, *pricing.CATEGORICAL])
+    scored = boosting.out_of_fold(known, "ad_id", [*pricing.NUMERIC, *[f"{c}_stat" for c in pricing.CATEGORICAL]], "log_price", CFG.folds)
+    return rows, scored
+
+
+@query()
+def price_model_metrics(spark, sf_dir):
+    """n, mape, mae and r2 of logs in each fold (null: all), for the boosted trees and for the median of the finest group."""
+    rows, scored = _boosted_prices(spark, sf_dir)
+    model = working.written(rows.select("ad_id", "log_price").join(scored, "ad_id"))
+    tiers = working.written(pricing.hierarchical(rows.withColumns({"model_key": S.model_key(F.col("brand"), F.col("model")), "age_bucket": S.age_bucket(F.col("age"))}), "log_price", PRICE_TIERS, list(range(CFG.folds))))
+    return evaluation.fold_metrics({"model": model, "baseline": tiers}, F.exp("log_price"), F.exp("predicted")).select("method", "fold", "n", *[F.round(c, 6).alias(c) for c in ("mape", "mae", "r2_log")])
+
+
 @query()
 def iforest_review(spark, sf_dir):
     return forest.isolation_scores(read(spark, sf_dir, "part"), "p_partkey", ["p_size", "p_retailprice"])
