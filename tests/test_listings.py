@@ -342,7 +342,7 @@ def test_split_quantiles_are_exact(spark, monkeypatch):
     tiers = [("both", ["k", "j"]), ("all", ["j"])]
     ends = lambda: (outliers.hierarchical_z(df, "x", tiers), outliers.iqr_fences(df, "x", "k"))
     plain = [sorted(map(str, f.collect())) for f in ends()]
-    monkeypatch.setattr(quantiles, "MANY_ROWS", 1000)
+    monkeypatch.setattr(quantiles, "MANY_BYTES", 1000)
     monkeypatch.setattr(quantiles, "WHOLE_GROUP", 5000)
     assert [sorted(map(str, f.collect())) for f in ends()] == plain
 

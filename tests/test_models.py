@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lotwise.operators import boosting, encoding, evaluation, pricing
+from lotwise.operators import boosting, encoding, evaluation, pricing, quantiles
 
 FEATURES = ["age", "km", "brand_stat", "model_stat"]
 
@@ -162,3 +162,32 @@ def test_fold_metrics(spark):
     df = spark.createDataFrame(rows, "fold int, y double, q double")
     got = {(r.method, r.fold): (r.n, round(r.mape, 6), round(r.mae, 6)) for r in evaluation.fold_metrics({"m": df, "b": df.where("fold = 1")}, F.col("y"), F.col("q")).collect()}
     assert got == {("m", 0): (2, 0.15, 2.0), ("m", 1): (2, 0.25, 2.0), ("m", None): (4, 0.2, 2.0), ("b", 1): (2, 0.25, 2.0), ("b", None): (2, 0.25, 2.0)}
+
+
+@pytest.mark.parametrize("reach", [0.0, -0.3, 0.0005])
+@pytest.mark.parametrize("share", [0.1, 0.5, 1.0])
+def test_a_bracket_that_misses_is_mended(spark, share, reach):
+    """Brackets of no width, or turned inside out, with groups of one row, ties and negative infinity."""
+    rng = random.Random(9)
+    rows = [(k, rng.choice([rng.gauss(0, 1), 0.5])) for k in ("a", "b", None) for _ in range(101)] + [("one", 3.0), ("low", -math.inf), ("low", 2.0), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, x double")
+    for lower in (False, True):
+        got = {r.k: r.q for r in quantiles.group_quantile(df, ["k"], "x", share, large=True, lower=lower, whole=0, reach=reach).collect()}
+        for k in ("a", "b", None, "one", "low"):
+            v = sorted(x for g, x in rows if g == k)
+            p = (len(v) - 1) * share
+            a, b = v[math.floor(p)], v[math.ceil(p)]
+            want = a if lower or a == b else (math.ceil(p) - p) * a + (p - math.floor(p)) * b
+            assert got[k] == pytest.approx(want)
+        assert "none" not in got
+        total = quantiles.group_quantile(df.where("x > -9"), [], "x", share, large=True, lower=True, whole=0, reach=reach).first().q
+        v = sorted(x for _, x in rows if x is not None and x > -9)
+        assert total == v[math.floor((len(v) - 1) * share)]
+
+
+def test_size_is_known_without_a_job(spark, tmp_path):
+    spark.range(1000).write.parquet(f"{tmp_path}/x")
+    df = spark.read.parquet(f"{tmp_path}/x")
+    before = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    assert not quantiles.is_large(df.join(df.withColumnRenamed("id", "b"), F.lit(True)).groupBy("id").count())
+    assert spark.sparkContext.statusTracker().getJobIdsForGroup(None) == before
