@@ -19,7 +19,7 @@ REACH, ACCURACY = 0.0005, 10_000
 
 def is_large(df: DataFrame) -> bool:
     """Whether the sources of a plan hold much, by the statistics of the plan; rows are counted only where a source gives none."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
     known = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
     if max(known, default=0) < 1 << 60:
         return sum(known) > MANY_BYTES

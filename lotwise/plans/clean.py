@@ -17,7 +17,11 @@ ENRICHED = {"customs_cleared": "string", "drive": "string", "steering": "string"
 
 
 def clean(raw: DataFrame, enriched: DataFrame, journal: DataFrame, status: DataFrame, photo_pairs: DataFrame, cfg: Config = Config()) -> DataFrame:
-    """Joins, then rules and outliers, then withdrawal, then reposts and pictures (which nothing withdraws), then the verdict."""
+    """Joins, then rules and outliers, then withdrawal, then reposts and pictures (which nothing withdraws), then the verdict.
+
+    The rows are written twice while the query is built, before the outliers and
+    before the reposts: both read them several times over.
+    """
     facts = rules.ensure_columns(enriched, ENRICHED).select("ad_id", *ENRICHED)
     df = raw.join(facts, "ad_id", "left")
     df = df.withColumns({"mileage_km": F.coalesce(F.col("mileage_km").cast("double"), F.col("page_mileage_km").cast("double")), "text_full": F.coalesce("seller_comment", "description")})
@@ -25,9 +29,9 @@ def clean(raw: DataFrame, enriched: DataFrame, journal: DataFrame, status: DataF
     df = rules.missing_indicators(rules.normalize(df, cfg), {"mileage_km": "is_mileage_missing", "description": "is_description_missing"})
     df = df.withColumn("rule_reasons", rules.hard_rules(F.col("year"), F.col("price_tenge"), F.col("mileage_km"), F.col("age"), F.col("condition"), cfg))
     df = df.withColumns({"log_price": F.ln("price_tenge"), "age_bucket": S.age_bucket(F.col("age")), "model_key": S.model_key(F.col("brand"), F.col("model"))})
-    df = outliers.hierarchical_z(df, "log_price", TIERS, cfg)
+    df = outliers.hierarchical_z(working.written(df), "log_price", TIERS, cfg)
     df = df.withColumns({"stat_reasons": outliers.stat_reasons(F.col("price_z"), cfg), "info_flags": F.lit("")})
-    df = duplicates.reposts(rules.exculpate(df, cfg), cfg=cfg)
+    df = duplicates.reposts(working.written(rules.exculpate(df, cfg)), cfg=cfg)
     df = rules.finalize(duplicates.flag_pair_ends(df, photo_pairs))
     return df.join(status.select("ad_id", "status"), "ad_id", "left").withColumn("status", F.coalesce("status", F.lit("active")))
 

@@ -205,7 +205,45 @@ def repost_corroborated(spark, sf_dir):
     return duplicates.reposts(rows, keys=("title", "brand", "model")).select("ad_id", "dup_reasons", "info_flags")
 
 
-@query()
+BITS = "hashes AS (SELECT vec_id AS ad_id, (SELECT sum(CASE WHEN embedding[i] > 0 THEN CAST(1 AS BIGINT) << (i - 1) ELSE 0 END) FROM (SELECT unnest(range(1, {n} + 1)) AS i)) AS bits FROM embeddings)"
+
+#: The clean layer step by step, as `clean` takes them.  A row without a price falls through the tiers; one without a year has no tier.
+CLEANED = f"""l AS ({LISTING}),
+    raw AS (SELECT ad_id, title, trim(brand) AS brand, trim(model) AS model, year, price_tenge, mileage_km, condition, labels, description, 2027 - year AS age FROM l),
+    facts AS (SELECT raw.*, ln(price_tenge) AS v, brand || ' ' || model AS model_key, {BUCKET} AS age_bucket, coalesce(UNCLEARED, false) AS uncleared, MARKET AS market,
+        coalesce(x.doc_id IS NOT NULL AND coalesce(x.toxic, 0) <> 1, false) AS legit, coalesce(x.toxic = 1, false) AS fraud FROM raw LEFT JOIN labels x ON x.doc_id = ad_id),
+    ruled AS (SELECT *, concat_ws('|',
+        CASE WHEN year < 1950 THEN 'year_too_old' END, CASE WHEN year > 2027 THEN 'year_in_future' END, CASE WHEN price_tenge < 200000 THEN 'price_too_low' END,
+        CASE WHEN price_tenge > 300000000 THEN 'price_too_high' END, CASE WHEN mileage_km > 1000000 THEN 'mileage_extreme' END,
+        CASE WHEN condition = 'б/у' AND mileage_km = 0 AND age >= 2 THEN 'used_but_zero_mileage' END,
+        CASE WHEN CASE WHEN age = 0 THEN mileage_km > 0 ELSE mileage_km / nullif(age, 0) > 100000 END THEN 'km_per_year_extreme' END,
+        CASE WHEN age <= 4 AND price_tenge < 4000000 AND condition <> 'новый' THEN 'young_car_cheap' END) AS rule FROM facts),
+    med AS (SELECT *, median(v) OVER m AS m1, count(*) OVER m AS n1, median(v) OVER b AS m2, count(*) OVER b AS n2, median(v) OVER g AS m3, count(*) OVER g AS n3
+        FROM ruled WINDOW m AS (PARTITION BY model_key, age_bucket), b AS (PARTITION BY brand, age_bucket), g AS (PARTITION BY age_bucket)),
+    mad AS (SELECT *, median(abs(v - m1)) OVER (PARTITION BY model_key, age_bucket) AS d1, median(abs(v - m2)) OVER (PARTITION BY brand, age_bucket) AS d2, median(abs(v - m3)) OVER (PARTITION BY age_bucket) AS d3 FROM med),
+    own AS (SELECT *, age_bucket IS NOT NULL AND n1 >= 8 AS k1, age_bucket IS NOT NULL AND n2 >= 8 AS k2, age_bucket IS NOT NULL AND n3 >= 8 AS k3, CASE WHEN coalesce(d1, 0) = 0 THEN 0 ELSE 0.6745 * (v - m1) / d1 END AS o1,
+        CASE WHEN coalesce(d2, 0) = 0 THEN 0 ELSE 0.6745 * (v - m2) / d2 END AS o2, CASE WHEN coalesce(d3, 0) = 0 THEN 0 ELSE 0.6745 * (v - m3) / d3 END AS o3 FROM mad),
+    t1 AS (SELECT *, CASE WHEN k1 THEN o1 END AS z1, CASE WHEN k1 THEN 'model' END AS l1 FROM own),
+    t2 AS (SELECT *, CASE WHEN k2 AND z1 IS NULL THEN o2 ELSE z1 END AS z2, CASE WHEN k2 AND z1 IS NULL THEN 'brand' ELSE l1 END AS l2 FROM t1),
+    t3 AS (SELECT *, CASE WHEN k3 AND z2 IS NULL THEN o3 ELSE z2 END AS z3, CASE WHEN k3 AND z2 IS NULL THEN 'age' ELSE l2 END AS l3 FROM t2),
+    scored AS (SELECT *, coalesce(l3, '') AS z_group_level, CASE WHEN l3 IS NULL THEN 0 ELSE round_even(z3 * 100, 0) / 100 END AS z FROM t3),
+    said AS (SELECT *, CASE WHEN z < -3.5 THEN 'price_anomaly_low' WHEN z > 3.5 THEN 'price_anomaly_high' ELSE '' END AS stat, uncleared OR legit AS explained FROM scored),
+    e1 AS (SELECT *, stat = 'price_anomaly_low' AND explained AS c1, contains(rule, 'young_car_cheap') AND explained AS c2,
+        stat = 'price_anomaly_low' AND NOT explained AND (coalesce(condition = 'новый', false) OR coalesce(contains(lower(labels), 'официальный дилер'), false)) AS c3 FROM said),
+    e2 AS (SELECT *, stat = 'price_anomaly_low' AND NOT c1 AND NOT c3 AND coalesce(market > 0 AND price_tenge >= 0.8 * market, false) AS c4 FROM e1),
+    e3 AS (SELECT *, CASE WHEN c1 OR c3 OR c4 THEN '' WHEN stat = 'price_anomaly_low' AND coalesce(contains(lower(description), 'срочн'), false) THEN 'price_anomaly_low|cheap_and_urgent' ELSE stat END AS left_ FROM e2),
+    e4 AS (SELECT *, CASE WHEN fraud AND left_ = '' THEN 'confirmed_by_review' ELSE left_ END AS stat_reasons, CASE WHEN c2 THEN array_to_string(list_filter(string_split(rule, '|'), lambda x: x <> 'young_car_cheap'), '|') ELSE rule END AS rule_reasons,
+        coalesce(condition = 'новый', false) OR coalesce(contains(labels, 'От дилера') OR contains(labels, 'Новая'), false) AS dealer, count(*) OVER (PARTITION BY title, year, price_tenge) AS shared, trim(description) AS d FROM e3),
+    strong AS (SELECT DISTINCT a.title, a.year, a.price_tenge FROM e4 a JOIN e4 b ON a.title = b.title AND a.year = b.year AND a.price_tenge = b.price_tenge AND a.ad_id < b.ad_id
+        WHERE a.shared <= 5 AND NOT a.dealer AND NOT b.dealer AND ((a.mileage_km = b.mileage_km AND a.mileage_km > 1000) OR (a.d = b.d AND a.d <> ''))),
+    f1 AS (SELECT e4.*, shared > 1 AND NOT dealer AND s.title IS NOT NULL AS repost, shared > 1 AND NOT dealer AND s.title IS NULL AS alike FROM e4 LEFT JOIN strong s USING (title, year, price_tenge)),
+    ends AS (SELECT ad_id_a AS e FROM pairs UNION SELECT ad_id_b FROM pairs), seen AS (SELECT user_id, arg_max(event_type, event_id) AS st FROM events GROUP BY user_id),
+    cleaned AS (SELECT ad_id, round(z, 2) + 0.0 AS price_z, z_group_level, concat_ws('|', CASE WHEN c1 OR c2 THEN 'low_price_explained' END, CASE WHEN c3 THEN 'dealer_financing_price' END, CASE WHEN c4 THEN 'market_price_ok' END, CASE WHEN alike THEN 'same_title_year_price' END) AS info_flags,
+        concat_ws('|', nullif(rule_reasons, ''), nullif(stat_reasons, ''), CASE WHEN repost THEN 'repost_corroborated' END, CASE WHEN e IS NOT NULL THEN 'photo_of_another_object' END) AS suspicion_reasons, coalesce(st, 'active') AS status
+        FROM f1 LEFT JOIN ends ON e = ad_id LEFT JOIN seen ON user_id = ad_id)"""
+
+
+@query(f"WITH {BITS.format(n=16)}, pairs AS (SELECT a.ad_id AS ad_id_a, b.ad_id AS ad_id_b FROM hashes a JOIN hashes b ON a.bits = b.bits AND a.ad_id < b.ad_id), {CLEANED.replace("UNCLEARED", "ad_id % 19 = 0").replace("MARKET", "CASE WHEN ad_id % 8 = 0 THEN price_tenge * 1.1 END")} SELECT ad_id, price_z, z_group_level, info_flags, suspicion_reasons, CAST(suspicion_reasons <> '' AS INTEGER) AS is_suspicious, status FROM cleaned")
 def clean_layer(spark, sf_dir):
     """The whole pipeline of the clean layer over listings, page facts, verdicts, statuses and picture pairs."""
     raw = listings(spark, sf_dir).drop("age").withColumns({"city": F.lit("A"), "engine_volume": F.lit(2.0)})
@@ -214,12 +252,11 @@ def clean_layer(spark, sf_dir):
     seen = status.latest_status(read(spark, sf_dir, "events"), "user_id", "event_id", "event_type").withColumnRenamed("user_id", "ad_id")
     pairs = photo_exact_pairs(spark, sf_dir)
     out = clean(raw.drop("color"), enriched, journal, seen, pairs)
-    return out.select("ad_id", F.round("price_z", 2).alias("price_z"), "z_group_level", "info_flags", "suspicion_reasons", "is_suspicious", "status")
+    return out.select("ad_id", (F.round("price_z", 2) + 0.0).alias("price_z"), "z_group_level", "info_flags", "suspicion_reasons", "is_suspicious", "status")
 
 
 # --- pictures ---------------------------------------------------------------------------------------------------
 
-BITS = "hashes AS (SELECT vec_id AS ad_id, (SELECT sum(CASE WHEN embedding[i] > 0 THEN CAST(1 AS BIGINT) << (i - 1) ELSE 0 END) FROM (SELECT unnest(range(1, {n} + 1)) AS i)) AS bits FROM embeddings)"
 
 
 def _bits(spark, sf_dir, n):
@@ -893,7 +930,13 @@ def residual_histogram(spark, sf_dir):
     return evaluation.residual_histogram(_folded(spark, sf_dir), "log_price", "predicted").withColumn("low", F.round("low", 6))
 
 
-@query()
+FIRST_PASS = CLEANED.replace("UNCLEARED", "false").replace("MARKET", "CAST(NULL AS DOUBLE)")
+
+
+@query(f"""WITH first_pass AS (WITH pairs(ad_id_a, ad_id_b) AS (SELECT 0, 0 WHERE false), {FIRST_PASS} SELECT ad_id AS looked FROM cleaned WHERE suspicion_reasons <> ''),
+    {BITS.format(n=16)}, pairs AS (SELECT a.ad_id AS ad_id_a, b.ad_id AS ad_id_b FROM hashes a JOIN hashes b ON a.bits = b.bits AND a.ad_id < b.ad_id),
+    {CLEANED.replace("UNCLEARED", "ad_id % 3 = 0 AND ad_id IN (SELECT looked FROM first_pass)").replace("MARKET", "CAST(NULL AS DOUBLE)")}
+    SELECT ad_id, info_flags, suspicion_reasons, CAST(suspicion_reasons <> '' AS INTEGER) AS is_suspicious, status FROM cleaned""")
 def two_pass_clean(spark, sf_dir):
     """Pages are known only of listings that the first pass suspects."""
     raw = listings(spark, sf_dir).drop("age", "color").withColumns({"city": F.lit("A"), "engine_volume": F.lit(2.0)})
