@@ -1 +1 @@
-"""Whole pipelines, and the order of their jobs."""
+"""Whole pipelines."""

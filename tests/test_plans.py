@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from lotwise import queries
 from lotwise.operators import status
-from lotwise.plans import jobs
 from lotwise.sources import readers, sinks
 from lotwise.streaming import sightings
 
@@ -23,12 +22,6 @@ def test_top_k_and_joins(spark):
         assert "NestedLoop" not in text and "Cartesian" not in text
 
 
-def test_jobs_respect_order():
-    order = jobs.run({j: (lambda: None) for j in jobs.OFFLINE})
-    assert all(order.index(w) < order.index(j) for j, ws in jobs.OFFLINE.items() for w in ws)
-    assert set(jobs.run({j: (lambda: None) for j in jobs.OFFLINE}, mode="fast")) == {"clean", "explore", "cards"}
-
-
 def test_tables(spark, tmp_path):
     assert readers.table_or_empty(spark, "nowhere", "a int").columns == ["a"]
     assert readers.csv_or_empty(spark, f"{tmp_path}/none.csv", "a int").count() == 0
