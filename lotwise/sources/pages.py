@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lotwise.functions import markup as M
 from lotwise.functions import text as X
 
 # fixed values: terms of a listing's page and the columns they fill
@@ -14,49 +15,68 @@ TERMS = {
 }
 
 
-def cards(pages: DataFrame, html_col: str = "html", marker: str = "js__a-card", id_attribute: str = "data-id") -> DataFrame:
-    """A row for each card of a saved list: (ad_id, title, brand, model, price_tenge, spec, city, urls, url) and the other columns of `pages`.
+def cards(pages: DataFrame, html_col: str = "html", marker: str = "js__a-card", id_attribute: str = "data-id", link: str = "/a/", base: str = "") -> DataFrame:
+    """A row for each card of a saved list and the other columns of `pages`; a parser reads each page once.
 
-    A card begins at an element with the marker and ends where the next begins.
-    Pictures are previews in whole size, each once; static artwork is left out.
+    The card's columns: ad_id, title, brand, model, price_tenge, spec, city,
+    urls, url, photos_count, photo_url, views_count, posted_date, labels,
+    is_vip, has_monthly_price.  A card ends with its element, or before, where
+    the next begins.  Pictures are previews in whole size, each once; static
+    artwork is left out.  The specification falls back to a picture's `alt`.
+    Columns of `pages` with these names give way.  Pages without cards, null and
+    empty ones have no rows; `is_listing` tells cards of listings from others.
     """
-    parts = F.split(F.regexp_replace(html_col, rf"""<(\w+)(?=[^>]*\b{marker}\b)""", "\u0000<$1"), "\u0000", -1)
-    parts = F.slice(parts, F.lit(2), F.size(parts))
-    rows = pages.withColumn("_card", F.explode(parts))
+    rows = pages.withColumn("_card", F.explode(M.parsed(F.col(html_col), M.card_list, M.CARD, marker, id_attribute, link)))
     card = F.col("_card")
-    inner = {"_title": "title", "_price": "price", "_description": "description", "_city": "region|city"}
-    # in steps, so that no text is cut out anew for each column made of it
-    rows = rows.withColumns({name: X.inside(card, css_class) for name, css_class in inner.items()})
-    rows = rows.withColumns({name: X.html_text(F.col(name)) for name in inner})
-    urls = F.transform(F.regexp_extract_all(card, F.lit(r"""(?:src|data-src|srcset)=["'](https?://[^"'\s]+)"""), 1), X.full_size)
-    urls = F.array_distinct(F.filter(urls, lambda u: ~F.contains(u, F.lit("/static/"))))
-    out = rows.select(
-        *[c for c in pages.columns if c != html_col],
-        X.blank_to_null(F.regexp_extract(card, rf"""{id_attribute}=["']([^"']+)""", 1)).alias("ad_id"),
-        F.col("_title").alias("title"),
-        X.brand_model(F.col("_title")).alias("_bm"),
-        X.clean_int(F.col("_price")).alias("price_tenge"),
-        X.spec_line(F.col("_description")).alias("spec"),
-        X.blank_to_null(F.col("_city")).alias("city"),
-        urls.alias("urls"),
-        X.blank_to_null(X.without_query(F.regexp_extract(card, r"""<a[^>]*href=["']([^"']+)""", 1))).alias("url"),
-    )
-    return out.withColumns({"brand": F.col("_bm.brand"), "model": F.col("_bm.model")}).drop("_bm")
-
-
-def listing_pages(pages: DataFrame, html_col: str = "html", terms: dict[str, str] = TERMS) -> DataFrame:
-    """The facts of saved listing pages, one row for each page; the html goes."""
+    previews = F.filter(card["pictures"], lambda u: ~F.contains(u, F.lit("/static/")))
+    urls = F.array_distinct(F.transform(previews, X.full_size))
+    href = F.coalesce(X.blank_to_null(X.without_query(card["href"])), F.concat(F.lit(link), card["ad_id"]))
+    known = {
+        "ad_id": X.blank_to_null(card["ad_id"]), "title": X.blank_to_null(card["title"]), "_bm": X.brand_model(card["title"]), "price_tenge": X.clean_int(card["price"]), "spec": X.spec_line(card["description"]), "city": X.blank_to_null(card["city"]),
+        "urls": urls, "url": F.concat(F.lit(base), href), "views_count": X.clean_int(card["views"]), "posted_date": X.blank_to_null(card["posted"]), "labels": X.blank_to_null(F.array_join(card["labels"], "|")),
+        "is_vip": card["is_vip"].cast("int"), "has_monthly_price": card["has_monthly_price"].cast("int"), "_n": X.clean_int(card["picture_count"]),
+    }
+    out = rows.select(*[c for c in pages.columns if c != html_col and c not in known], *[c.alias(name) for name, c in known.items()])
+    counts = {"photos_count": F.greatest(F.coalesce("_n", F.lit(0)), F.size("urls"), F.lit(1)).cast("int"), "photo_url": F.coalesce(F.get("urls", F.lit(0)), F.lit(""))}
+    return out.withColumns({"brand": F.col("_bm.brand"), "model": F.col("_bm.model")} | counts).drop("_bm", "_n")
+
+
+def is_listing() -> Column:
+    """Whether a card has an id, a title and a price; others are advertising or placeholders."""
+    return F.col("ad_id").isNotNull() & F.col("title").isNotNull() & (F.coalesce("price_tenge", F.lit(0)) > 0)
+
+
+def listing_pages(pages: DataFrame, html_col: str = "html", terms: dict[str, str] = TERMS, badge: str = "offer__parameters-mortgaged") -> DataFrame:
+    """The facts of saved listing pages, one row for each page; the html goes.
+
+    Terms, heading, options and badge come from one parse; words for damage are
+    sought in heading, options and comment.  Null and empty pages have nulls,
+    empty texts and the badge '-'.
+    """
     html = F.col(html_col)
     comment = X.json_text(html, "descriptionText")
-    rows = pages.withColumn("_terms", X.definitions(html))
-    facts = {name: F.try_element_at("_terms", F.lit(term)) for term, name in terms.items()}
+    # the comment is cut out before the parser's column, so that the html is read by both and goes no further
+    rows = pages.withColumns({"_facts": M.parsed(html, M.facts, M.FACTS, badge), "seller_comment": comment})
+    own = F.col("_facts")
+    facts = {name: F.try_element_at(own["terms"], F.lit(term)) for term, name in terms.items()}
+    sought = F.concat_ws(" ", own["h1"], own["options_text"], F.col("seller_comment"))
     more = {
-        "page_mileage_km": X.clean_int(F.try_element_at("_terms", F.lit("Пробег"))).cast("int") if "Пробег" in terms else F.lit(None).cast("int"),
+        "page_mileage_km": X.clean_int(F.try_element_at(own["terms"], F.lit("Пробег"))).cast("int") if "Пробег" in terms else F.lit(None).cast("int"),
+        "options_text": F.substring(own["options_text"], 1, 800),
         "market_price": F.coalesce(X.json_number(html, "avgPrice"), F.lit(-1)),
-        "page_status_badge": X.badge(html),
-        "seller_comment": comment,
-        "damage_keywords": F.array_join(X.lexicon_hits(comment, X.DAMAGE), "|"),
+        "page_status_badge": own["badge"],
+        "damage_keywords": F.array_join(X.lexicon_hits(sought, X.DAMAGE), "|"),
         "is_archived": X.is_archived(html).cast("int"),
         "is_blocked": X.is_blocked(html).cast("int"),
     }
-    return rows.withColumns(facts | more).drop("_terms", html_col)
+    return rows.withColumns(facts | more).drop("_facts", html_col)
+
+
+def outlines(pages: DataFrame, html_col: str = "html") -> DataFrame:
+    """title, h1, footer, links, paragraphs and text_chars of each page, in place of columns of these names; the html goes.
+
+    Null and empty pages have no title, heading and footer, and zeros.
+    """
+    rows = pages.withColumn("_outline", M.parsed(F.col(html_col), M.outline, M.OUTLINE))
+    names = ["title", "h1", "footer", "links", "paragraphs", "text_chars"]
+    return rows.withColumns({n: F.col("_outline")[n] for n in names}).drop("_outline", html_col)

@@ -10,6 +10,7 @@ from lotwise import queries
 from lotwise.config import Config
 from lotwise.functions import scalars as S
 from lotwise.functions import text as X
+from lotwise.functions.markup import Page
 from lotwise.operators import duplicates, evaluation, outliers, pricing, quantiles, queues, review, rules, status, upserts
 from lotwise.sources import pages
 
@@ -101,6 +102,60 @@ def test_elements_within_elements(spark):
     assert one(spark, F.array_join(X.reasons_of(F.col("t")), "+"), t="a; |b | c;") == "a+b+c"
 
 
+def test_page_parser(spark):
+    html = """<p>no card</p><!-- <div class="js__a-card" data-id=9></div> --><script>var x = '<div class="js__a-card">';</script><![if IE]>
+      <div data-id=1 class=js__a-card><a name=top><a class=x href='/a/show/1?q=2'><h5 class='a-card__title'>BMW <i>X1</i> Добавить в избранное</h5></a>
+      <span class=a-card__price>1 000 000 &#8376;<p>30 000 ₸/мес</span><img alt="2020 г., б/у седан, 2 л, бензин" src=http://p/1-1x2.jpg><br/><img src="http://p/1-3x4.jpg"></b><template><img src="http://p/2-3x4.jpg">hidden</template>
+      <span class="thumb-gallery__count">7</span><b class="a-label__text">Top</b><b class="a-label__text">New</b><em class=nb-views>1 234</em><span data-test=region>Town</span></div>
+      <DIV CLASS="js__a-card vip-card" DATA-ID="2"><b class="vip-card__title">Audi A4<b class="a-card__price">5</b><b class="vip-card__price">2 000 ₸</b><b class="a-card__param--date">18 июля
+      <div class="js__a-card" data-id="3"><u class="a-card__title">Audi A6</u>"""
+    df = spark.createDataFrame([(1, html, "x"), (2, None, "y"), (3, "", "z"), (4, "<p>js__a-card", "w")], "id int, html string, title string")
+    got = pages.cards(df)
+    assert got.columns.count("title") == 1
+    got = {r.ad_id: r for r in got.withColumn("ok", pages.is_listing()).collect()}
+    assert sorted(got) == ["1", "2", "3"]
+    a, b, c = got["1"], got["2"], got["3"]
+    assert (a.id, a.title, a.brand, a.model, a.url, a.spec.year, a.spec.body_type, a.city) == (1, "BMW X1", "BMW", "X1", "/a/show/1", 2020, "седан", "Town")
+    assert (a.urls, a.photos_count, a.photo_url, a.views_count, a.labels, a.is_vip, a.has_monthly_price) == (["http://p/1-full.jpg", "http://p/2-full.jpg"], 7, "http://p/1-full.jpg", 1234, "Top|New", 0, 1)
+    assert (b.title, b.price_tenge, b.posted_date, b.is_vip, b.has_monthly_price, b.photos_count, b.photo_url, b.url) == ("Audi A4 5 2 000 ₸ 18 июля", 2000, "18 июля", 1, 0, 1, "", "/a/2")
+    assert (c.title, c.price_tenge, c.is_vip, a.ok, b.ok, c.ok) == ("Audi A6", None, 0, True, True, False)
+    assert a.price_tenge == 100000030000  # what stands within the price's element counts, digits and all
+
+
+def test_page_facts_by_parser(spark):
+    html = "<h1>Битая <b>BMW</b></h1><dl><dt title='a>b'>Привод<dd>полный<dt>Руль</dt> <dd><i>слева</i></dd></dl><dl><dt>VIN</dt></dl><dl><dd>stray</dd></dl><!--<dl><dt>Цвет</dt><dd>red</dd></dl>--><section class='a offer__description'><p class=text>без коробки, люк</p></section><p class='offer__parameters-mortgaged-x'>no</p><P CLASS=\"z offer__parameters-mortgaged\">В&nbsp;залоге</P>"
+    df = spark.createDataFrame([(1, html), (2, None), (3, "")], "id int, html string")
+    got = {r.id: r for r in pages.listing_pages(df).collect()}
+    assert (got[1].drive, got[1].steering, got[1].has_vin, got[1].color, got[1].options_text, got[1].page_status_badge, got[1].damage_keywords) == ("полный", "слева", None, None, "без коробки, люк", "В залоге", "без коробки|битая")
+    assert [(got[i].drive, got[i].options_text, got[i].page_status_badge, got[i].damage_keywords) for i in (2, 3)] == [(None, "", "-", "")] * 2
+
+
+def test_page_elements_are_those_of_a_tree():
+    """Random markup of nested and unclosed elements against sets of ancestors kept the plain way."""
+    dice = random.Random(5)
+    for _ in range(300):
+        html, tree, stack = "", [], []
+        for n in range(40):
+            tag = dice.choice("abc")
+            if dice.random() < 0.5:
+                html += f"<{tag}>"
+                tree.append((tag, []))
+                stack.append(len(tree) - 1)
+            elif dice.random() < 0.5:
+                html += f"</{tag}>"
+                if tag in [tree[i][0] for i in stack]:
+                    while tree[stack.pop()][0] != tag:
+                        pass
+            else:
+                html += f"t{n} "
+                for i in stack:
+                    tree[i][1].append(f"t{n}")
+        page = Page(html)
+        assert [(name, page.text(i).split()) for i, name in enumerate(page.names)] == tree
+    for odd in ("<", "<!", "<![", "<!--", "</", "<a", "<a b='", "<?", "&", "&#", "<![CDATA[x]]>y", "<!ELEMENT", "<script>", "<p" * 2000, "<p>" * 50000):
+        Page(odd)
+
+
 def test_hard_rules(spark):
     data = [(1, 2000.0, 5e6, 0.0, 27, "б/у"), (2, 2026.0, 5e6, 0.0, 1, "б/у"), (3, 2027.0, 5e6, 10.0, 0, "новый"), (4, 2027.0, 5e6, 0.0, 0, "новый"), (5, None, None, None, None, None), (6, 1940.0, 1e5, 2e6, 87, None), (7, 2024.0, 3e6, None, 3, None), (8, 2024.0, 3e6, None, 3, "б/у")]
     df = spark.createDataFrame(data, "id int, year double, price double, km double, age int, condition string")
