@@ -193,3 +193,16 @@ def learning_curve(df: DataFrame, pipeline, group: str, label: str, keep: list[s
 def time_to_sell(closed: DataFrame, closed_at: str, posted_at: str) -> DataFrame:
     """days between posting and closing; negative ones are dropped."""
     return closed.withColumn("days", F.datediff(closed_at, posted_at)).where("days >= 0")
+
+
+def coerce_features(df: DataFrame, numeric: tuple[str, ...] = NUMERIC, categorical: tuple[str, ...] = CATEGORICAL) -> DataFrame:
+    """Features as a model takes them: what is no number is null, a category that is null or missing is 'NA'; columns it lacks are added."""
+    number = {c: F.col(c).cast("string").try_cast("double") if c in df.columns else F.lit(None).cast("double") for c in numeric}
+    name = {c: F.coalesce(F.col(c).cast("string"), F.lit("NA")) if c in df.columns else F.lit("NA") for c in categorical}
+    return df.withColumns(number | name)
+
+
+def estimate(model, cars: DataFrame, predicted: str = "predicted") -> DataFrame:
+    """`cars` with the estimate of a model of log prices; features may be missing (see coerce_features)."""
+    ready = coerce_features(cars.withColumn("_car", F.struct(*cars.columns))).select(*NUMERIC, *CATEGORICAL, "_car")
+    return model.transform(ready).select("_car.*", F.exp(predicted).alias("estimate"))

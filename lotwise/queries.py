@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lotwise.config import Config
 from lotwise.functions import scalars as S
 from lotwise.functions import text as X
-from lotwise.operators import boosting, duplicates, encoding, evaluation, forest, groups, outliers, pricing, quantiles, queues, review, rules, status, upserts
+from lotwise.operators import boosting, duplicates, encoding, evaluation, forest, groups, outliers, pricing, quantiles, queues, review, rules, status, summary, upserts
 from lotwise.plans.clean import TIERS, clean, two_passes
 from lotwise.sources import pages, sinks, working
 
@@ -956,3 +956,79 @@ def two_pass_clean(spark, sf_dir):
         return facts, photo_exact_pairs(spark, sf_dir)
 
     return two_passes(raw, journal, seen, look).select("ad_id", "info_flags", "suspicion_reasons", "is_suspicious", "status")
+
+
+# --- summaries --------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {STATUSES}, {PHOTOS},
+    clean AS (SELECT doc_id AS id, n_chars > 2500 AS sus, CASE WHEN doc_id % 3 = 0 THEN coalesce(text, '') ELSE '' END AS full_text, CASE WHEN doc_id % 2 = 0 THEN coalesce(lang, '') ELSE '' END AS stub, CASE doc_id % 5 WHEN 0 THEN 'archived' WHEN 1 THEN 'active' WHEN 2 THEN 'deleted' ELSE 'active' END AS state FROM documents),
+    c AS (SELECT clean.*, doc_id IS NULL AS pending FROM clean LEFT JOIN (SELECT DISTINCT doc_id FROM labels) ON doc_id = id),
+    h AS (SELECT url, CASE WHEN ad_id % 4 = 0 THEN '' ELSE 'f0' END AS phash FROM photos WHERE position = 1),
+    j AS (SELECT doc_id, CASE WHEN toxic = 1 THEN 'fraud' WHEN quality = 1 THEN 'legit' ELSE 'unsure' END AS v FROM labels)
+    SELECT 'pages' AS section, unnest(['total', 'suspicious', 'pending', 'pending_suspicious']) AS counter, unnest([count(*), count(*) FILTER (WHERE sus), count(*) FILTER (WHERE pending), count(*) FILTER (WHERE pending AND sus)]) AS n FROM c
+    UNION ALL SELECT 'pages', unnest(['read', 'failed']), unnest([count(*) FILTER (WHERE quality = 1), count(*) FILTER (WHERE quality IS DISTINCT FROM 1)]) FROM labels
+    UNION ALL SELECT 'pictures', unnest(['placeholders', 'done', 'pending']), unnest([count(*) FILTER (WHERE url NOT LIKE 'http%'), count(*) FILTER (WHERE url LIKE 'http%' AND url IN (SELECT url FROM h)), count(*) FILTER (WHERE url LIKE 'http%' AND url NOT IN (SELECT url FROM h))]) FROM photos
+    UNION ALL SELECT 'pictures', 'unreadable', count(*) FILTER (WHERE phash = '') FROM h
+    UNION ALL SELECT 'texts', unnest(['full', 'stub', 'none']), unnest([count(*) FILTER (WHERE full_text <> ''), count(*) FILTER (WHERE full_text = '' AND stub <> ''), count(*) FILTER (WHERE full_text = '' AND stub = '')]) FROM c
+    UNION ALL SELECT 'states', state, count(*) FROM c GROUP BY state
+    UNION ALL SELECT 'checks', 'pending', count(*) FILTER (WHERE st <> 'archived' AND date_diff('day', seen, DATE '{AS_OF}') >= 2 AND NOT coalesce(date_diff('day', checked, DATE '{AS_OF}') < 7, false)) FROM s
+    UNION ALL SELECT 'verdicts', unnest(['fraud', 'legit', 'journal_rows', 'unknown']), unnest([count(*) FILTER (WHERE v = 'fraud'), count(*) FILTER (WHERE v = 'legit'), count(*), count(*) FILTER (WHERE v = 'unsure')]) FROM j""")
+def pipeline_progress(spark, sf_dir):
+    k = F.col("doc_id")
+    state = F.when(k % 5 == 0, "archived").when(k % 5 == 1, None).when(k % 5 == 2, "deleted").otherwise("active")
+    clean_rows = read(spark, sf_dir, "documents").select(k.alias("ad_id"), (F.col("n_chars") > 2500).cast("int").alias("is_suspicious"), F.when(k % 3 == 0, F.col("text")).alias("seller_comment"), F.when(k % 2 == 0, F.col("lang")).otherwise("").alias("description"), state.alias("status"))
+    labels = read(spark, sf_dir, "labels")
+    enriched = labels.select(k.alias("ad_id"), F.when(F.col("quality") == 1, 200).otherwise(404).alias("http_status"))
+    journal = labels.select(k.alias("ad_id"), F.when(F.col("toxic") == 1, " Fraud").when(F.col("quality") == 1, "LEGIT").otherwise("unsure").alias("verdict"), k.alias("seq"))
+    photos = _photos(spark, sf_dir)
+    hashes = photos.where("position = 1").select("url", F.when(F.col("ad_id") % 4 == 0, "").otherwise("f0").alias("phash"))
+    days = lambda c: F.datediff(F.lit(AS_OF).cast("date"), c)
+    lifecycle = _statuses(spark, sf_dir).select(F.col("st").alias("status"), days("seen").alias("seen_days"), days("checked").alias("checked_days"))
+    return summary.progress(clean_rows, enriched, photos, hashes, lifecycle, journal)
+
+
+@query(f"""{MEDIANS}, d AS (SELECT date_diff('day', CAST(min(l_shipdate) AS DATE), CAST(max(l_shipdate) AS DATE)) AS days, any_value(log_price - predicted) AS r FROM lineitem JOIN pred ON ad_id = l_partkey GROUP BY l_partkey)
+    SELECT count(*) AS n, round(avg(days), 5) AS mean, round(stddev_samp(days), 5) AS std, CAST(min(days) AS INTEGER) AS least, CAST(max(days) AS INTEGER) AS most, quantile_cont(days, 0.25) AS q25, quantile_cont(days, 0.5) AS q50, quantile_cont(days, 0.75) AS q75, count(*) FILTER (WHERE r < 0) AS n_below, count(*) FILTER (WHERE r >= 0) AS n_above,
+    median(days) FILTER (WHERE r < 0) AS median_below, median(days) FILTER (WHERE r >= 0) AS median_above, round(corr(days, r), 5) AS corr FROM d WHERE days >= 0""")
+def selling_times(spark, sf_dir):
+    sold = read(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("ad_id")).agg(F.min("l_shipdate").alias("posted"), F.max("l_shipdate").alias("closed"))
+    scored = _folded(spark, sf_dir).select("ad_id", (F.col("log_price") - F.col("predicted")).alias("residual"))
+    out = summary.selling_times(pricing.time_to_sell(sold, "closed", "posted").join(scored, "ad_id"))
+    return out.withColumns({c: F.round(c, 5) for c in ("mean", "std", "corr")})
+
+
+@query("""WITH q AS (SELECT o_orderpriority AS g, quantile_cont(o_totalprice, 0.25) AS q1, quantile_cont(o_totalprice, 0.5) AS med, quantile_cont(o_totalprice, 0.75) AS q3 FROM orders GROUP BY 1),
+    x AS (SELECT q.*, o_totalprice AS v, o_totalprice BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) AS inside FROM orders JOIN q ON o_orderpriority = g)
+    SELECT g AS o_orderpriority, count(*) AS n, round(q1, 4) AS q1, round(med, 4) AS median, round(q3, 4) AS q3, min(v) FILTER (WHERE inside) AS whisker_low, max(v) FILTER (WHERE inside) AS whisker_high, count(*) FILTER (WHERE NOT inside) AS n_outside FROM x GROUP BY g, q1, med, q3""")
+def price_boxes(spark, sf_dir):
+    return summary.boxes(read(spark, sf_dir, "orders"), "o_totalprice", "o_orderpriority").withColumns({c: F.round(c, 4) for c in ("q1", "median", "q3")})
+
+
+@query("""WITH r AS (SELECT l_orderkey, l_linenumber, l_extendedprice AS p, CASE l_partkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 0 ELSE l_quantity * 1400 END AS m FROM lineitem), x AS (SELECT *, p / nullif(m, 0) AS ratio FROM r)
+    SELECT l_orderkey, l_linenumber, CASE WHEN m > 0 AND p IS NOT NULL THEN '<b>' || CAST(round_even(ratio * 100, 0) AS BIGINT) || '% от средней цены</b> (' || replace(format('{:,}', CAST(m AS BIGINT)), ',', ' ') || ') — ' ||
+        CASE WHEN ratio < 0.6 THEN 'сильно дешевле рынка' WHEN ratio < 0.85 THEN 'заметно ниже среднего' WHEN ratio < 1.15 THEN 'в пределах среднего' WHEN ratio < 1.4 THEN 'выше среднего' ELSE 'существенно выше рынка — приманкой быть не может' END ELSE '' END AS hint FROM x""")
+def market_hints(spark, sf_dir):
+    k = F.col("l_partkey") % 4
+    market = F.when(k == 0, None).when(k == 1, F.lit(0.0)).otherwise(F.col("l_quantity") * 1400)
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", summary.market_hint(F.col("l_extendedprice"), market).alias("hint"))
+
+
+@query("""WITH c AS (SELECT o_custkey AS ad_id, max(CAST(o_totalprice > 300000 AS INTEGER)) AS s FROM orders GROUP BY 1)
+    SELECT c_custkey AS ad_id, coalesce(s, 0) AS is_suspicious FROM customer LEFT JOIN c ON ad_id = c_custkey""")
+def queue_suspicion(spark, sf_dir):
+    flagged = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("ad_id"), (F.col("o_totalprice") > 300000).alias("is_suspicious"))
+    return summary.with_suspicion(read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("ad_id")), flagged)
+
+
+@query("SELECT p_partkey, p_name FROM part ORDER BY md5('7:' || p_partkey), p_partkey LIMIT 25")
+def spotlight_rows(spark, sf_dir):
+    return summary.seeded_rows(read(spark, sf_dir, "part").select("p_partkey", "p_name"), 25, "p_partkey", 7)
+
+
+@query("""WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'n/a' ELSE CAST(o_totalprice AS VARCHAR) END AS a, CASE WHEN o_orderkey % 4 <> 0 THEN o_orderpriority END AS b FROM orders)
+    SELECT o_orderkey, round(TRY_CAST(a AS DOUBLE), 4) AS age, coalesce(b, 'NA') AS brand, CAST(NULL AS DOUBLE) AS engine_volume, 'NA' AS condition FROM o""")
+def coerced_features(spark, sf_dir):
+    k = F.col("o_orderkey")
+    rows = read(spark, sf_dir, "orders").select("o_orderkey", F.when(k % 3 == 0, "n/a").otherwise(F.col("o_totalprice").cast("string")).alias("age"), F.when(k % 4 != 0, F.col("o_orderpriority")).alias("brand"))
+    return pricing.coerce_features(rows).select("o_orderkey", F.round("age", 4).alias("age"), "brand", "engine_volume", "condition")
