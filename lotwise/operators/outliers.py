@@ -2,47 +2,49 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lotwise.config import Config
 from lotwise.functions import scalars as S
-from lotwise.operators import quantiles
+from lotwise.operators import quantiles, tiers
 
 
-def hierarchical_z(df: DataFrame, value: str, tiers: list[tuple[str, list[str]]], cfg: Config = Config()) -> DataFrame:
+def hierarchical_z(df: DataFrame, value: str, named_tiers: list[tuple[str, list[str]]], cfg: Config = Config()) -> DataFrame:
     """price_z and z_group_level: the robust z of the first tier with at least min_group rows.
 
     A tier is used where all its keys are known and it counts enough rows, those
     without a value too.  Its z is 0 if the MAD is 0; a row without a value has
-    no z there and falls to the next tier.  Rows that no tier serves have 0 and
-    an empty level.  z is rounded half to even, before anyone compares it.
+    no z there and falls to the next tier, and has none if the last is no better.
+    Rows that no tier serves have 0 and an empty level.  z is rounded half to
+    even, before anyone compares it.
+    Equal values of equal keys are counted once for all tiers, and the rows are
+    joined once, with what serves their combination of keys.
     """
-    rows, large = df, quantiles.is_large(df)
-    z, level = F.lit(None).cast("double"), F.lit(None).cast("string")
-    for i, (name, keys) in enumerate(tiers):
-        stats = _tier(rows, value, keys, large).withColumnsRenamed({k: f"_k{i}_{k}" for k in keys} | {"med": f"_med{i}", "mad": f"_mad{i}", "n": f"_n{i}"})
-        df = df.join(stats, [F.col(k) == F.col(f"_k{i}_{k}") for k in keys], "left").drop(*[f"_k{i}_{k}" for k in keys])
-        mad, n = F.col(f"_mad{i}"), F.col(f"_n{i}")
-        own = F.when(F.coalesce(mad, F.lit(0.0)) == 0, 0.0).otherwise(cfg.mad_scale * (F.col(value) - F.col(f"_med{i}")) / F.nullif(mad, F.lit(0.0)))
-        usable = F.coalesce(n >= cfg.min_group, F.lit(False)) & z.isNull()
-        df = df.withColumns({f"_z{i}": F.when(usable, own).otherwise(z), f"_l{i}": F.when(usable, name).otherwise(level)})
-        z, level = F.col(f"_z{i}"), F.col(f"_l{i}")
-    drop = [f"_{x}{i}" for x in ("med", "mad", "n", "z", "l") for i in range(len(tiers))]
-    known = F.when(level.isNull(), 0.0).otherwise(S.round_even(z))
-    return df.withColumns({"price_z": known, "z_group_level": F.coalesce(level, F.lit(""))}).drop(*drop)
-
-
-def _tier(df: DataFrame, value: str, keys: list[str], large: bool) -> DataFrame:
-    """med, mad and n of each group whose keys are all known; exact, and split within groups where the table is large."""
-    rows = df.dropna(subset=keys).select(*keys, F.col(value).alias("x"))
+    names, keys = [name for name, _ in named_tiers], [own for _, own in named_tiers]
+    rows = df.select(*tiers.all_keys(keys), F.col(value).alias("_x"))
+    valueless = F.when(F.coalesce("mad", F.lit(0.0)) == 0, tiers.place()).otherwise(2 * len(keys) - tiers.place())  # a flat tier, else the last one
+    stats = _spread(rows, keys, quantiles.is_large(df)).where(F.col("n") >= cfg.min_group)
+    served = tiers.first_served(rows, stats, keys, False, {"_first": (tiers.place(), ["med", "mad"]), "_else": (valueless, ["med", "mad"])})
+    out = tiers.join_back(df, served, keys)
+    tier, med, mad = (F.when(F.col(value).isNull(), F.col(f"_else.{x}")).otherwise(F.col(f"_first.{x}")) for x in ("_tier", "med", "mad"))
+    z = F.when(F.coalesce(mad, F.lit(0.0)) == 0, 0.0).otherwise(cfg.mad_scale * (F.col(value) - med) / F.nullif(mad, F.lit(0.0)))
+    level = F.coalesce(*[F.when(tier == i, name) for i, name in enumerate(names)], F.lit(""))
+    return out.withColumns({"price_z": F.when(tier.isNull(), 0.0).otherwise(S.round_even(z)), "z_group_level": level}).drop("_first", "_else")
+
+
+def _spread(rows: DataFrame, keys: list[list[str]], large: bool) -> DataFrame:
+    """(_group, n, med, mad) of the groups of all tiers; exact, and split within groups where the table is large."""
+    off = F.abs(F.col("_x") - F.col("med"))
     if large:
-        med = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).join(quantiles.group_quantile(rows, keys, "x", 0.5, large).withColumnRenamed("q", "med"), keys, "left")
-        off = rows.join(med, keys).select(*keys, F.abs(F.col("x") - F.col("med")).alias("x"))
-        return med.join(quantiles.group_quantile(off, keys, "x", 0.5, large).withColumnRenamed("q", "mad"), keys, "left")
-    med = rows.groupBy(*keys).agg(F.median("x").alias("med"), F.count(F.lit(1)).alias("n"))
-    mad = rows.join(med, keys).groupBy(*keys).agg(F.median(F.abs(F.col("x") - F.col("med"))).alias("mad"))
-    return med.join(mad, keys)
+        every = rows.select(tiers.groups(keys), "_x")
+        med = every.groupBy("_group").agg(F.count(F.lit(1)).alias("n")).join(quantiles.group_quantile(every, ["_group"], "_x", 0.5, large).withColumnRenamed("q", "med"), "_group", "left")
+        mad = quantiles.group_quantile(every.join(med, "_group").select("_group", off.alias("_x")), ["_group"], "_x", 0.5, large).withColumnRenamed("q", "mad")
+        return med.join(mad, "_group", "left")
+    counts = tiers.counted(rows, keys, False, c=F.count(F.lit(1)))
+    med = counts.groupBy("_group").agg(F.percentile("_x", F.lit(0.5), F.col("c")).alias("med"), F.sum("c").alias("n"))
+    mad = counts.join(med, "_group").groupBy("_group").agg(F.percentile(off, F.lit(0.5), F.col("c")).alias("mad"))
+    return med.join(mad, "_group")
 
 
 def stat_reasons(z: Column, cfg: Config = Config()) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from lotwise.config import Config
 from lotwise.functions import scalars as S
-from lotwise.operators import quantiles
+from lotwise.operators import quantiles, tiers
 
 #: What a price model must never see, for it follows from the price or from the verdict.
 BANNED = ("price_tenge", "log_price", "price_z", "market_price", "suspicion_reasons", "is_suspicious", "verdict", "residual", "floor")
@@ -55,32 +55,33 @@ def balanced_folds(df: DataFrame, group: str, folds: int = 5) -> DataFrame:
     return out.withColumn("fold", F.coalesce(F.col("_placed"), dealt)).drop("_group", "_placed")
 
 
-def tier_stats(train: DataFrame, value: str, keys: list[str], stat) -> DataFrame:
-    return train.groupBy(*keys).agg(stat(value).alias("stat"), F.count(F.lit(1)).alias("n"))
-
-
-def hierarchical(df: DataFrame, value: str, tiers: list[list[str]], folds: list[int], stat=0.5, learn: Column | None = None) -> DataFrame:
+def hierarchical(df: DataFrame, value: str, keys: list[list[str]], folds: list[int], stat=0.5, learn: Column | None = None) -> DataFrame:
     """Out-of-fold statistic of the finest tier that has training rows; `df` has a fold.
 
     `stat` is the share of a quantile, which is split within large groups, or an
-    aggregate of a column.  Statistics without a fold are computed for all folds at once: each training
-    row counts for every other fold, if `learn` holds.  Keys match null with null.
-    The last tier is the whole training set.
+    aggregate of a column.  A training row counts for every other fold, if
+    `learn` holds.  Keys match null with null.  The last tier is the whole
+    training set.  Equal values of equal keys are counted by fold once; every
+    tier and fold draws its quantile from these counts, and the rows are joined once.
     """
-    out, share = df, isinstance(stat, float)
-    large = share and quantiles.is_large(df)
-    others = F.array(*[F.lit(f) for f in folds])
-    train = df.where(F.col(value).isNotNull() & (F.lit(True) if learn is None else learn)).withColumn("_for", F.explode(F.array_remove(others, F.col("fold"))))
-    for i, keys in enumerate([*tiers, []]):
-        names = [f"_f{i}", *[f"_k{i}_{k}" for k in keys]]
-        known = train.select(F.col("_for").alias(f"_f{i}"), *[F.col(k).alias(f"_k{i}_{k}") for k in keys], value)
-        stats = (quantiles.group_quantile(known, names, value, stat, large) if share else known.groupBy(*names).agg(stat(value).alias("q"))).withColumnRenamed("q", f"_s{i}")
-        same = F.col("fold") == F.col(f"_f{i}")
-        for k in keys:
-            same = same & F.col(k).eqNullSafe(F.col(f"_k{i}_{k}"))
-        out = out.join(stats, same, "left").drop(f"_f{i}", *[f"_k{i}_{k}" for k in keys])
-    n = len(tiers) + 1
-    return out.withColumn("predicted", F.coalesce(*[F.col(f"_s{i}") for i in range(n)])).drop(*[f"_s{i}" for i in range(n)])
+    keys = [*keys, []]
+    rows = df.where(F.col(value).isNotNull() & (F.lit(True) if learn is None else learn)).select(*tiers.all_keys(keys), F.col(value).alias("_x"), F.col("fold").alias("_fold"))
+    served = tiers.first_served(df, _other_folds(rows, keys, folds, stat, quantiles.is_large(df)), keys, True, {f"_p{i}": (F.when(F.col(f"q{i}").isNotNull(), tiers.place()), [f"q{i}"]) for i in range(len(folds))})
+    own = [F.when(F.col("fold") == f, F.col(f"_p{i}.q{i}")) for i, f in enumerate(folds)]
+    return tiers.join_back(df, served, keys).withColumn("predicted", F.coalesce(*own)).drop(*[f"_p{i}" for i in range(len(folds))])
+
+
+def _other_folds(rows: DataFrame, keys: list[list[str]], folds: list[int], stat, large: bool) -> DataFrame:
+    """(_group, q0, q1, ...): the statistic of each group's rows in other folds than the first, the second, ...; null without rows."""
+    if not isinstance(stat, float):
+        every = rows.select(tiers.groups(keys, nulls=True), "_x", "_fold")
+        return every.groupBy("_group").agg(*[stat(F.when(F.col("_fold") != f, F.col("_x"))).alias(f"q{i}") for i, f in enumerate(folds)])
+    if large:
+        every = rows.select(tiers.groups(keys, nulls=True), "_x", F.array_remove(F.array(*map(F.lit, folds)), F.col("_fold")).alias("_for")).withColumn("_for", F.explode("_for"))
+        q = quantiles.group_quantile(every, ["_group", "_for"], "_x", stat, large)
+        return q.groupBy("_group").agg(*[F.max(F.when(F.col("_for") == f, F.col("q"))).alias(f"q{i}") for i, f in enumerate(folds)])
+    counts = tiers.counted(rows, keys, True, **{f"c{i}": F.count_if(F.col("_fold") != f) for i, f in enumerate(folds)})
+    return counts.groupBy("_group").agg(*[F.percentile("_x", F.lit(stat), F.col(f"c{i}")).alias(f"q{i}") for i in range(len(folds))])
 
 
 def temporal_holdout(df: DataFrame, ts: str, id_col: str, group: str, test_share: float = 0.2) -> DataFrame:
