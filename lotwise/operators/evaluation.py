@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lotwise.config import Config
-from lotwise.operators import pricing
+from lotwise.operators import boosting, encoding, pricing
 from lotwise.operators.rules import scrub_mileage
 
 
@@ -91,6 +91,26 @@ def importances(model, spark: SparkSession, numeric: list[str], categorical: lis
     return spark.createDataFrame(rows, "feature string, importance double")
 
 
+def learning_curve(df: DataFrame, id_col: str, group: str, numeric: list[str], categorical: list[str], label: str, folds: int, shares: tuple[float, ...] = (0.25, 0.5, 0.75, 1.0), **how) -> DataFrame:
+    """(share, n, mape) of out-of-fold estimates as more whole groups are learned from; `df` has a fold and unique ids, `label` is a log price.
+
+    A step knows no row outside its share, neither to learn from nor to be
+    tested on.  The models of all shares and folds are grown together, with the
+    jobs of one (see boosting.boosted, which takes `how`).  Rows without a label
+    do not count; a share without rows, or with rows of one fold only, has no mape.
+    """
+    known = df.where(F.col(label).isNotNull())
+    steps = reduce(DataFrame.unionByName, [pricing.sample_groups(known, group, share).withColumn("_step", F.lit(i)) for i, share in enumerate(shares)])
+    rows = steps.withColumn("_out", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).withColumns({"for_fold": F.col("_step") * folds + F.col("_out"), "held": F.col("fold") == F.col("_out")}).drop("_step", "_out")
+    for c in categorical:
+        rows = encoding.ordered_statistics(rows, c, label, id_col, f"{c}_stat", keys=("for_fold",), last=F.col("held"))
+    scored, _ = boosting.boosted(rows, id_col, [*numeric, *[f"{c}_stat" for c in categorical]], label, list(range(len(shares) * folds)), **how)
+    tested = scored.where("held").join(known.select(id_col, F.exp(label).alias("_y")), id_col)
+    by_step = tested.groupBy(F.floor(F.col("model") / folds).cast("int").alias("_step")).agg(F.count(F.lit(1)).alias("_n"), F.avg(F.abs(F.col("_y") - F.exp("predicted")) / F.col("_y")).alias("mape"))
+    every = df.sparkSession.range(1).select(F.posexplode(F.array(*[F.lit(float(x)) for x in shares])).alias("_at", "share"))
+    return every.join(by_step, F.col("_at") == F.col("_step"), "left").select("share", F.coalesce("_n", F.lit(0)).alias("n"), "mape")
+
+
 def curve_gains(curve: DataFrame, least: float = 0.5) -> DataFrame:
     """first_gain and last_gain in points of mape of a learning curve's steps, and whether the last one is too small to go on."""
     points = F.array_sort(F.collect_list(F.struct("share", "mape")))  # a row for each share

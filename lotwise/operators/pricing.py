@@ -180,17 +180,6 @@ def out_of_fold(df: DataFrame, pipeline, folds: int, keep: list[str]) -> DataFra
     return out
 
 
-def learning_curve(df: DataFrame, pipeline, group: str, label: str, keep: list[str], shares: tuple[float, ...] = (0.25, 0.5, 0.75, 1.0), folds: int = 2) -> DataFrame:
-    """mape of log predictions as more whole groups are learned from."""
-    out = None
-    for share in shares:
-        part = sample_groups(df, group, share)
-        scored = out_of_fold(part, pipeline, folds, keep)
-        row = regression_metrics(scored, F.exp(label), F.exp("predicted")).select(F.lit(share).alias("share"), "n", "mape")
-        out = row if out is None else out.unionByName(row)
-    return out
-
-
 def time_to_sell(closed: DataFrame, closed_at: str, posted_at: str) -> DataFrame:
     """days between posting and closing; negative ones are dropped."""
     return closed.withColumn("days", F.datediff(closed_at, posted_at)).where("days >= 0")

@@ -191,3 +191,23 @@ def test_size_is_known_without_a_job(spark, tmp_path):
     before = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
     assert not quantiles.is_large(df.join(df.withColumnRenamed("id", "b"), F.lit(True)).groupBy("id").count())
     assert spark.sparkContext.statusTracker().getJobIdsForGroup(None) == before
+
+
+def test_learning_curve_falls_as_more_is_learned_from(spark, cars):
+    df = cars.withColumnRenamed("model_key", "car")
+    curve = evaluation.learning_curve(df, "id", "id", ["age", "km"], ["brand", "car"], "y", 3, (0.0, 0.04, 0.5, 1.0), trees=12, rate=0.3).orderBy("share").collect()
+    sizes = [pricing.sample_groups(df, "id", x).count() for x in (0.0, 0.04, 0.5, 1.0)]
+    assert [r.share for r in curve] == [0.0, 0.04, 0.5, 1.0] and [r.n for r in curve] == sizes and sizes[-1] == 1500
+    none, few, half, whole = (r.mape for r in curve)
+    assert none is None and few > half > whole
+    tiers = pricing.hierarchical(df, "y", [["car"], ["brand"]], [0, 1, 2])
+    assert whole < 0.75 * pricing.regression_metrics(tiers, F.exp("y"), F.exp("predicted")).first().mape
+
+
+def test_the_last_step_of_a_curve_is_the_model_of_all_rows(spark, cars):
+    df = cars.withColumnRenamed("model_key", "car")
+    last = evaluation.learning_curve(df, "id", "car", ["age"], ["brand"], "y", 3, (0.5, 1.0), trees=2).orderBy("share").collect()[-1]
+    known = encoding.for_each_fold(df, ["brand"], "y", "id", 3)
+    scored = boosting.out_of_fold(known, "id", ["age", "brand_stat"], "y", 3, trees=2).join(df.select("id", "y"), "id")
+    # The bins of a feature are cut from the rows of all steps, so that they differ a little from those of one.
+    assert last.mape == pytest.approx(pricing.regression_metrics(scored, F.exp("y"), F.exp("predicted")).first().mape, rel=0.02)
