@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lotwise.config import Config
 from lotwise.operators import boosting, encoding, pricing
 from lotwise.operators.rules import scrub_mileage
+from lotwise.sources import working
 
 
 def suspicion_share(df: DataFrame, reasons: Column) -> DataFrame:
@@ -100,10 +101,10 @@ def learning_curve(df: DataFrame, id_col: str, group: str, numeric: list[str], c
     do not count; a share without rows, or with rows of one fold only, has no mape.
     """
     known = df.where(F.col(label).isNotNull())
-    steps = reduce(DataFrame.unionByName, [pricing.sample_groups(known, group, share).withColumn("_step", F.lit(i)) for i, share in enumerate(shares)])
-    rows = steps.withColumn("_out", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).withColumns({"for_fold": F.col("_step") * folds + F.col("_out"), "held": F.col("fold") == F.col("_out")}).drop("_step", "_out")
-    for c in categorical:
-        rows = encoding.ordered_statistics(rows, c, label, id_col, f"{c}_stat", keys=("for_fold",), last=F.col("held"))
+    inside = F.array_compact(F.array(*[F.when(pricing.group_point(group) < int(share * 2**32), i) for i, share in enumerate(shares)]))
+    rows = known.withColumn("_step", F.explode(inside)).withColumn("_out", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
+    rows = rows.withColumns({"for_fold": F.col("_step") * folds + F.col("_out"), "held": F.col("fold") == F.col("_out")}).drop("_step", "_out")
+    rows = working.written(encoding.all_statistics(rows, categorical, label, id_col))
     scored, _ = boosting.boosted(rows, id_col, [*numeric, *[f"{c}_stat" for c in categorical]], label, list(range(len(shares) * folds)), **how)
     tested = scored.where("held").join(known.select(id_col, F.exp(label).alias("_y")), id_col)
     by_step = tested.groupBy(F.floor(F.col("model") / folds).cast("int").alias("_step")).agg(F.count(F.lit(1)).alias("_n"), F.avg(F.abs(F.col("_y") - F.exp("predicted")) / F.col("_y")).alias("mape"))

@@ -103,10 +103,14 @@ def temporal_holdout(df: DataFrame, ts: str, id_col: str, group: str, test_share
     return out.unionByName(df.where(F.col(ts).isNull()).withColumn("part", F.lit(None).cast("string")))
 
 
+def group_point(group: str, seed: int = 0) -> Column:
+    """A whole number from 0 to 2**32 - 1, the same for all rows of a group."""
+    return F.conv(F.substring(F.md5(F.concat_ws("#", F.lit(seed), F.col(group).cast("string"))), 1, 8), 16, 10).cast("long")
+
+
 def sample_groups(df: DataFrame, group: str, share: float, seed: int = 0) -> DataFrame:
     """Whole groups, about `share` of them, always the same."""
-    point = F.conv(F.substring(F.md5(F.concat_ws("#", F.lit(seed), F.col(group).cast("string"))), 1, 8), 16, 10).cast("long")
-    return df.where(point < F.lit(int(share * 2**32)))
+    return df.where(group_point(group, seed) < F.lit(int(share * 2**32)))
 
 
 def regression_metrics(df: DataFrame, actual: Column, predicted: Column) -> DataFrame:
