@@ -75,6 +75,7 @@ def near_hashes(distinct: DataFrame, most: int, width: int = 64, bands: int = 3,
     band and probes all values within the radius: an equi-join that loses
     nothing.  A pair that several bands meet is kept in the first.  With
     `asked` (bits), only pairs of these with any other are met, in both orders.
+    Probes are many times the rows that Spark takes them for, so they are never broadcast.
     """
     parts = _bands(width, most, bands)
     signed = lambda x: F.lit(x - (1 << 64) if x >> 63 else x).cast("long")
@@ -84,7 +85,7 @@ def near_hashes(distinct: DataFrame, most: int, width: int = 64, bands: int = 3,
     probes = lambda i, shift, bits: F.transform(F.array(*map(signed, flips[i])), lambda x: F.struct(F.lit(i).alias("band"), value(shift, bits).bitwiseXOR(x).alias("key")))
     near = F.flatten(F.array(*[probes(i, shift, bits) for i, (shift, bits, _) in enumerate(parts)]))
     a = distinct.select(F.col("bits").alias("bits_a"), F.inline(own))
-    b = (distinct if asked is None else asked).select(F.col("bits").alias("bits_b"), F.inline(near))
+    b = (distinct if asked is None else asked).select(F.col("bits").alias("bits_b"), F.inline(near)).hint("merge")
     differ = F.col("bits_a").bitwiseXOR(F.col("bits_b"))
     first = F.coalesce(*[F.when(F.bit_count(differ.bitwiseAND(signed(((1 << bits) - 1) << shift))) <= radius, i) for i, (shift, bits, radius) in enumerate(parts)])
     d = S.hamming(F.col("bits_a"), F.col("bits_b")).cast("int")

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from lotwise.operators import groups
+from lotwise.operators import duplicates, groups
 
 
 def brute(rows, most):
@@ -39,3 +39,11 @@ def test_nearest_pairs(spark):
     df = spark.createDataFrame(rows, "ad_id long, bits long")
     got = groups.nearest_pairs(df, 3, df.where("ad_id % 50 = 0"), 4)
     assert list(map(tuple, got.collect())) == [(1, 100, 0), (2, 100, 1), (3, 50, 1), (2, 50, 2)]
+
+
+def test_probes_are_not_broadcast(spark):
+    """Each hash has hundreds of probes, which Spark takes for one row: broadcast, they would fill the driver."""
+    hashes = spark.createDataFrame([(k * 7919,) for k in range(50)], "bits long")
+    for asked in (None, hashes.limit(5)):
+        text = duplicates.near_hashes(hashes, 8, 32, asked=asked)._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in text and "BroadcastHashJoin" not in text
