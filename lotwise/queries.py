@@ -37,6 +37,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str, a_core: int = 4) -> DataFrame:
+    """The rows dealt by a key to some tasks for each core, where the files make fewer: for small rows with much work each."""
+    n = a_core * df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n, key)
+
+
 # --- listings: rules and outliers -------------------------------------------------------------------------------
 
 LISTING = """
@@ -801,7 +807,7 @@ def _list_pages(spark, sf_dir):
     """A saved list of two cards for each part."""
     k, lit = F.col("p_partkey"), F.lit
     card = lambda i: F.concat(lit('<div class="a-card js__a-card" data-id="'), i.cast("string"), lit('"><a href="/a/'), i.cast("string"), lit('?q=1"><h5 class="card__title"><b>'), F.col("p_brand"), lit("</b> "), F.col("p_type"), lit('</h5></a><div class="card__price"><div>от <div>'), i.cast("string"), lit('</div></div> 000&nbsp;₸</div><p class="card__description">2020 г., б/у седан, 2 л, бензин, КПП автомат, '), F.col("p_type"), lit(' &amp;lt;</p><span class="card__region">Town '), F.col("p_size").cast("string"), lit('</span><img src="http://p/'), i.cast("string"), lit('-1x2.jpg"><img data-src="http://p/'), i.cast("string"), lit('-3x4.jpg"><img src="http://p/static/b.png"></div>'))
-    return read(spark, sf_dir, "part").select(F.concat(lit("<html><body>"), card(k * 2), card(k * 2 + 1), lit("</body></html>")).alias("html"))
+    return spread(read(spark, sf_dir, "part"), "p_partkey").select(F.concat(lit("<html><body>"), card(k * 2), card(k * 2 + 1), lit("</body></html>")).alias("html"))
 
 
 @query("""SELECT CAST(i AS VARCHAR) AS ad_id, p_brand || ' ' || p_type AS title, p_brand AS brand, p_type AS model, CAST(i * 1000 AS BIGINT) AS price_tenge, 2020 AS year, 'седан' AS body_type, p_type || ' &lt;' AS description, 'Town ' || p_size AS city, 'http://p/' || i || '-full.jpg' AS urls, '/a/' || i AS url
@@ -821,7 +827,7 @@ def listing_page_facts(spark, sf_dir):
         F.when(k % 5 == 0, "<i>в&nbsp;архиве</i>").otherwise(""), lit('<script>{"descriptionText": "\\u0434а<br/>'), F.col("p_name"), lit('\\nесть ржавчина"'),
         F.when(k % 2 == 0, F.concat(lit(', "avgPrice": '), (k * 100).cast("string"))).otherwise(""), lit("}</script>"),
     )
-    out = pages.listing_pages(read(spark, sf_dir, "part").select(k.alias("ad_id"), html.alias("html")))
+    out = pages.listing_pages(spread(read(spark, sf_dir, "part"), "p_partkey").select(k.alias("ad_id"), html.alias("html")))
     return out.select("ad_id", "drive", "customs_cleared", "page_mileage_km", "market_price", "page_status_badge", "seller_comment", "damage_keywords", "is_archived", "is_blocked")
 
 
