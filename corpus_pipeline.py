@@ -56,14 +56,16 @@ def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages that occur again; a document of which nothing is left goes.
 
+    A passage is of 400 bytes that start anywhere else too, or of 50 words that
+    another document has too, A-Z in lower case, however few bytes these are.
     A character cut by the end of a passage becomes U+FFFD.  Null and empty
     texts have no passage and stay; very long texts are read whole; a passage
     that rows of one id share, or equal rows, goes from all of them, so of equal
-    rows of 400 bytes or more none is left; no rows in, no rows out; extra
-    columns may have any name.
+    rows of 400 bytes or more none is left (shorter equal rows are one document);
+    no rows in, no rows out; extra columns may have any name.
     """
-    found = suffix_dedup.repeated_passages(docs).where("n_removed > 0")
-    changed = found.select("doc_id", "text_hash", F.make_valid_utf8(F.col("kept").cast("string")).alias("kept")).dropDuplicates(["doc_id", "text_hash"])
+    found = suffix_dedup.without_passages(docs)
+    changed = found.select("doc_id", "text_hash", F.make_valid_utf8(F.col("kept").cast("string")).alias("kept"))
     kept = f"kept_{uuid.uuid4().hex}"
     hashed = docs.select("*", F.xxhash64(F.coalesce("text", F.lit(""))).alias(f"text_hash_{kept}"))
     rows = joined(hashed, changed.withColumnsRenamed({"text_hash": f"text_hash_{kept}", "kept": kept}), ["doc_id", f"text_hash_{kept}"], "left")

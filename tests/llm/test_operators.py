@@ -440,6 +440,46 @@ def test_shared_passages(spark, docs, span, gram):
     assert suffix_dedup.shared_passages(docs.limit(0)).count() == 0
 
 
+def test_without_passages(spark, docs):
+    """Both counts against plain loops: bytes anywhere, words in other documents, in copies, repeated in one text, chained, and with nothing left."""
+    rng = random.Random(37)
+    passages = [text(n, rng) for n in (11, 12, 13, 21, 36)]
+    rows = corpus() + [(100 + i, f" {text(rng.randint(0, 40), rng)}\t {p} {text(rng.randint(0, 40), rng)}\n") for i, p in enumerate(passages * 2)]
+    rows += [(200, f"{text(9, rng)} {(own := text(12, rng))} {text(9, rng)} {own}"), (201, (x := text(14, rng))), (201, x), (202, f" {passages[1]}\n"), (None, f"a {passages[2].upper()} b"), (203, "w " * 400)]
+    a, b = text(15, rng), text(15, rng)
+    rows += [(300, f"{a}\u00e9 {b}"), (301, f"{a} {text(9, rng)}"), (302, f"{text(9, rng)}  {b}"), (303, f"\u00e9{b}\u00e9"), (304, f"{text(30, rng)}\v{passages[3]}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    span, word_span = 90, 12
+    starts, holders, split = collections.Counter(), collections.defaultdict(set), {}
+    for i, t in rows:
+        raw = (t or "").encode()
+        starts.update(raw[k : k + span] for k in range(len(raw) - span + 1))
+        split[i, t or ""] = [(m.start(), m.end(), m[0].lower()) for m in re.finditer(rb"[^ \t-\r]+", raw)]
+    for d, w in split.items():
+        for k in range(len(w) - word_span + 1):
+            holders[tuple(x[2] for x in w[k : k + word_span])].add(d)
+    want, by_words = {}, 0
+    for d, w in split.items():
+        raw = d[1].encode()
+        gone = np.zeros(len(raw), bool)
+        for k in range(len(raw) - span + 1):
+            if starts[raw[k : k + span]] > 1:
+                gone[k : k + span] = True
+        n, met = gone.sum(), False
+        for k in range(len(w) - word_span + 1):
+            if len(holders[tuple(x[2] for x in w[k : k + word_span])]) > 1:
+                gone[w[k][0] : w[k + word_span - 1][1]] = met = True
+        if gone.any():
+            left = bytes(x for x, g in zip(raw, gone) if not g)
+            want[d] = b"" if met and not left.strip() else left
+            by_words += gone.sum() > n
+    hashes = {(r.doc_id, r.text): r.h for r in df.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()}
+    got = [(r.doc_id, r.text_hash, bytes(r.kept)) for r in suffix_dedup.without_passages(df, span=span, word_span=word_span, gram=4).collect()]
+    assert sorted(got, key=str) == sorted(((d[0], hashes[d], x) for d, x in want.items()), key=str) and by_words > 10
+    assert want[202, f" {passages[1]}\n"] == b""
+    assert suffix_dedup.without_passages(docs.limit(0)).count() == 0
+
+
 # --- 10
 
 

@@ -86,3 +86,15 @@ def test_stages_decide_as_plain_python(spark, tmp_path):
         assert {r.doc_id: r.text for r in got} == kept and len(got) == len(kept), name
         assert all(r.n_chars == len(r.text) for r in got), name
         texts = kept
+
+
+def test_a_shared_passage_goes_however_few_bytes_it_has(spark, tmp_path):
+    """50 words under 400 bytes go from all documents that have them, 49 and a passage that one document repeats stay."""
+    rng = random.Random(3)
+    short = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(4)) for _ in range(n))
+    shared, less, own = short(50), short(49), short(51)
+    assert len(own) < 400
+    rows = [(1, f"ax {shared} bx"), (2, f"cx\n{shared.upper()} dx"), (3, f"ex {less} fx"), (4, f"gx {less} hx"), (5, f"ix {own} jx {own} kx"), (6, f" {shared} ")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.without_repeated_passages(spark, docs, str(tmp_path)).collect()}
+    assert got == {1: "ax  bx", 2: "cx\n dx"} | {i: t for i, t in rows if i in (3, 4, 5)}
