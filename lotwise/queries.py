@@ -575,7 +575,7 @@ def price_gbt_oof(spark, sf_dir):
     """Boosted trees, out of fold over duplicate groups."""
     rows = pricing.with_fold(priced(spark, sf_dir), F.col("model_key"), 2).withColumn("age", F.col("age").cast("double"))
     pipe = pricing.price_pipeline(["age"], ["brand", "model"], "log_price", max_depth=3, max_iter=5)
-    return pricing.out_of_fold(rows, pipe, 2, ["ad_id", "log_price"]).withColumn("predicted", F.round("predicted", 6))
+    return pricing.out_of_fold(pricing.dealt(rows, "ad_id"), pipe, 2, ["ad_id", "log_price"]).withColumn("predicted", F.round("predicted", 6))
 
 
 ORDERED = """h AS (SELECT o_orderkey, o_orderpriority, o_orderstatus, ln(o_totalprice) AS y, md5('0#' || CAST(o_orderkey AS VARCHAR)) AS h FROM orders)"""
@@ -927,7 +927,7 @@ def temporal_model(spark, sf_dir):
 @query()
 def price_importances(spark, sf_dir):
     rows = priced(spark, sf_dir).withColumn("age", F.col("age").cast("double"))
-    model = pricing.price_pipeline(["age"], ["brand", "model"], "log_price", max_depth=3, max_iter=5).fit(rows)
+    model = pricing.price_pipeline(["age"], ["brand", "model"], "log_price", max_depth=3, max_iter=5).fit(pricing.dealt(rows, "ad_id"))
     return evaluation.importances(model, spark, ["age"], ["brand", "model"])
 
 

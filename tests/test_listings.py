@@ -402,6 +402,18 @@ def test_split_quantiles_are_exact(spark, monkeypatch):
     assert [sorted(map(str, f.collect())) for f in ends()] == plain
 
 
+@pytest.mark.parametrize("name", ["price_importances", "price_gbt_oof"])
+def test_fits_hold_few_rows_in_a_task(spark, monkeypatch, name):
+    """A fit gets its rows in parts, though one file holds them."""
+    from pyspark.ml import Pipeline
+
+    sizes, fit = [], Pipeline.fit
+    monkeypatch.setattr(pricing, "PART_ROWS", 20, raising=False)
+    monkeypatch.setattr(Pipeline, "fit", lambda self, df, *a: sizes.append(df.select(F.spark_partition_id().alias("p")).groupBy("p").count().agg(F.sum("count"), F.max("count")).first()) or fit(self, df, *a))
+    assert queries.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+    assert sizes and all(n > 80 and most < 50 for n, most in sizes)
+
+
 def test_temporal_evaluation(spark):
     rows = [(i, float(i % 5), "a" if i % 2 else "b", f"2026-01-{1 + i // 40:02d}", 1.0 + i % 2) for i in range(400)]
     df = spark.createDataFrame(rows, "id long, x double, brand string, ts string, y double").withColumn("ts", F.to_timestamp("ts"))
