@@ -68,8 +68,10 @@ def evaluate_temporal(df: DataFrame, ts: str, id_col: str, group: str, label: st
 
     `label` is a log price.  Without enough rows that have a time, or too few to
     learn from or to test on (the three of `least`), or with one time only, there are no rows.
+    `df` and its parts are written once, as every step reads them again.
     """
-    parts = pricing.temporal_holdout(df.where(F.col(label).isNotNull()), ts, id_col, group)
+    known = working.written(df.where(F.col(label).isNotNull()))
+    parts = working.written(pricing.temporal_holdout(known, ts, id_col, group))
     train, test = F.col("part") == "train", F.col("part") == "test"
     facts = parts.agg(
         F.count(ts).alias("_timed"), F.min(ts).alias("_first"), F.max(ts).alias("_last"), F.count_if(train).alias("train_rows"), F.count_if(test).alias("test_rows"),
@@ -80,7 +82,7 @@ def evaluate_temporal(df: DataFrame, ts: str, id_col: str, group: str, label: st
     folded = parts.where(train | test).withColumn("fold", test.cast("int"))
     scored = {"baseline": pricing.hierarchical(folded, label, tiers, [0, 1], learn=F.col("fold") == 0).where("fold = 1")}
     if pipeline is not None and folded.where("fold = 0").limit(1).count():
-        scored["model"] = pipeline.fit(folded.where("fold = 0")).transform(folded.where("fold = 1"))
+        scored["model"] = pipeline.fit(pricing.dealt(folded.where("fold = 0"), id_col)).transform(folded.where("fold = 1"))
     rows = [pricing.regression_metrics(x, F.exp(label), F.exp("predicted")).select(F.lit(name).alias("method"), "*") for name, x in scored.items()]
     return facts.join(F.broadcast(reduce(DataFrame.unionByName, rows)), how="cross").select("method", "train_rows", "test_rows", "train_until", "test_from", "n", "mape", "mae", "r2_log")  # two rows at most
 

@@ -424,6 +424,14 @@ def test_temporal_evaluation(spark):
     assert str(got["model"].train_until)[:10] == "2026-01-08" and str(got["model"].test_from)[:10] == "2026-01-09"
     assert evaluation.evaluate_temporal(df.limit(99), *args).count() == 0
     assert evaluation.evaluate_temporal(df.withColumn("ts", F.lit("2026-01-01").cast("timestamp")), *args).count() == 0
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    assert evaluation.evaluate_temporal(df.mapInArrow(counted, df.schema), *args, pipe).count() == 2 and read.value == 400  # the source, once
     model = pipe.fit(df)
     best = evaluation.importances(model, spark, ["x"], ["brand"], 1).first()
     assert best.feature == "brand" and best.importance > 0.9
