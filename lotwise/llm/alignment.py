@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 from lotwise.llm import scratch, segments, words
 
 #: Bytes of text whose documents share one matrix.
-CHUNK_BYTES = 8 << 20
-#: Entries that a product expands at once.
-BLOCK = 1 << 22
+CHUNK_BYTES = 2 << 20
+#: Entries that a product expands at once, and bytes of segments whose tokens are laid over bytes at once.
+BLOCK = 1 << 18
 
 
 class Csr:
@@ -119,7 +119,18 @@ class Aligned:
         common = ends[0][np.isin(ends[0], ends[1], assume_unique=True)]
         self.group_of = [np.searchsorted(common, e) for e in ends]
         self.group_bounds = np.concatenate([[0], np.searchsorted(common, np.cumsum(length * self.valid), "right")])
-        self.overlaps = Csr.of_sizes(sizes[0]).product(Csr.of_sizes(sizes[1]).transposed())
+        self.overlaps = self._overlaps(*sizes, length * self.valid)
+
+    def _overlaps(self, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> Csr:
+        """Tokens of A over those of B: no token reaches across texts, so some texts at a time have their token-byte matrices built."""
+        cuts = np.flatnonzero(np.diff(np.cumsum(length) // BLOCK)) + 1
+        parts, first = [], [0, *cuts.tolist()]
+        for i, j in zip(first, [*first[1:], len(length)]):
+            (a0, a1), (b0, b1) = (n[[i, j]] for n in self.bounds)
+            found = Csr.of_sizes(a[a0:a1]).product(Csr.of_sizes(b[b0:b1]).transposed())
+            parts.append((np.diff(found.ptr), found.columns + b0, found.values))
+        n, columns, values = (np.concatenate(x) for x in zip(*parts))
+        return Csr(np.concatenate([[0], np.cumsum(n)]), columns, values, len(b))
 
     def shared(self) -> tuple[Csr, Csr]:
         """The group incidence of A's tokens and the transpose of B's: their product has all links within groups."""
@@ -246,6 +257,7 @@ def link_statistics(docs: DataFrame, path_a: str, path_b: str, id_col: str = "do
         a, b = segments.byte_level(path_a), segments.pieces(path_b)
         for part in (c for x in batches for c in words.chunks(x, size=CHUNK_BYTES)):
             yield _chunk(part, a, b)
+            pa.default_memory_pool().release_unused()
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in (x.slice(k, 1) for x in batches for k in range(x.num_rows)):

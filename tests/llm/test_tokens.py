@@ -4,6 +4,7 @@ import collections
 import hashlib
 import itertools
 import random
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
@@ -115,6 +116,28 @@ def test_aligned_texts(spark, library):
         assert r.n_shared == sum(g.a * g.b for g in r.groups) and sum(g.a for g in r.groups) == len(a) and sum(g.b for g in r.groups) == len(b)
 
 
+def test_alignment_is_bounded_in_memory(monkeypatch):
+    """A part of all distinct words, laid over bytes some words at a time: the links are those of one matrix, memory under 120 bytes for each of text (167 before)."""
+    a, b = segments.byte_level(BYTES), segments.pieces(PIECES)
+    rng = random.Random(5)
+    words = pa.array([" ".join("".join(rng.choices("abcdefghijklmnop", k=9)) for _ in range(120_000))])
+    cut = segments.split(words)
+    alignment.Aligned(a, b, segments.split(words.slice(0, 0)))
+    tracemalloc.start()
+    of = alignment.Aligned(a, b, cut)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert peak < 120 * len(words[0].as_py())
+    few = segments.listed(["the naïve cat", "", None, "中文字符 x"])
+    for block in (1, 5, 1 << 22):
+        monkeypatch.setattr(alignment, "BLOCK", block)
+        got = alignment.Aligned(a, b, few).overlaps
+        found = [got.ptr.tolist(), got.columns.tolist(), got.values.tolist(), got.width]
+        want = found if block == 1 else want
+        assert found == want
+    assert len(of.overlaps) == len(of.ids[0]) and of.overlaps.values.sum() == cut.sizes.sum()
+
+
 @pytest.mark.parametrize("block", [1, 7, 1 << 22])
 def test_sparse_products(block, monkeypatch):
     monkeypatch.setattr(alignment, "BLOCK", block)
