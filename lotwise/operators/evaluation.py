@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lotwise.config import Config
-from lotwise.operators import boosting, encoding, pricing
+from lotwise.operators import folded, pricing
 from lotwise.operators.rules import scrub_mileage
 from lotwise.sources import working
 
@@ -99,18 +99,16 @@ def learning_curve(df: DataFrame, id_col: str, group: str, numeric: list[str], c
 
     A step knows no row outside its share, neither to learn from nor to be
     tested on.  The models of all shares and folds are grown together, with the
-    jobs of one (see boosting.boosted, which takes `how`).  Rows without a label
+    jobs of one, and a row is kept once for all of them (see folded.out_of_fold, which takes `how`).  Rows without a label
     do not count; a share without rows, or with rows of one fold only, has no mape.
     """
-    known = df.where(F.col(label).isNotNull())
-    inside = F.array_compact(F.array(*[F.when(pricing.group_point(group) < int(share * 2**32), i) for i, share in enumerate(shares)]))
-    rows = known.withColumn("_step", F.explode(inside)).withColumn("_out", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
-    rows = rows.withColumns({"for_fold": F.col("_step") * folds + F.col("_out"), "held": F.col("fold") == F.col("_out")}).drop("_step", "_out")
-    rows = working.written(encoding.all_statistics(rows, categorical, label, id_col))
-    scored, _ = boosting.boosted(rows, id_col, [*numeric, *[f"{c}_stat" for c in categorical]], label, list(range(len(shares) * folds)), **how)
-    tested = scored.where("held").join(known.select(id_col, F.exp(label).alias("_y")), id_col)
-    by_step = tested.groupBy(F.floor(F.col("model") / folds).cast("int").alias("_step")).agg(F.count(F.lit(1)).alias("_n"), F.avg(F.abs(F.col("_y") - F.exp("predicted")) / F.col("_y")).alias("mape"))
-    every = df.sparkSession.range(1).select(F.posexplode(F.array(*[F.lit(float(x)) for x in shares])).alias("_at", "share"))
+    order = sorted(range(len(shares)), key=lambda i: shares[i])
+    rows = df.where(F.col(label).isNotNull()).select(id_col, "fold", label, *numeric, *categorical, pricing.group_point(group).alias("_point"))
+    rows = working.written(rows)  # lest groups are made anew wherever their point is asked for
+    first = reduce(Column.__add__, [F.when(F.col("_point") < int(shares[i] * 2**32), 0).otherwise(1) for i in order])
+    scored = folded.out_of_fold(rows, id_col, numeric, categorical, label, folds, F.when(first < len(shares), first), len(shares), **how)
+    by_step = scored.groupBy(F.floor(F.col("model") / folds).cast("int").alias("_step")).agg(F.count(F.lit(1)).alias("_n"), F.avg(F.abs(F.exp("y") - F.exp("predicted")) / F.exp("y")).alias("mape"))
+    every = df.sparkSession.range(1).select(F.explode(F.array(*[F.struct(F.lit(k).alias("_at"), F.lit(float(shares[i])).alias("share")) for k, i in enumerate(order)])).alias("_s")).select("_s.*")
     return every.join(by_step, F.col("_at") == F.col("_step"), "left").select("share", F.coalesce("_n", F.lit(0)).alias("n"), "mape")
 
 
